@@ -6,10 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import decontaminate, mixing, sharding, simhash
+from sluiceway.llm import decontaminate, langid, mixing, sharding, simhash
 from sluiceway.llm.common import shared_dir, table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in no language (null, or without a letter) go."""
+    return langid.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
     return simhash.drop_near_duplicates(docs)
@@ -28,6 +33,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language id", language),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("source mixing", mix),
