@@ -1,6 +1,658 @@
-"""All queries of the engine and the SQL they are checked against."""
+"""All queries of the engine, each beside the SQL it is checked against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sluiceway.functions import text as T
+from sluiceway.operators import audit, classify, graph, links, reports, views
+from sluiceway.plans.policy import DEFAULT, PII
+from sluiceway.sources.calls import CALLS_SQL, calls, in_session, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+FLAGS_SQL = (
+    CALLS_SQL
+    + """, tools(tool, sensitive, untrusted, destr, snk) AS (VALUES ('query_customer_db', true, false, false, 'READ'),
+  ('fetch_web_page', false, true, false, 'OUTBOUND_SINK'), ('read_email', false, true, false, 'READ'),
+  ('send_email', false, false, false, 'OUTBOUND_SINK'), ('delete_customer_record', false, false, true, NULL)),
+flags AS (
+  SELECT c.*, t.tool IS NOT NULL AS classified, coalesce(snk, 'OUTBOUND_SINK') AS sink, coalesce(sensitive, false) AS s,
+    coalesce(untrusted, false) OR t.tool IS NULL AS u, coalesce(destr, false) AS destructive
+  FROM calls c LEFT JOIN tools t ON c.tool = t.tool
+)"""
+)
+VERDICT_SQL = (
+    FLAGS_SQL
+    + """, verdict AS (
+  SELECT *, NOT (sink = 'OUTBOUND_SINK' AND s_before AND exposed) AS allowed FROM (
+    SELECT *, coalesce(bool_or(s) OVER w, false) AS s_before, coalesce(bool_or(u) OVER w, false) AS exposed FROM flags
+    WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+)"""
+)
+EDGES_SQL = (
+    FLAGS_SQL
+    + """, edges AS (
+  SELECT session_id, seq AS child, lag(seq) OVER (PARTITION BY session_id, event_id % 3 ORDER BY seq) AS parent FROM calls
+  UNION ALL SELECT session_id, seq, seq // 2 FROM calls WHERE seq >= 2 AND event_id % 5 = 0
+), edge AS (SELECT DISTINCT session_id, child, parent FROM edges WHERE parent IS NOT NULL AND parent < child),
+node AS (SELECT session_id, seq, tool, list_filter([CASE WHEN s THEN 'S' END, CASE WHEN u THEN 'U' END], lambda x: x IS NOT NULL) AS tags FROM flags)"""
+)
+TOKENS_SQL = r"""doc_token AS (
+  SELECT DISTINCT doc_id, token FROM (
+    SELECT doc_id, unnest(list_concat([regexp_replace(text, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')], regexp_extract_all(text, '[\p{L}\p{N}@._+-]{8,}'))) AS token FROM documents)
+  WHERE length(token) >= 8 AND lower(token) NOT IN ('password', 'username', 'response', 'timestamp', 'description', 'undefined', 'function', 'javascript', 'sessionid', 'localhost')
+)"""
+RECORDS_SQL = (
+    VERDICT_SQL
+    + """, evals AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS eval_index,
+    CASE WHEN value > 40 THEN 'block' ELSE 'pass' END AS expect, CASE WHEN session_id % 3 = 0 THEN 'attack' ELSE 'normal' END AS category,
+    ['easy', 'boundary', 'obvious', 'subtle'][(event_id % 4 + 1)::INT] AS tier
+  FROM verdict WHERE sink = 'OUTBOUND_SINK'
+), rec AS (
+  SELECT *, CASE WHEN expect = 'block' AND NOT ok THEN 'TP' WHEN expect = 'block' THEN 'FN' WHEN NOT ok THEN 'FP' ELSE 'TN' END AS outcome FROM (
+    SELECT session_id, eval_index, event_id, tool, expect, category, tier, value, 'session' AS mode, allowed AS ok FROM evals
+    UNION ALL SELECT session_id, eval_index, event_id, tool, expect, category, tier, value, 'lineage', allowed OR event_id % 7 = 0 FROM evals)
+)"""
+)
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- tables that several queries share
+
+
+def _flags(spark, d):
+    return classify.flagged(calls(spark, d))
+
+
+def _verdicts(spark, d):
+    return classify.verdicts(_flags(spark, d))
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _edges(spark, d):
+    c = calls(spark, d)
+    w = Window.partitionBy("user_id", "session_id", F.col("event_id") % 3).orderBy("seq")
+    a = c.select("session_id", F.col("seq").alias("child"), F.lag("seq").over(w).alias("parent"))
+    b = c.where((F.col("seq") >= 2) & (F.col("event_id") % 5 == 0)).select("session_id", F.col("seq").alias("child"), F.floor(F.col("seq") / 2).alias("parent"))
+    return a.union(b).where(F.col("parent") < F.col("child")).distinct()
+
+
+def _nodes(spark, d):
+    tags = F.array_compact(F.array(F.when(F.col("s"), "S"), F.when(F.col("u"), "U")))
+    return _flags(spark, d).select("session_id", "seq", "tool", tags.alias("tags"))
+
+
+def _records(spark, d):
+    v = _verdicts(spark, d).where(F.col("sink") == classify.OUTBOUND)
+    v = v.withColumn("eval_index", (F.row_number().over(in_session()) - 1).cast("long"))  # before rows are doubled
+    both = v.select(
+        "session_id", "eval_index", "event_id", "tool",
+        F.when(F.col("value") > 40, "block").otherwise("pass").alias("expect"),
+        F.when(F.col("session_id") % 3 == 0, "attack").otherwise("normal").alias("category"),
+        F.element_at(F.array(*map(F.lit, ("easy", "boundary", "obvious", "subtle"))), (F.col("event_id") % 4 + 1).cast("int")).alias("tier"), "value",
+        F.explode(F.create_map(F.lit("session"), F.col("allowed"), F.lit("lineage"), F.col("allowed") | (F.col("event_id") % 7 == 0))).alias("mode", "ok"),
+    )
+    return both.withColumn("outcome", reports.outcome(F.col("expect"), F.col("ok")))
+
+
+# -- classification
+
+
+@query("WITH " + FLAGS_SQL + " SELECT tool, sink, classified, count(*)::BIGINT AS n FROM flags GROUP BY ALL")
+def tool_sink_class(spark, d):
+    return _flags(spark, d).groupBy("tool", "sink", "classified").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + FLAGS_SQL + " SELECT event_id, tool, concat_ws(',', CASE WHEN s THEN 'SENSITIVE' END, CASE WHEN u THEN 'UNTRUSTED_ORIGIN' END) AS tags FROM flags")
+def tool_source_tags(spark, d):
+    return _flags(spark, d).select("event_id", "tool", classify.tag_list(F.col("s"), F.col("u")).alias("tags"))
+
+
+@query("WITH " + FLAGS_SQL + " SELECT session_id, count(*) FILTER (classified)::BIGINT AS known, count(*) FILTER (NOT classified)::BIGINT AS unknown FROM flags GROUP BY 1")
+def tool_classified(spark, d):
+    return _flags(spark, d).groupBy("session_id").agg(F.count_if("classified").alias("known"), F.count_if(~F.col("classified")).alias("unknown"))
+
+
+@query("WITH " + FLAGS_SQL + ", w AS (SELECT *, CASE WHEN classified AND tool <> 'delete_customer_record' THEN sink ELSE 'READ' END AS warn_sink FROM flags) SELECT tool, warn_sink, u, count(*)::BIGINT AS n FROM w GROUP BY ALL")
+def unknown_tool_warn(spark, d):
+    from dataclasses import replace
+
+    f = classify.flagged(calls(spark, d), replace(DEFAULT, unknown_tools="warn"))
+    return f.groupBy("tool", F.col("sink").alias("warn_sink"), "u").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_type || '.' || props AS name, event_type AS server, props AS tool, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
+def agent_tool_split(spark, d):
+    e = table(spark, d, "events").select(F.concat_ws(".", "event_type", "props").alias("name"))
+    server, tool = T.tool_parts(F.col("name"))
+    return e.groupBy("name", server.alias("server"), tool.alias("tool")).agg(F.count("*").alias("n"))
+
+
+METHODS = ("tools/list", "ping", "sampling/createMessage", "notifications/progress", "tasks/run")
+
+
+@query("""SELECT m AS method, CASE WHEN m = 'sampling/createMessage' THEN 'SINK' WHEN m IN ('ping', 'tools/list') OR m LIKE 'notifications/%' THEN 'HARMLESS' ELSE 'UNCLASSIFIED' END AS risk, 'FORWARDED' AS decision, count(*)::BIGINT AS n
+FROM (SELECT ['tools/list', 'ping', 'sampling/createMessage', 'notifications/progress', 'tasks/run'][(event_id % 5 + 1)::INT] AS m FROM events) GROUP BY ALL""")
+def method_risk(spark, d):
+    m = F.element_at(F.array(*map(F.lit, METHODS)), (F.col("event_id") % 5 + 1).cast("int")).alias("method")
+    rows = audit.forwarded(table(spark, d, "events").select(m), F.col("method"))
+    return rows.groupBy("method", "risk", "decision").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, url, starts_with(url, 'https://tionsh.example.net/') OR starts_with(url, 'https://ads-track.example.org/') AS trusted FROM pages")
+def uri_trust_prefix(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", classify.trusted_uri(F.col("url")).alias("trusted"))
+
+
+HIGH = r"list_filter(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'), lambda r: -list_sum(list_transform(list_distinct(string_split(r, '')), lambda c: (len(list_filter(string_split(r, ''), lambda x: x = c)) / len(r)) * log2(len(list_filter(string_split(r, ''), lambda x: x = c)) / len(r)))) >= 3.8)"
+SECRETS_SQL = r"(regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') OR regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{36,255}\b') OR len(" + HIGH + ") > 0)"
+
+
+def has_secret(text):
+    keys = F.lit(False)
+    for _, p in DEFAULT.secrets.by_regex:
+        keys = keys | text.rlike(T.ascii_bounded(p))
+    runs = F.regexp_extract_all(text, F.lit(T.SECRET_RUN), F.lit(0))
+    return keys | F.exists(runs, lambda r: T.entropy(r) >= DEFAULT.secrets.by_entropy.threshold)
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'source' WHEN {SECRETS_SQL} THEN 'content' END AS origin FROM documents")
+def sensitive_origin(spark, d):
+    origin = F.when(F.col("doc_id") % 3 == 0, "source").when(has_secret(F.col("text")), "content")
+    return _docs(spark, d).select("doc_id", origin.alias("origin"))
+
+
+@query("SELECT page_id, concat_ws(',', CASE WHEN " + SECRETS_SQL.replace("text", "html") + " THEN 'SENSITIVE' END, CASE WHEN NOT (starts_with(url, 'https://tionsh.example.net/') OR starts_with(url, 'https://ads-track.example.org/')) THEN 'UNTRUSTED_ORIGIN' END) AS tags FROM pages")
+def external_content_tags(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", classify.tag_list(has_secret(F.col("html")), ~classify.trusted_uri(F.col("url"))).alias("tags"))
+
+
+# -- session verdicts
+
+
+@query("WITH " + FLAGS_SQL + " SELECT event_id, bool_or(u) OVER (PARTITION BY session_id ORDER BY seq) AS exposed FROM flags")
+def session_exposure(spark, d):
+    w = in_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _flags(spark, d).select("event_id", F.max("u").over(w).alias("exposed"))
+
+
+@query("WITH " + FLAGS_SQL + """, e AS (SELECT *, sum((event_id % 11 = 0)::INT) OVER (PARTITION BY session_id ORDER BY seq) AS era FROM flags)
+SELECT event_id, bool_or(s) OVER (PARTITION BY session_id, era ORDER BY seq) AS s_now, bool_or(u) OVER (PARTITION BY session_id ORDER BY seq) AS u_ever FROM e""")
+def session_tags(spark, d):
+    return classify.session_state(_flags(spark, d), F.col("event_id") % 11 == 0).select("event_id", "s_now", "u_ever")
+
+
+@query("WITH " + VERDICT_SQL + " SELECT event_id, session_id, seq, tool, s_before, exposed, allowed FROM verdict")
+def session_verdict(spark, d):
+    return _verdicts(spark, d).select("event_id", "session_id", "seq", "tool", "s_before", "exposed", "allowed")
+
+
+@query("WITH " + VERDICT_SQL + " SELECT tool, CASE WHEN allowed THEN 'ALLOWED' ELSE 'BLOCKED' END AS decision, count(*)::BIGINT AS n FROM verdict GROUP BY ALL")
+def verdict_counts(spark, d):
+    decision = F.when(F.col("allowed"), "ALLOWED").otherwise("BLOCKED")
+    return _verdicts(spark, d).groupBy("tool", decision.alias("decision")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + VERDICT_SQL + " SELECT event_id, tool, allowed, destructive AND exposed AS gated, allowed AND NOT (destructive AND exposed) AS passes FROM verdict")
+def destructive_gate(spark, d):
+    return classify.destructive_gate(_verdicts(spark, d)).select("event_id", "tool", "allowed", "gated", "passes")
+
+
+@query("WITH " + VERDICT_SQL + """ SELECT event_id, CASE WHEN allowed THEN '' ELSE 'sensitive data and untrusted input meet at ' || tool || CASE WHEN classified THEN '' ELSE ' (unclassified)' END END AS reason,
+CASE WHEN allowed THEN '' ELSE 'SENSITIVE,UNTRUSTED_ORIGIN' END AS matched_tags FROM verdict""")
+def explanations(spark, d):
+    why = F.concat(F.lit("sensitive data and untrusted input meet at "), F.col("tool"), F.when(F.col("classified"), "").otherwise(" (unclassified)"))
+    none = lambda c: F.when(F.col("allowed"), "").otherwise(c)
+    return _verdicts(spark, d).select("event_id", none(why).alias("reason"), none(F.lit("SENSITIVE,UNTRUSTED_ORIGIN")).alias("matched_tags"))
+
+
+# -- text
+
+
+@query("WITH " + TOKENS_SQL + " SELECT doc_id, count(*)::BIGINT AS n_tokens, max(length(token))::INT AS longest, sha256(string_agg(token, ' ' ORDER BY token)) AS digest FROM doc_token GROUP BY 1")
+def match_tokens(spark, d):
+    t = _docs(spark, d).select("doc_id", T.match_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    return t.select(
+        "doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_max(F.transform("t", F.length)).alias("longest"),
+        F.sha2(F.array_join(F.array_sort("t"), " ").cast("binary"), 256).alias("digest"),
+    )
+
+
+@query("WITH " + TOKENS_SQL.replace("documents", "benchmark").replace("doc_id", "item_id") + " SELECT item_id, substr(sha256(token), 1, 32) AS token_hash, length(token)::INT AS token_length FROM doc_token")
+def token_hash(spark, d):
+    return links.tokens(table(spark, d, "benchmark"), "text", ["item_id"])
+
+
+@query(r"SELECT doc_id, length(n)::INT AS n_chars, sha256(n) AS digest FROM (SELECT doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) AS n FROM documents)")
+def normalize_text(spark, d):
+    n = _docs(spark, d).select("doc_id", T.normalized(F.col("text")).alias("n"))
+    return n.select("doc_id", F.length("n").alias("n_chars"), F.sha2(F.col("n").cast("binary"), 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, run, round(-list_sum(list_transform(list_distinct(string_split(run, '')), lambda c: (len(list_filter(string_split(run, ''), lambda x: x = c)) / len(run)) * log2(len(list_filter(string_split(run, ''), lambda x: x = c)) / len(run)))), 6) AS entropy
+FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}'))) AS run FROM documents)""")
+def shannon_entropy(spark, d):
+    r = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.SECRET_RUN), F.lit(0)))).alias("run"))
+    return r.select("doc_id", "run", F.round(T.entropy(F.col("run")), 6).alias("entropy"))
+
+
+@query("SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS {n.lower()}" for n, p in PII) + " FROM documents")
+def pii_hits(spark, d):
+    return _docs(spark, d).select("doc_id", *(T.count_matches(F.col("text"), p).alias(n.lower()) for n, p in PII))
+
+
+def _masked_sql() -> str:
+    s = "text"
+    for n, p in PII:
+        s = f"regexp_replace({s}, '{p}', '[{n}]', 'g')"
+    return s
+
+
+@query(f"SELECT doc_id, length(m)::INT AS n_chars, sha256(m) AS digest FROM (SELECT doc_id, {_masked_sql()} AS m FROM documents)")
+def mask_pii_simple(spark, d):
+    m = _docs(spark, d).select("doc_id", T.masked(F.col("text"), PII).alias("m"))
+    return m.select("doc_id", F.length("m").alias("n_chars"), F.sha2(F.col("m").cast("binary"), 256).alias("digest"))
+
+
+@query(r"""SELECT DISTINCT doc_id, n AS digits, list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN (len(n) - i) % 2 = 0 THEN n[i]::INT WHEN n[i]::INT * 2 > 9 THEN n[i]::INT * 2 - 9 ELSE n[i]::INT * 2 END)) % 10 = 0 AS valid
+FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b')), '[^0-9]', '', 'g') AS n FROM documents)""")
+def luhn_valid(spark, d):
+    found = F.explode(F.regexp_extract_all("text", F.lit(T.ascii_bounded(PII[1][1])), F.lit(0)))
+    n = _docs(spark, d).select("doc_id", found.alias("x")).select("doc_id", F.regexp_replace("x", "[^0-9]", "").alias("digits"))
+    return n.distinct().select("doc_id", "digits", T.luhn(F.col("digits")).alias("valid"))
+
+
+@query(r"""SELECT DISTINCT doc_id, ip, len(list_filter(string_split(ip, '.'), lambda p: length(p) > 3 OR p::INT > 255)) = 0 AS valid
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{1,3}(?:\.\d{1,3}){3}\b')) AS ip FROM documents)""")
+def ipv4_valid(spark, d):
+    found = F.explode(F.regexp_extract_all("text", F.lit(T.ascii_bounded(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")), F.lit(0)))
+    return _docs(spark, d).select("doc_id", found.alias("ip")).distinct().select("doc_id", "ip", T.ipv4(F.col("ip")).alias("valid"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 1200 THEN substr(text, 1, 1200) || '…' ELSE text END AS args FROM documents")
+def truncate_args(spark, d):
+    return _docs(spark, d).select("doc_id", T.cut_to(F.col("text"), 1200).alias("args"))
+
+
+TOKENED_SQL = r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[PII_EMAIL_' || substr(sha256(text), 1, 12) || ']', 'g') AS t FROM documents"
+
+
+def _tokened(spark, d):
+    token = F.concat(F.lit("[PII_EMAIL_"), T.short_hash(F.col("text"), 12), F.lit("]"))
+    return _docs(spark, d).select("doc_id", F.regexp_replace("text", F.lit(PII[3][1]), token).alias("t"))
+
+
+@query(rf"SELECT doc_id, len(regexp_extract_all(t, '{T.VAULT_TOKEN}'))::BIGINT AS n_tokens FROM ({TOKENED_SQL})")
+def vault_token_count(spark, d):
+    return _tokened(spark, d).select("doc_id", F.regexp_count("t", F.lit(T.VAULT_TOKEN)).cast("long").alias("n_tokens"))
+
+
+@query(rf"SELECT doc_id, regexp_matches(regexp_replace(t, '{T.VAULT_TOKEN}', '', 'g'), '[\p{{L}}\p{{N}}]') AS has_content FROM ({TOKENED_SQL})")
+def residual_content(spark, d):
+    return _tokened(spark, d).select("doc_id", T.has_content(F.col("t")).alias("has_content"))
+
+
+@query(r"""WITH p AS (SELECT event_id, event_type AS kind, 'user ' || user_id || CASE WHEN event_id % 9 = 0 THEN ': x' WHEN event_id % 10 = 0 THEN repeat('n', 20) ELSE '' END AS name FROM events)
+SELECT event_id, kind IN ('click', 'purchase', 'view') AND length(name) BETWEEN 1 AND 20 AND regexp_full_match(name, '[\p{L}\p{N} ._-]+') AS ok,
+ CASE WHEN kind IN ('click', 'purchase', 'view') AND length(name) BETWEEN 1 AND 20 AND regexp_full_match(name, '[\p{L}\p{N} ._-]+') THEN '{"type":"' || kind || '","name":"' || name || '"}' END AS value FROM p""")
+def structured_extract(spark, d):
+    from sluiceway.operators.sanitize import extract_structured
+    from sluiceway.plans.policy import FieldRule
+
+    schema = {"type": FieldRule("enum", ("click", "purchase", "view")), "name": FieldRule("string", (), 20, "safe-text")}
+    tail = F.when(F.col("event_id") % 9 == 0, ": x").when(F.col("event_id") % 10 == 0, F.repeat(F.lit("n"), 20)).otherwise("")
+    name = F.concat(F.lit("user "), F.col("user_id").cast("string"), tail)
+    payload = F.to_json(F.struct(F.col("event_type").alias("type"), name.alias("name"), F.lit(1).alias("extra")))
+    out = extract_structured(table(spark, d, "events").withColumn("payload", payload), "payload", schema)
+    return out.select("event_id", "ok", "value")
+
+
+# -- links and containment
+
+
+@query("WITH " + CALLS_SQL + ", n AS (SELECT count(*) AS n FROM documents), " + TOKENS_SQL + """, h AS (SELECT doc_id, substr(sha256(token), 1, 32) AS h, length(token) AS l FROM doc_token),
+a AS (SELECT session_id, seq, h, l FROM calls, n JOIN h ON doc_id = (event_id * 31 + 7) % n.n WHERE tool = 'send_email'),
+r AS (SELECT session_id, seq, h FROM calls, n JOIN h ON doc_id = event_id % n.n)
+SELECT a.session_id, a.seq AS child, r.seq AS parent, count(*)::BIGINT AS matches, max(l)::INT AS best_length, arg_min(h, (-l, h)) AS best_hash, count(*) < 2 AND max(l) < 16 AS weak
+FROM a JOIN r USING (session_id, h) WHERE r.seq < a.seq GROUP BY ALL""")
+def value_match_links(spark, d):
+    docs, c = _docs(spark, d), calls(spark, d)
+    n = docs.count()
+    known = links.tokens(docs, "text", ["doc_id"])
+    args = c.where(F.col("tool") == "send_email").select("session_id", "seq", ((F.col("event_id") * 31 + 7) % n).alias("doc_id")).join(known, "doc_id")
+    results = c.select("session_id", "seq", (F.col("event_id") % n).alias("doc_id")).join(known, "doc_id")
+    return links.value_matches(args, results)
+
+
+NODE_SQL = "'tn_' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+@query("WITH " + CALLS_SQL + f""", node AS (SELECT session_id, seq, event_id, {NODE_SQL} AS node_id FROM (SELECT *, sha256(session_id || '|' || seq) AS h FROM calls)),
+leaf AS (SELECT session_id, seq, CASE WHEN event_id % 3 = 1 THEN 'see ' || prev ELSE prev END AS leaf FROM (SELECT *, lag(node_id) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM node) WHERE prev IS NOT NULL AND event_id % 3 < 2)
+SELECT l.session_id, l.seq AS child, n.seq AS parent FROM leaf l JOIN node n ON n.session_id = l.session_id AND n.node_id = l.leaf AND n.seq < l.seq""")
+def explicit_ref_links(spark, d):
+    nodes = calls(spark, d).withColumn("node_id", links.node_id(F.col("session_id").cast("string"), F.col("seq").cast("string")))
+    prev = F.lag("node_id").over(in_session())
+    leaf = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("see "), F.col("prev"))).otherwise(F.col("prev"))
+    args = nodes.withColumn("prev", prev).where(F.col("prev").isNotNull() & (F.col("event_id") % 3 < 2)).select("session_id", "seq", leaf.alias("leaf"))
+    return links.explicit_links(args, nodes)
+
+
+@query("WITH " + EDGES_SQL + """, t AS (SELECT session_id, seq, unnest(tags) AS tag FROM node)
+SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM edge e JOIN t p ON p.session_id = e.session_id AND p.seq = e.parent WHERE e.session_id = t.session_id AND e.child = t.seq AND p.tag = t.tag)""")
+def frontier_nodes(spark, d):
+    return links.frontier(_nodes(spark, d), _edges(spark, d))
+
+
+@query("WITH " + EDGES_SQL + """ SELECT e.session_id, e.child, count(*)::BIGINT AS parents, bool_or(list_contains(tags, 'S')) AS s, bool_or(list_contains(tags, 'U')) AS u, string_agg(tool, ',' ORDER BY seq) AS tools
+FROM edge e JOIN node n ON n.session_id = e.session_id AND n.seq = e.parent GROUP BY 1, 2""")
+def lineage_evidence(spark, d):
+    n = _nodes(spark, d).withColumnRenamed("seq", "parent")
+    j = _edges(spark, d).join(n, ["session_id", "parent"])
+    tools = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("parent", "tool"))), lambda x: x["tool"]), ",")
+    return j.groupBy("session_id", "child").agg(
+        F.count("*").alias("parents"), F.max(F.array_contains("tags", "S")).alias("s"), F.max(F.array_contains("tags", "U")).alias("u"), tools.alias("tools")
+    )
+
+
+def _containment(how: str, text: str, needle: str):
+    @query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {text} AS hay FROM documents) JOIN (SELECT item_id, {needle} AS n FROM benchmark) ON contains(hay, n) WHERE length(n) >= 12")
+    def run(spark, d):
+        return links.containment(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id", how)
+
+    name = f"containment_{how}"
+    QUERIES[name], ORACLES[name] = QUERIES.pop("run"), ORACLES.pop("run")
+
+
+_norm = r"lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"
+_containment("exact", "text", "text")
+_containment("normalized", _norm, _norm)
+_containment("hex", _norm, "lower(hex(encode(text)))")
+_containment("reverse", "text", "reverse(text)")
+
+
+@query("""WITH g AS (SELECT DISTINCT item_id, substr(text, i, 12) AS gram FROM (SELECT item_id, text, unnest(range(1, length(text) - 10)) AS i FROM benchmark WHERE length(text) > 12 AND length(text) <= 256)),
+h AS (SELECT DISTINCT doc_id, substr(text, i, 12) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 10)) AS i FROM documents WHERE length(text) >= 12))
+SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (gram)""")
+def fragment_12gram(spark, d):
+    return links.fragments(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id")
+
+
+@query("""WITH v AS (SELECT item_id, text AS original FROM benchmark WHERE length(text) >= 8), c AS (SELECT doc_id, doc_id % 50 AS pos, text FROM documents)
+SELECT doc_id, pos, count(*)::BIGINT AS originals FROM c JOIN v ON contains(c.text, v.original) AND v.item_id % 50 < c.pos GROUP BY ALL""")
+def vault_resend(spark, d):
+    hit = links.containment(_docs(spark, d), table(spark, d, "benchmark").where(F.length("text") >= 8), "doc_id", "item_id", "exact")
+    at = hit.withColumn("pos", F.col("doc_id") % 50).where(F.col("item_id") % 50 < F.col("pos"))
+    return at.groupBy("doc_id", "pos").agg(F.count("*").alias("originals"))
+
+
+@query("WITH " + VERDICT_SQL + """, snap AS (SELECT session_id, seq AS snap, ts + INTERVAL 1 MINUTE + INTERVAL 250 MILLISECONDS AS until FROM calls WHERE event_id % 3 = 0)
+SELECT session_id, snap, log_seq FROM (SELECT s.session_id, snap, arg_max(seq, (ts, seq)) AS log_seq, arg_max(allowed, (ts, seq)) AS allowed FROM snap s JOIN verdict v ON v.session_id = s.session_id AND v.ts <= s.until GROUP BY 1, 2) WHERE NOT allowed""")
+def asof_blocked(spark, d):
+    v = _verdicts(spark, d)
+    snaps = calls(spark, d).where(F.col("event_id") % 3 == 0).select("session_id", F.col("seq").alias("snap"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"))
+    return links.as_of(v, snaps).where(~F.col("allowed")).select("session_id", "snap", "log_seq")
+
+
+# -- graph
+
+
+@query("WITH RECURSIVE " + EDGES_SQL + """, walk AS (SELECT session_id, seq, 0 AS depth FROM node UNION ALL SELECT e.session_id, e.child, w.depth + 1 FROM walk w JOIN edge e ON e.session_id = w.session_id AND e.parent = w.seq)
+SELECT session_id, seq, max(depth)::INT AS depth FROM walk GROUP BY 1, 2""")
+def node_depth(spark, d):
+    return graph.depths(_nodes(spark, d), _edges(spark, d))
+
+
+@query("WITH RECURSIVE " + EDGES_SQL + """, walk AS (SELECT session_id, seq AS start, seq AS node FROM flags WHERE s UNION SELECT w.session_id, w.start, e.child FROM walk w JOIN edge e ON e.session_id = w.session_id AND e.parent = w.node)
+SELECT session_id, start, count(*)::BIGINT AS reached FROM walk WHERE node <> start GROUP BY 1, 2""")
+def cascade_descendants(spark, d):
+    starts = _flags(spark, d).where(F.col("s"))
+    return graph.descendants(starts, _edges(spark, d)).groupBy("session_id", "start").agg(F.count("*").alias("reached"))
+
+
+@query("WITH " + EDGES_SQL + " SELECT session_id, seq FROM node n WHERE len(tags) = 0 AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.session_id = n.session_id AND e.parent = n.seq)")
+def prune_candidates(spark, d):
+    return graph.prunable(_nodes(spark, d), _edges(spark, d))
+
+
+@query("WITH RECURSIVE " + EDGES_SQL + """, up AS (SELECT session_id, seq FROM node WHERE len(tags) > 0 UNION SELECT e.session_id, e.parent FROM up u JOIN edge e ON e.session_id = u.session_id AND e.child = u.seq)
+SELECT session_id, seq FROM node n WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.session_id = n.session_id AND up.seq = n.seq)""")
+def prune_fixpoint(spark, d):
+    return graph.prune(_nodes(spark, d), _edges(spark, d))
+
+
+_DEPTH = "WITH RECURSIVE " + EDGES_SQL + """, walk AS (SELECT session_id, seq, 0 AS depth FROM node UNION ALL SELECT e.session_id, e.child, w.depth + 1 FROM walk w JOIN edge e ON e.session_id = w.session_id AND e.parent = w.seq),
+dep AS (SELECT session_id, seq, max(depth)::INT AS depth FROM walk GROUP BY 1, 2)"""
+
+
+@query(_DEPTH + " SELECT session_id, tool, arg_max(seq, (depth, -seq)) AS seq, max(depth) AS depth FROM dep JOIN node USING (session_id, seq) WHERE len(tags) > 0 GROUP BY 1, 2")
+def deepest_by_tool(spark, d):
+    n = _nodes(spark, d)
+    depth = graph.depths(n, _edges(spark, d)).join(n.where(F.size("tags") > 0), ["session_id", "seq"])
+    return views.deepest(depth)
+
+
+@query(_DEPTH + " SELECT session_id, seq, depth, row_number() OVER (PARTITION BY session_id, depth ORDER BY seq) - 1 AS slot FROM dep")
+def depth_slots(spark, d):
+    return views.slots(graph.depths(_nodes(spark, d), _edges(spark, d)))
+
+
+# -- approvals and audit
+
+ACTIONS = ("OFFERED", "REQUESTED", "APPROVED", "REJECTED", "SUPERSEDED")
+
+
+@query("""WITH h AS (SELECT event_id // 3 AS approval_id, ts, event_id, ['OFFERED', 'REQUESTED', 'APPROVED', 'REJECTED', 'SUPERSEDED'][(event_id % 5 + 1)::INT] AS action FROM events)
+SELECT approval_id, arg_max(action, (ts, event_id)) AS action, CASE WHEN arg_max(action, (ts, event_id)) IN ('OFFERED', 'REQUESTED') THEN 'PENDING' ELSE arg_max(action, (ts, event_id)) END AS status FROM h GROUP BY 1""")
+def approval_latest_state(spark, d):
+    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 5 + 1).cast("int"))
+    h = table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("approval_id"), "ts", "event_id", action.alias("action"))
+    last = audit.latest_by(h, "approval_id", "ts", "event_id")
+    return last.select("approval_id", "action", F.when(F.col("action").isin("OFFERED", "REQUESTED"), "PENDING").otherwise(F.col("action")).alias("status"))
+
+
+@query("WITH " + EDGES_SQL + """ SELECT e.session_id, e.child, bool_and(e.child % 2 = 0 OR len(tags) = 0) AND e.child % 5 <> 0 AS can_override
+FROM edge e JOIN node n ON n.session_id = e.session_id AND n.seq = e.parent GROUP BY e.session_id, e.child""")
+def approval_overridable(spark, d):
+    n = _nodes(spark, d).withColumnRenamed("seq", "parent")
+    nodes = F.collect_list(F.struct((F.col("child") % 2 == 0).alias("weak"), "tags"))
+    e = _edges(spark, d).join(n, ["session_id", "parent"]).groupBy("session_id", "child").agg(nodes.alias("nodes"))
+    arg_tags = F.when(F.col("child") % 5 == 0, F.array(F.lit("SENSITIVE"))).otherwise(F.array().cast("array<string>"))
+    return e.select("session_id", "child", audit.overridable(F.col("nodes"), arg_tags).alias("can_override"))
+
+
+@query("WITH " + CALLS_SQL + """, signed AS (SELECT *, sha256(session_id || '|' || seq || '|' || tool) AS signature FROM calls),
+log AS (SELECT session_id, seq, CASE WHEN event_id % 97 = 0 THEN 'forged' ELSE tool END AS tool, signature, CASE WHEN event_id % 89 = 0 THEN 'x' ELSE lag(signature) OVER (PARTITION BY session_id ORDER BY seq) END AS prev_hash, event_id % 101 = 0 AS bad FROM signed)
+SELECT session_id, seq, CASE WHEN bad THEN 'PARSE_ERROR' WHEN signature <> sha256(session_id || '|' || seq || '|' || tool) THEN 'SIGNATURE_MISMATCH' WHEN prev_hash IS DISTINCT FROM expected THEN 'CHAIN_BREAK' END AS problem
+FROM (SELECT *, lag(CASE WHEN NOT bad THEN signature END) OVER (PARTITION BY session_id ORDER BY seq) AS expected FROM log)""")
+def audit_chain_verify(spark, d):
+    sign = lambda: audit.signature(F.col("session_id"), F.col("seq"), F.col("tool"))
+    c = calls(spark, d).withColumn("signature", sign())
+    prev = F.when(F.col("event_id") % 89 == 0, "x").otherwise(F.lag("signature").over(in_session()))
+    log = c.withColumn("prev_hash", prev).withColumn("tool", F.when(F.col("event_id") % 97 == 0, "forged").otherwise(F.col("tool")))
+    out = audit.verify_chain(log, ["user_id", "session_id"], "seq", sign(), F.col("event_id") % 101 == 0)
+    return out.select("session_id", "seq", "problem")
+
+
+@query("WITH " + VERDICT_SQL + """, line AS (SELECT ts, event_id, 'decision' AS kind, CASE WHEN allowed THEN 'ALLOWED' ELSE 'BLOCKED' END AS what FROM verdict
+UNION ALL SELECT ts, event_id, 'hitl', 'OFFERED' FROM verdict WHERE NOT allowed) SELECT ts, event_id, kind, what FROM line""")
+def audit_timeline(spark, d):
+    v = _verdicts(spark, d)
+    a = v.select("ts", "event_id", F.lit("decision").alias("kind"), F.when(F.col("allowed"), "ALLOWED").otherwise("BLOCKED").alias("what"))
+    b = v.where(~F.col("allowed")).select("ts", "event_id", F.lit("hitl").alias("kind"), F.lit("OFFERED").alias("what"))
+    return audit.timeline(a, b).orderBy(F.desc("ts"), "kind")
+
+
+@query("SELECT conv_id, turn, upper(role) AS decision, CASE WHEN role = 'user' THEN substr(text, 1, 500) END AS args, concat_ws(',', 'role', 'text') AS dropped FROM conversations")
+def whitelist_projection(spark, d):
+    c = table(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.upper("role").alias("decision"), F.when(F.col("role") == "user", F.substring("text", 1, 500)).alias("args"), F.lit("role,text").alias("dropped"))
+
+
+@query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
+def extract_text(spark, d):
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(parts, "\n").alias("text"))
+
+
+# -- views
+
+
+@query("WITH " + VERDICT_SQL + " SELECT session_id, count(*)::BIGINT AS total, count(*) FILTER (NOT allowed)::BIGINT AS blocked, count(*) FILTER (allowed)::BIGINT AS passed, count(*) FILTER (sink = 'OUTBOUND_SINK')::BIGINT AS outbound FROM verdict GROUP BY 1")
+def metric_cards(spark, d):
+    return views.metric_cards(_verdicts(spark, d))
+
+
+@query("WITH " + VERDICT_SQL + """, b AS (SELECT session_id, arg_max(tool, seq) AS last_tool, arg_max(classified, seq) AS known FROM verdict WHERE NOT allowed GROUP BY 1),
+c AS (SELECT session_id, arg_max(value > 60, seq) AS inj FROM verdict WHERE u GROUP BY 1), f AS (SELECT b.*, 1 + coalesce(inj, false)::INT + (NOT known)::INT AS signals FROM b LEFT JOIN c USING (session_id))
+SELECT session_id, last_tool, signals, CASE WHEN signals >= 3 THEN 'high' ELSE 'caution' END AS level FROM f""")
+def threat_fusion(spark, d):
+    v = _verdicts(spark, d)
+    return views.threat_fusion(v, v.where(F.col("u")).select("session_id", "seq", (F.col("value") > 60).alias("is_injection")))
+
+
+@query("WITH " + FLAGS_SQL + " SELECT session_id, tool, bool_or(s) AS s, bool_or(u) AS u, count(*)::BIGINT AS n FROM flags WHERE (s OR u) AND tool <> 'send_email' GROUP BY 1, 2")
+def flow_sources(spark, d):
+    return views.flow_sources(_flags(spark, d))
+
+
+@query("WITH " + VERDICT_SQL + """, hit AS (SELECT DISTINCT session_id, tool FROM verdict WHERE NOT allowed), t AS (SELECT DISTINCT session_id, tool, s, u FROM flags)
+SELECT h.session_id, h.tool, coalesce((SELECT string_agg(DISTINCT t.tool, ',' ORDER BY t.tool) FROM t WHERE t.session_id = h.session_id AND s AND t.tool <> h.tool), '') AS sensitive_from,
+ coalesce((SELECT string_agg(DISTINCT t.tool, ',' ORDER BY t.tool) FROM t WHERE t.session_id = h.session_id AND u AND t.tool <> h.tool), '') AS untrusted_from FROM hit h""")
+def block_reason(spark, d):
+    return views.block_reason(_verdicts(spark, d), _flags(spark, d))
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 1000")
+def shadow_ring_1000(spark, d):
+    return views.ring(table(spark, d, "events").select("event_type", "event_id", "ts"), "event_type", ["ts", "event_id"], 1000).select("event_type", "event_id")
+
+
+# -- accuracy reports
+
+
+@query("WITH " + RECORDS_SQL + " SELECT mode, " + ", ".join(f"count(*) FILTER (outcome = '{x}')::BIGINT AS {x.lower()}" for x in ("TP", "FP", "TN", "FN")) + " FROM rec GROUP BY 1")
+def confusion_matrix(spark, d):
+    return reports.confusion(_records(spark, d), "mode")
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT mode, round(coalesce(count(*) FILTER (outcome = 'FP' AND category = 'normal') / nullif(count(*) FILTER (category = 'normal'), 0), 0), 6) AS fp_rate,
+round(coalesce(count(*) FILTER (outcome = 'FN' AND category = 'attack') / nullif(count(*) FILTER (category = 'attack'), 0), 0), 6) AS fn_rate FROM rec GROUP BY 1""")
+def fp_fn_rates(spark, d):
+    return reports.error_rates(_records(spark, d), "mode")
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT mode, count(*) FILTER (outcome = 'FP')::BIGINT AS fp, count(*) FILTER (outcome = 'FN')::BIGINT AS fn, count(*) FILTER (expect = 'pass')::BIGINT AS by_label_pass,
+count(*) FILTER (expect = 'block')::BIGINT AS by_label_block, count(*) FILTER (category = 'normal')::BIGINT AS by_category_normal, count(*) FILTER (category = 'attack')::BIGINT AS by_category_attack FROM rec GROUP BY 1""")
+def dual_denominator(spark, d):
+    return reports.denominators(_records(spark, d), "mode")
+
+
+def _pivot_sql(bucket: str) -> str:
+    cols = ", ".join(f"count(*) FILTER (mode = '{m}')::BIGINT AS {m}_total, count(*) FILTER (mode = '{m}' AND outcome IN ('FP', 'FN'))::BIGINT AS {m}_miss" for m in ("session", "lineage"))
+    return "WITH " + RECORDS_SQL + f" SELECT {bucket}, {cols} FROM rec GROUP BY 1"
+
+
+@query(_pivot_sql("tier"))
+def tier_breakdown(spark, d):
+    return reports.pivot_rates(_records(spark, d), "tier")
+
+
+@query(_pivot_sql("tool"))
+def leak_form_pivot(spark, d):
+    return reports.pivot_rates(_records(spark, d), "tool")
+
+
+@query("WITH " + RECORDS_SQL + " SELECT coalesce(tool, 'all') AS tool, coalesce(tier, 'all') AS tier, grouping(tool)::INT AS g_tool, grouping(tier)::INT AS g_tier, count(*)::BIGINT AS n, count(*) FILTER (outcome IN ('FP', 'FN'))::BIGINT AS miss FROM rec GROUP BY CUBE (tool, tier)")
+def limits_axis_cube(spark, d):
+    c = _records(spark, d).cube("tool", "tier").agg(
+        F.grouping("tool").cast("int").alias("g_tool"), F.grouping("tier").cast("int").alias("g_tier"), F.count("*").alias("n"), F.count_if(F.col("outcome").isin("FP", "FN")).alias("miss")
+    )
+    return c.withColumn("tool", F.coalesce("tool", F.lit("all"))).withColumn("tier", F.coalesce("tier", F.lit("all")))
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT mode, round(avg(value), 6) AS mean, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS median, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, min(value) AS least, max(value) AS most FROM rec GROUP BY 1""")
+def latency_stats(spark, d):
+    return reports.latency(_records(spark, d), "value", "mode")
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT tool, mode, concat_ws(',', CASE WHEN count(*) FILTER (outcome = 'FP') = 0 THEN 'no_fp' END, CASE WHEN count(*) FILTER (outcome = 'FN') = 0 THEN 'no_fn' END,
+CASE WHEN count(*) FILTER (tier = 'boundary') = 0 THEN 'no_boundary' END, CASE WHEN count(*) FILTER (tier = 'subtle') = 0 THEN 'no_subtle' END) AS flags FROM rec GROUP BY 1, 2""")
+def honesty_flags(spark, d):
+    return reports.honesty(_records(spark, d), "tool", "mode")
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT session_id || CASE WHEN eval_index > 0 THEN '#' || eval_index ELSE '' END AS rec_id, mode, outcome, tier FROM rec WHERE outcome IN ('FP', 'FN')""")
+def fp_fn_id_list(spark, d):
+    rec = F.concat(F.col("session_id").cast("string"), F.when(F.col("eval_index") > 0, F.concat(F.lit("#"), F.col("eval_index").cast("string"))).otherwise(""))
+    return _records(spark, d).where(F.col("outcome").isin("FP", "FN")).select(rec.alias("rec_id"), "mode", "outcome", "tier")
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT a.session_id, a.eval_index, a.ok AS session_ok, b.ok AS lineage_ok FROM rec a JOIN rec b ON a.session_id = b.session_id AND a.eval_index = b.eval_index AND a.mode = 'session' AND b.mode = 'lineage' WHERE a.ok <> b.ok""")
+def mode_diff(spark, d):
+    r = _records(spark, d)
+    one = lambda m: r.where(F.col("mode") == m).select("session_id", "eval_index", F.col("ok").alias(f"{m}_ok"))
+    return one("session").join(one("lineage"), ["session_id", "eval_index"]).where(F.col("session_ok") != F.col("lineage_ok"))
+
+
+@query("WITH " + RECORDS_SQL + """ SELECT session_id, mode, arg_max(expect, eval_index) AS expect, arg_max(ok, eval_index) AS ok FROM rec GROUP BY 1, 2""")
+def last_expect(spark, d):
+    return _records(spark, d).groupBy("session_id", "mode").agg(F.max_by("expect", "eval_index").alias("expect"), F.max_by("ok", "eval_index").alias("ok"))
+
+
+@query("WITH " + FLAGS_SQL + " SELECT session_id, bool_or(s) AS reads_sensitive, bool_or(u) AS reads_untrusted, bool_or(sink = 'OUTBOUND_SINK') AS has_sink, bool_or(NOT classified) AS has_unknown FROM flags GROUP BY 1")
+def scenario_facts(spark, d):
+    return _flags(spark, d).groupBy("session_id").agg(
+        F.max("s").alias("reads_sensitive"), F.max("u").alias("reads_untrusted"), F.max(F.col("sink") == classify.OUTBOUND).alias("has_sink"), F.max(~F.col("classified")).alias("has_unknown")
+    )
+
+
+@query("WITH " + FLAGS_SQL + """, f AS (SELECT session_id, bool_or(s) AS s FROM flags GROUP BY 1 HAVING bool_or(u)), i(goal, reads) AS (VALUES ('send_money', false), ('mail_inbox', true), ('post_secret', true))
+SELECT session_id, goal FROM f, i WHERE s OR reads""")
+def exposed_x_injection(spark, d):
+    f = _flags(spark, d).groupBy("session_id").agg(F.max("s").alias("s"), F.max("u").alias("u")).where(F.col("u"))
+    goals = F.array(*(F.struct(F.lit(g).alias("goal"), F.lit(r).alias("reads")) for g, r in (("send_money", False), ("mail_inbox", True), ("post_secret", True))))
+    x = f.select("session_id", "s", F.explode(goals).alias("i")).where(F.col("s") | F.col("i.reads"))
+    return x.select("session_id", F.col("i.goal").alias("goal"))
+
+
+@query("WITH " + FLAGS_SQL + """ SELECT (session_id % 5)::INT AS suite, count(DISTINCT session_id)::BIGINT AS sessions, string_agg(DISTINCT CASE WHEN s THEN tool END, ',' ORDER BY CASE WHEN s THEN tool END) AS sensitive_tools,
+string_agg(DISTINCT CASE WHEN u THEN tool END, ',' ORDER BY CASE WHEN u THEN tool END) AS untrusted_tools FROM flags GROUP BY 1""")
+def config_tool_union(spark, d):
+    join = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c), F.col("tool")))), ",")
+    return _flags(spark, d).groupBy((F.col("session_id") % 5).cast("int").alias("suite")).agg(
+        F.countDistinct("session_id").alias("sessions"), join("s").alias("sensitive_tools"), join("u").alias("untrusted_tools")
+    )
+
+
+@query("WITH " + CALLS_SQL + " SELECT 's' || (user_id % 3) || '.' || tool AS name, count(*)::BIGINT AS n FROM calls GROUP BY 1")
+def federated_catalog(spark, d):
+    c = calls(spark, d)
+    parts = [c.where(F.col("user_id") % 3 == k).select(F.concat(F.lit(f"s{k}."), F.col("tool")).alias("name")) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.count("*").alias("n"))
+
+
+from sluiceway import stateful  # noqa: E402
+
+QUERIES |= stateful.QUERIES
