@@ -1,3 +1,159 @@
-"""Queries that replay sessions."""
+"""Queries that replay sessions, decode and tokenize: no SQL form; tests check them against fixtures and each other."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import uuid
+from dataclasses import replace
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluiceway.functions import leaves as L
+from sluiceway.operators import fold
+from sluiceway.plans.policy import DEFAULT
+from sluiceway.sources.calls import calls, table
+from sluiceway.streaming import session_stream
+
+LINEAGE = replace(DEFAULT, mode="lineage", hitl="weak-only", destructive_policy="hitl", pruning="declassified")
+
+
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The call log as replay events: each call is judged with a document as its argument, then its result is recorded.
+
+    Every sixth event is followed by an approval, every ninth by a tokenization.
+    """
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    text = docs.select(F.col("doc_id").alias("k"), F.to_json(F.struct("text")).alias("json"))
+    c = calls(spark, sf_dir).select("session_id", "seq", "event_id", "tool")
+    c = c.join(text.select(F.col("k"), F.col("json").alias("args")), (F.col("event_id") * 31 + 7) % n == F.col("k")).drop("k")
+    c = c.join(text.select(F.col("k"), F.col("json").alias("result")), F.col("event_id") % n == F.col("k")).drop("k")
+    none = F.lit(None).cast("string")
+    row = lambda at, op, tool, args, result: F.struct(
+        F.lit(at).cast("long").alias("at"), F.lit(op).alias("op"), tool.alias("tool"), args.alias("args"), result.alias("result")
+    )
+    steps = F.array_compact(F.array(
+        row(0, "evaluate", F.col("tool"), F.col("args"), none),
+        F.when(F.col("event_id") % 6 == 0, row(1, "approve", none, none, none)),
+        F.when(F.col("event_id") % 6 == 0, row(2, "evaluate", F.col("tool"), F.col("args"), none)),
+        row(3, "record", F.col("tool"), F.col("args"), F.col("result")),
+        F.when(F.col("event_id") % 9 == 0, row(4, "sanitize", F.lit("TOKENIZATION"), none, none)),
+    ))
+    e = c.select(F.col("session_id").cast("string").alias("session_id"), "seq", F.explode(steps).alias("s"))
+    return e.select("session_id", (F.col("seq") * 8 + F.col("s.at")).alias("seq"), "s.op", "s.tool", "s.args", "s.result", none.alias("arg_tags"), none.alias("ref"))
+
+
+def lineage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold.replay(session_events(spark, sf_dir), LINEAGE)
+    return out.where(F.col("op") == "evaluate").select("session_id", "seq", "tool", "allowed", "matched_tags", "link_method", "evidence", "weak_only", "can_override", "scan_kind", "scan_transform")
+
+
+def hitl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold.replay(session_events(spark, sf_dir), LINEAGE)
+    return out.where(F.col("op").isin("approve", "evaluate")).select("session_id", "seq", "op", "allowed", "reason", "can_override", "approval_id")
+
+
+def sanitize_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fold.replay(session_events(spark, sf_dir), LINEAGE)
+    return out.where(F.col("op") == "sanitize").select("session_id", "seq", "allowed", "reason", "tags", "exposed")
+
+
+def tokenize_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches):
+        for rows in batches:
+            found = [L.tokenize(t, DEFAULT) for t in rows["text"]]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "ok": [f[0] for f in found], "n_tokens": [len(f[2]) for f in found], "text": [f[1] for f in found]})
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, ok boolean, n_tokens long, text string")
+
+
+def mask_pii_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(batches):
+        for rows in batches:
+            yield pd.DataFrame({"conv_id": rows["conv_id"], "turn": rows["turn"], "text": [L.redact_deep(t) for t in rows["text"]]})
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, text string")
+
+
+def output_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, in one of six disguises, scanned for a benchmark passage that it may hold."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    n = items.count()
+    plain = F.col("text")
+    binary = plain.cast("binary")
+    forms = [plain, F.base64(binary), F.lower(F.hex(binary)), F.url_encode(plain), F.reverse(plain), F.regexp_replace(plain, "(.)", "$1 ")]
+    form = F.col("doc_id") % len(forms)
+    secret = items.select(F.col("item_id").alias("k"), F.to_json(F.struct("text")).alias("payload"), F.array(*forms).alias("disguised"))
+    pairs = docs.join(secret, F.col("doc_id") % n == F.col("k")).select(
+        "doc_id", F.lit("query_customer_db").alias("tool"), F.when(F.col("doc_id") % 2 == 0, "source").otherwise("content").alias("origin"),
+        F.to_json(F.struct(F.col("text").alias("body"), F.element_at("disguised", (form + 1).cast("int")).alias("note"))).alias("args"), "payload",
+    )
+    return fold.scan_calls(pairs, DEFAULT)
+
+
+def vault_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.vault_entries(table(spark, sf_dir, "documents").select(F.col("text").alias("result"), F.col("doc_id").alias("at")), DEFAULT)
+
+
+def injection_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorer hook with no model at hand: flagged, not evaluated; empty text scores 0."""
+    return score_injection(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text")
+
+
+def score_injection(rows: DataFrame, text: str, scorer=None, threshold: float = 0.95) -> DataFrame:
+    """Adds is_injection, score, evaluated. ``scorer`` maps texts (cut to 2,000 characters) to scores in Arrow batches."""
+    if scorer is None:
+        empty = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
+        return rows.select("*", (~empty).alias("is_injection"), F.when(empty, 0.0).otherwise(1.0).alias("score"), empty.alias("evaluated"))
+    udf = F.pandas_udf(lambda s: pd.Series(scorer(s.str.slice(0, 2000))), "double")
+    return rows.withColumn("score", udf(F.coalesce(text, F.lit("")))).withColumn("is_injection", F.col("score") > threshold).withColumn("evaluated", F.lit(True))
+
+
+def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
+    """Drain a stream into Parquet under the shared checkpoint folder, and read that."""
+    import tempfile
+
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sluiceway-")
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def stream_session_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by keyed state over the events table read as a stream."""
+    events = table(spark, sf_dir, "events")
+    whole = any(f.endswith("/events.parquet") for f in events.inputFiles())  # one file, or a folder of part files
+    where, only = (sf_dir, "events.parquet") if whole else (f"{sf_dir}/events.parquet", "*.parquet")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", only).parquet(where)
+    tool = F.element_at(F.create_map(*(F.lit(x) for kv in TOOLS.items() for x in kv)), F.col("event_type"))
+    none = F.lit(None).cast("string")
+    event = lambda at, op: F.struct(F.lit(at).alias("at"), F.lit(op).alias("op"))
+    e = stream.select("user_id", "event_id", tool.alias("tool"), F.explode(F.array(event(0, "evaluate"), event(1, "record"))).alias("s"))
+    e = e.select(F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") * 2 + F.col("s.at")).cast("long").alias("seq"), "s.op", "tool", none.alias("args"), none.alias("result"), none.alias("arg_tags"), none.alias("ref"))
+    out = run_stream(session_stream.decisions(e, DEFAULT), spark)
+    return out.where(F.col("op") == "evaluate").select("session_id", "seq", "tool", "allowed", "exposed")
+
+
+TOOLS = {"signup": "query_customer_db", "view": "fetch_web_page", "click": "read_email", "purchase": "send_email", "error": "mystery_tool"}
+
+
+def fold_session_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session-mode verdicts by the fold; equal to the windows of session_verdict."""
+    none = F.lit(None).cast("string")
+    event = lambda at, op: F.struct(F.lit(at).alias("at"), F.lit(op).alias("op"))
+    c = calls(spark, sf_dir).select("session_id", "seq", "tool", F.explode(F.array(event(0, "evaluate"), event(1, "record"))).alias("s"))
+    e = c.select(F.col("session_id").cast("string").alias("session_id"), (F.col("seq") * 2 + F.col("s.at")).alias("seq"), "s.op", "tool", none.alias("args"), none.alias("result"), none.alias("arg_tags"), none.alias("ref"))
+    out = fold.replay(e, DEFAULT).where(F.col("op") == "evaluate")
+    return out.select(F.col("session_id").cast("long").alias("session_id"), ((F.col("seq")) / 2).cast("long").alias("seq"), "tool", "allowed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        lineage_replay, hitl_replay, sanitize_replay, tokenize_pii, mask_pii_deep, output_scan, vault_tokens, injection_scores,
+        stream_session_verdict, fold_session_verdict,
+    )
+}
