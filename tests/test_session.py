@@ -66,8 +66,8 @@ def test_tokenization_clears_s_but_not_exposure():
 
 def test_original_sent_again_is_blocked():
     s = session()
-    s.record("query_customer_db", {}, CUSTOMER)
     s.record("read_email", {}, {"m": "hi"})
+    s.record("query_customer_db", {}, CUSTOMER)
     s.sanitize("TOKENIZATION")
     assert not s.evaluate("send_email", {"b": "card 1234-5678-9012-3456"}).allowed
     assert s.evaluate("send_email", {"b": "nothing"}).allowed
@@ -90,7 +90,7 @@ def test_structured_extraction_clears_u_all_or_nothing():
 
 def test_approval_is_single_use_and_bound_to_lineage():
     s = session(ASK)
-    s.record("query_customer_db", {}, {"v": "abc"})
+    root, _, _ = s.record("query_customer_db", {}, {"v": "abc"})
     s.record("read_email", {}, {"m": "hi"})
     call = ("send_email", {"b": "zz"}, '{"b":"zz"}')
     d = s.evaluate(*call)
@@ -102,7 +102,7 @@ def test_approval_is_single_use_and_bound_to_lineage():
     e = s.evaluate(*call)
     s.request(e.approval)
     s.resolve(e.approval, True)
-    s.record("query_customer_db", {}, {"v": "new lineage"})
+    s.add_tags(root, {U})
     assert not s.evaluate(*call).allowed
     assert [a[2] for a in s.audit][-2:] == ["OVERRIDE_STALE", "OFFERED"]
 
