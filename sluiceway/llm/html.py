@@ -211,16 +211,17 @@ def blocks(node: Node, w: Wrapper | None, pages: int, inside: bool) -> list[str]
                 flush()
             return
         slots = {c.key: c for c in w.children} if w else {}
+        s = slots.get("#")
+        varies = s is not None and s.text is False  # what is set off within a varying text belongs to it
         for c in n.children:
             if isinstance(c, str):
-                s = slots.get("#")
                 fixed = s and pages > 2 and s.text and s.seen >= pages and not inside
                 if not fixed:
                     line.append(references.unescape(c))
             elif c.tag == "br":
                 line.append(" ")
             elif c.tag in INLINE:
-                walk(c, slots.get(c.key))
+                walk(c, None if varies else slots.get(c.key))
             else:
                 flush()
                 walk(c, slots.get(c.key))

@@ -166,7 +166,7 @@ class Model:
     def __init__(self, sample: list[tuple[str, int]]):
         self.vectors = Vectors([t for t, _ in sample])
         f = Features(self.vectors)
-        x = np.array([f.of(t) for t, _ in sample]).reshape(len(sample), -1)
+        x = np.array([f.of(t) for t, _ in sample]).reshape(len(sample), 2 * DIM + 3)
         self.network = Network(x, np.array([q for _, q in sample], int))
 
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         f = Features(m.vectors)
         for b in batches:
-            x = np.array([f.of(t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, -1)
+            x = np.array([f.of(t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, 2 * DIM + 3)
             s = m.network.score(x) if len(x) else np.zeros(0)
             keep = [n for n in b.schema.names if n != "score"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
