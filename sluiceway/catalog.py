@@ -504,10 +504,39 @@ def audit_timeline(spark, d):
     return audit.timeline(a, b).orderBy(F.desc("ts"), "kind")
 
 
-@query("SELECT conv_id, turn, upper(role) AS decision, CASE WHEN role = 'user' THEN substr(text, 1, 500) END AS args, concat_ws(',', 'role', 'text') AS dropped FROM conversations")
+@query("""SELECT event_id, CASE WHEN event_type = 'purchase' THEN '{"kind":"purchase","k":"' || (props->>'k') || '"}' ELSE '{"kind":"' || event_type || '"}' END AS kept,
+CASE WHEN event_type = 'purchase' THEN 'user' ELSE 'k,user' END AS dropped FROM events""")
 def whitelist_projection(spark, d):
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.upper("role").alias("decision"), F.when(F.col("role") == "user", F.substring("text", 1, 500)).alias("args"), F.lit("role,text").alias("dropped"))
+    """Fields of an event that its type allows, and the names of those that are dropped."""
+    f = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("k"), F.get_json_object("props", "$.k"), F.lit("user"), F.col("user_id").cast("string"))
+    allowed = F.when(F.col("event_type") == "purchase", F.array(F.lit("kind"), F.lit("k"))).otherwise(F.array(F.lit("kind")))
+    e = table(spark, d, "events").select("event_id", f.alias("f"), allowed.alias("ok"))
+    kept = F.to_json(F.map_filter("f", lambda k, _: F.array_contains("ok", k)))
+    return e.select("event_id", kept.alias("kept"), F.array_join(F.array_sort(F.array_except(F.map_keys("f"), "ok")), ",").alias("dropped"))
+
+
+@query("WITH " + VERDICT_SQL + """ SELECT event_id, CASE WHEN allowed THEN NULL ELSE tool END AS args, CASE WHEN allowed THEN 'ALLOWED' ELSE 'BLOCKED' END AS decision,
+concat_ws(',', CASE WHEN s_before THEN 'SENSITIVE' END, CASE WHEN exposed THEN 'UNTRUSTED_ORIGIN' END) AS tags FROM verdict""")
+def decision_events(spark, d):
+    """Decisions as views show them; arguments only of what was blocked."""
+    v = _verdicts(spark, d)
+    return v.select(
+        "event_id", F.when(~F.col("allowed"), F.col("tool")).alias("args"), F.when(F.col("allowed"), "ALLOWED").otherwise("BLOCKED").alias("decision"),
+        classify.tag_list(F.col("s_before"), F.col("exposed")).alias("tags"),
+    )
+
+
+@query(_DEPTH + """ SELECT session_id, 'node' AS kind, seq AS a, NULL::BIGINT AS b FROM node UNION ALL SELECT session_id, 'edge', parent, child FROM edge
+UNION ALL SELECT session_id, 'sink', max(seq), NULL FROM node GROUP BY session_id""")
+def graph_model(spark, d):
+    """Rows to draw a session's graph from: nodes, edges, and one synthetic sink per session."""
+    n, e = _nodes(spark, d), _edges(spark, d)
+    none = F.lit(None).cast("long")
+    return (
+        n.select("session_id", F.lit("node").alias("kind"), F.col("seq").alias("a"), none.alias("b"))
+        .unionByName(e.select("session_id", F.lit("edge").alias("kind"), F.col("parent").alias("a"), F.col("child").alias("b")))
+        .unionByName(n.groupBy("session_id").agg(F.max("seq").alias("a")).select("session_id", F.lit("sink").alias("kind"), "a", none.alias("b")))
+    )
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import replace
 
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import leaves as L
-from sluiceway.operators import fold
+from sluiceway.operators import audit, fold, scenarios
+from sluiceway.operators.classify import flagged, verdicts
 from sluiceway.plans.policy import DEFAULT
+from sluiceway.sources import audit_log
 from sluiceway.sources.calls import calls, table
 from sluiceway.streaming import session_stream
 
@@ -110,13 +113,15 @@ def score_injection(rows: DataFrame, text: str, scorer=None, threshold: float =
     return rows.withColumn("score", udf(F.coalesce(text, F.lit("")))).withColumn("is_injection", F.col("score") > threshold).withColumn("evaluated", F.lit(True))
 
 
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    sc = spark.sparkContext
+    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sluiceway-")).rstrip("/")
+
+
 def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Drain a stream into Parquet under the shared checkpoint folder, and read that."""
-    import tempfile
-
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sluiceway-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -150,10 +155,48 @@ def fold_session_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("session_id").cast("long").alias("session_id"), ((F.col("seq")) / 2).cast("long").alias("seq"), "tool", "allowed")
 
 
+def channel_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as external content: each is requested, recorded, and then sent on by another channel."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.to_json(F.struct("html")).alias("json"))
+    none = F.lit(None).cast("string")
+    row = lambda at, op, args, result: F.struct(
+        F.lit(at).alias("at"), F.lit(op).alias("op"), args.alias("args"), result.alias("result")
+    )
+    steps = F.array(row(0, "resource", none, none), row(1, "content", none, F.col("json")), row(2, "outbound", F.col("json"), none))
+    e = p.select((F.col("page_id") % 50).cast("string").alias("session_id"), "page_id", "url", F.explode(steps).alias("s"))
+    tool = F.when(F.col("s.op") == "outbound", "sampling/createMessage").otherwise("resources/read")
+    e = e.select("session_id", (F.col("page_id") * 3 + F.col("s.at")).alias("seq"), "s.op", tool.alias("tool"), "s.args", "s.result", none.alias("arg_tags"), F.col("url").alias("ref"))
+    return fold.replay(e, LINEAGE).select("session_id", "seq", "op", "allowed", "link_method", "tags", "exposed", "scan_kind")
+
+
+def scenario_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenarios made from the call log, replayed in both modes: an evaluation record per labelled decision."""
+    docs = table(spark, sf_dir, "documents")
+    n = docs.count()
+    text = docs.select(F.col("doc_id").alias("k"), F.to_json(F.struct("text")).alias("args"))
+    c = calls(spark, sf_dir).join(text, F.col("event_id") % n == F.col("k"))
+    traces = c.select("session_id", "seq", "tool", "args", F.col("args").alias("result"), F.when(F.col("value") > 40, "block").otherwise("pass").alias("label"))
+    return scenarios.replay(scenarios.from_traces(traces), DEFAULT).drop("why")
+
+
+def audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdicts' audit log written as JSON lines, read again and verified as a chain."""
+    from pyspark.sql import Window
+
+    v = verdicts(flagged(calls(spark, sf_dir))).withColumn("decision", F.when(F.col("allowed"), "ALLOWED").otherwise("BLOCKED"))
+    sign = lambda: audit.signature(*(F.col(c) for c in ("session_id", "seq", "tool", "decision")))
+    v = v.withColumn("signature", sign())
+    v = v.withColumn("prev_hash", F.lag("signature").over(Window.partitionBy("user_id", "session_id").orderBy("seq")))
+    path = f"{shared(spark)}/audit-{uuid.uuid4().hex}"
+    audit_log.write(v, path)
+    back = audit_log.read(spark, path)
+    return audit.verify_chain(back, ["session_id"], "seq", sign(), F.col("bad")).select("session_id", "seq", "tool", "decision", "problem")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lineage_replay, hitl_replay, sanitize_replay, tokenize_pii, mask_pii_deep, output_scan, vault_tokens, injection_scores,
-        stream_session_verdict, fold_session_verdict,
+        stream_session_verdict, fold_session_verdict, channel_replay, scenario_replay, audit_jsonl,
     )
 }
