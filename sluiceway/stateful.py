@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import replace
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway import at_hand
 from sluiceway.functions import leaves as L
 from sluiceway.operators import audit, fold, scenarios
 from sluiceway.operators.classify import flagged, verdicts
@@ -193,8 +195,17 @@ def audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verify_chain(back, ["session_id"], "seq", sign(), F.col("bad")).select("session_id", "seq", "tool", "decision", "problem")
 
 
+def _ready(f):
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at_hand(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _ready(f)
     for f in (
         lineage_replay, hitl_replay, sanitize_replay, tokenize_pii, mask_pii_deep, output_scan, vault_tokens, injection_scores,
         stream_session_verdict, fold_session_verdict, channel_replay, scenario_replay, audit_jsonl,
