@@ -118,7 +118,7 @@ def repeated_cells(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
     """
     segments = 1 << (bits - SEGMENT_BITS)
 
-    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def touched(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate(held)
         for row in range(DEPTH):
             c = np.sort(cells(h, row, bits))
@@ -143,10 +143,10 @@ def repeated_cells(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]],
                 held.append(h)
                 n += len(h)
             if n >= FLUSH:
-                yield from packed(held)
+                yield from touched(held)
                 held, n = [], 0
         if held:
-            yield from packed(held)
+            yield from touched(held)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << SEGMENT_BITS, np.uint8)
@@ -192,3 +192,39 @@ def merged(spans: np.ndarray) -> np.ndarray:
     new = np.concatenate(([True], spans[1:, 0] > reach[:-1]))
     first = np.flatnonzero(new)
     return np.stack((spans[first, 0], np.concatenate((reach[first[1:] - 1], reach[-1:]))), axis=1)
+
+
+# -- spans per document, on their way back from groups
+
+
+def packed(ids: list[int], blobs: list[bytes], n_buckets: int) -> pd.DataFrame:
+    """(b, data): a group's spans, one row per bucket of documents instead of one per document."""
+    doc = np.array(ids, np.int64)
+    bucket = (mixed(doc.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(doc) else np.zeros(1, np.int64)
+    rows = []
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        own = order[a:b]
+        sizes = np.array([len(blobs[i]) for i in own], np.int32)
+        data = np.uint32(len(own)).tobytes() + doc[own].tobytes() + sizes.tobytes() + b"".join(blobs[i] for i in own)
+        rows.append((int(bucket[own[0]]), zlib.compress(data, 1)))
+    return pd.DataFrame(rows, columns=["b", "data"]).astype({"b": "int64"})
+
+
+def spans_by_document(rows: DataFrame) -> DataFrame:
+    """(b, data) to doc_id and spans: all packed int32 pairs of a document, merged."""
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        held: dict[int, list[bytes]] = {}
+        for blob in rows["data"]:
+            raw = zlib.decompress(blob)
+            n = int(np.frombuffer(raw, np.uint32, 1)[0])
+            at = 4 + 12 * n
+            for d, size in zip(np.frombuffer(raw, np.int64, n, 4).tolist(), np.frombuffer(raw, np.int32, n, 4 + 8 * n).tolist(), strict=True):
+                held.setdefault(d, []).append(raw[at : at + size])
+                at += size
+        spans = [merged(np.frombuffer(b"".join(x), np.int32).reshape(-1, 2).astype(np.int64)).astype(np.int32).tobytes() for x in held.values()]
+        return pd.DataFrame({"doc_id": list(held), "spans": spans}).astype({"doc_id": "int64"})
+
+    return rows.groupBy("b").applyInPandas(gather, "doc_id long, spans binary")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow
 from sluiceway.llm.sketch import (
-    anchored, buffers, grams, is_repeated, merged, mixed, repeated_cells, sliding, spans_of, width_bits,
+    anchored, buffers, grams, is_repeated, merged, mixed, packed, repeated_cells, spans_by_document, spans_of, width_bits,
 )
 
 WINDOW = 20
@@ -169,22 +169,19 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             order, first = _first_only(h1, h2, doc, at)
             more = _later(doc[order][~first], at[order][~first], window)
             ids, blobs = ids + more[0], blobs + more[1]
-        return pd.DataFrame({"doc_id": ids, "spans": blobs}).astype({"doc_id": "int64"})
+        return packed(ids, blobs, n_groups)
 
     sent = map_arrow(rows, send, "g long, doc long, data binary")
-    return sent.groupBy("g").applyInPandas(group, "doc_id long, spans binary")
+    return spans_by_document(sent.groupBy("g").applyInPandas(group, "b long, data binary"))
 
 
-def union_spans(blobs: list[bytes] | None) -> np.ndarray:
-    if not blobs:
-        return np.zeros((0, 2), np.int64)
-    return merged(np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2).astype(np.int64))
+def union_spans(blob: bytes | None) -> np.ndarray:
+    return merged(np.frombuffer(blob or b"", np.int32).reshape(-1, 2).astype(np.int64))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Documents with all of their spans as one list (null: none)."""
-    listed = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    return docs.select("doc_id", "text").join(listed, "doc_id", "left")
+    """Documents with their spans (null: none)."""
+    return docs.select("doc_id", "text").join(spans, "doc_id", "left")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow
-from sluiceway.llm.sketch import anchored, buffers, grams, is_repeated, mixed, repeated_cells, width_bits
+from sluiceway.llm.sketch import anchored, buffers, grams, is_repeated, mixed, packed, repeated_cells, spans_by_document, width_bits
 from sluiceway.llm.substrings import union_spans, with_spans
 
 LENGTH = 50
@@ -190,7 +190,7 @@ def _by_doc(doc: np.ndarray, spans: np.ndarray) -> tuple[list[int], list[bytes]]
     order = np.argsort(doc, kind="stable")
     doc, spans = doc[order], spans[order].astype(np.int64)
     edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(1, np.int64)
-    blobs = [union_spans([spans[a:b].astype(np.int32).tobytes()]).astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    blobs = [union_spans(spans[a:b].astype(np.int32).tobytes()).astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
     return [int(doc[a]) for a in edge[:-1]], blobs
 
 
@@ -313,10 +313,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             on = per[:, 0] == 1
             more = _by_doc(np.repeat(doc, n_at)[on], np.stack((at - per[:, 1], at + per[:, 2]), axis=1)[on])
             ids, blobs = ids + more[0], blobs + more[1]
-        return pd.DataFrame({"doc_id": ids, "spans": blobs}).astype({"doc_id": "int64"})
+        return packed(ids, blobs, n_groups)
 
     sent = map_arrow(rows, send, "g long, doc long, data binary")
-    return sent.groupBy("g").applyInPandas(group, "doc_id long, spans binary")
+    return spans_by_document(sent.groupBy("g").applyInPandas(group, "b long, data binary"))
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
