@@ -1,11 +1 @@
-"""Training-data operators. Nothing outside this subpackage imports it.
-
-Every Python function that runs on executors is pickled by value, so a cluster
-needs no copy of this package on its workers.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators. Nothing outside this subpackage imports it."""

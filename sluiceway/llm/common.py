@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway import at_hand
+
 #: White space of the contracts: space and \t \n \v \f \r. Words are the rest.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,6 +44,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, whatever the session's default."""
+    at_hand(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -42,6 +42,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+NUMBER = re.compile(r"\d+")
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -104,6 +105,7 @@ def parse(text: str | None) -> Node:
         if name in SIBLINGS:
             close(SIBLINGS[name], SCOPES)
         marks = " ".join(sorted(x[1] or x[2] or x[3] or x[0] for x in ATTR.findall(m["attrs"]))) if m["attrs"] else ""
+        marks = NUMBER.sub("0", marks)  # ids often count pages
         node = Node(name, marks)
         stack[-1].children.append(node)
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):

@@ -42,6 +42,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def marks(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Mixed gram hashes, never zero: zero stands for a window that isn't in one document."""
+    return mixed(grams(symbols, k, 0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def width_bits(anchors: float) -> int:
     """log2 of the cells per row for so many expected anchors, at a load of a third or less."""
     return int(min(MAX_BITS, max(SEGMENT_BITS, np.ceil(np.log2(max(1.0, 3 * anchors))))))
@@ -86,7 +91,7 @@ def grams(symbols: np.ndarray, k: int, base: int) -> np.ndarray:
 def anchored(gram: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(least gram hash of each window, is position an anchor).
 
-    ``gram`` has mixed hashes; a window is ``width`` grams; ``last[i]`` says that
+    ``gram`` has ``marks``; a window is ``width`` grams; ``last[i]`` says that
     the window starting at i lies in one document.
     """
     if len(gram) < width:

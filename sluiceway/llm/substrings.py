@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow
 from sluiceway.llm.sketch import (
-    anchored, buffers, grams, is_repeated, merged, mixed, packed, repeated_cells, spans_by_document, spans_of, width_bits,
+    anchored, buffers, grams, is_repeated, marks, merged, packed, repeated_cells, spans_by_document, spans_of, width_bits,
 )
 
 WINDOW = 20
@@ -56,7 +56,7 @@ class _Buffer:
         n = int(self.start[-1])
         self.words = np.fromiter((digest(w) for _, _, ws in docs for w in ws), np.uint64, n)
         self.doc = np.repeat(np.arange(len(docs)), sizes)
-        gram = mixed(grams(self.words, GRAM, 0x9E3779B97F4A7C15))
+        gram = marks(self.words, GRAM)
         at = np.arange(max(0, n - window + 1))
         self.valid = self.start[self.doc[at] + 1] >= at + window
         self.least, self.anchor = anchored(gram, self.valid, window - GRAM + 1)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow
-from sluiceway.llm.sketch import anchored, buffers, grams, is_repeated, mixed, packed, repeated_cells, spans_by_document, width_bits
+from sluiceway.llm.sketch import anchored, buffers, is_repeated, marks, mixed, packed, repeated_cells, spans_by_document, width_bits
 from sluiceway.llm.substrings import union_spans, with_spans
 
 LENGTH = 50
@@ -59,7 +59,7 @@ class _Buffer:
         self.bytes = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
         n = len(self.bytes)
         self.doc = np.repeat(np.arange(len(docs)), sizes)
-        self.gram = mixed(grams(self.bytes, GRAM, 0x9E3779B97F4A7C15))
+        self.gram = marks(self.bytes, GRAM)
         at = np.arange(max(0, n - LENGTH + 1))
         valid = self.start[self.doc[at] + 1] >= at + LENGTH
         _, anchor = anchored(self.gram, valid, LENGTH - GRAM + 1)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import written
+from sluiceway.llm.common import map_arrow, written
 from sluiceway.llm.components import components
 from sluiceway.llm.simhash import join_labels
 
@@ -71,7 +71,8 @@ def keyed(vectors: DataFrame) -> DataFrame:
             vs = pa.array([None if x is None else x.tolist() for x in xs], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), vs], names=["vec_id", "key", "v"])
 
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "vec_id long, key binary, v array<double>")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return map_arrow(rows, run, "vec_id long, key binary, v array<double>")
 
 
 class Plan:
