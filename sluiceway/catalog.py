@@ -545,6 +545,23 @@ def extract_text(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(parts, "\n").alias("text"))
 
 
+@query("""WITH h AS (SELECT event_id // 3 AS approval_id, ts, event_id, ['OFFERED', 'REQUESTED', 'APPROVED', 'REJECTED', 'SUPERSEDED'][(event_id % 5 + 1)::INT] AS action FROM events)
+SELECT approval_id, event_id, next_ts IS NULL OR next_ts > ts + INTERVAL 5 SECONDS AS timed_out FROM (SELECT *, lead(ts) OVER (PARTITION BY approval_id ORDER BY ts, event_id) AS next_ts FROM h) WHERE action = 'REQUESTED'""")
+def approval_timeouts(spark, d):
+    """Requests without an answer within five seconds."""
+    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 5 + 1).cast("int"))
+    h = table(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("approval_id"), "ts", "event_id", action.alias("action"))
+    h = h.withColumn("next_ts", F.lead("ts").over(Window.partitionBy("approval_id").orderBy("ts", "event_id"))).where(F.col("action") == "REQUESTED")
+    return h.select("approval_id", "event_id", (F.col("next_ts").isNull() | (F.col("next_ts") > F.col("ts") + F.expr("INTERVAL 5 SECONDS"))).alias("timed_out"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'source' ELSE 'content' END AS origin FROM documents WHERE doc_id % 3 = 0 OR {SECRETS_SQL}")
+def sensitive_payloads(spark, d):
+    """Payloads that hold the sensitive tag, with where it came from."""
+    p = _docs(spark, d).where((F.col("doc_id") % 3 == 0) | has_secret(F.col("text")))
+    return p.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "source").otherwise("content").alias("origin"))
+
+
 # -- views
 
 

@@ -21,13 +21,13 @@ from sluiceway.plans.policy import Policy
 EVENTS = "session_id string, seq long, op string, tool string, args string, result string, arg_tags string, ref string"
 DECISIONS = (
     "session_id string, seq long, op string, tool string, allowed boolean, reason string, matched_tags string, link_method string, "
-    "evidence int, weak_only boolean, can_override boolean, approval_id string, scan_kind string, scan_transform string, tags string, exposed boolean, ref string"
+    "evidence int, weak_only boolean, can_override boolean, approval_id string, scan_kind string, scan_transform string, tags string, exposed boolean, ref string, shadow_allowed boolean"
 )
 
 
 def step(s: Session, op: str, tool: str | None, args: str | None, result: str | None, arg_tags: str | None, ref: str | None) -> tuple:
     """Apply one event; a row of DECISIONS without session_id and seq."""
-    d, node = Decision(True), None
+    d, node, seen = Decision(True), None, len(s.shadow)
     if op == "record":
         node, d.evidence.method, _ = s.record(tool or "", L.parse(args), L.parse(result))
     elif op == "content":
@@ -62,6 +62,7 @@ def step(s: Session, op: str, tool: str | None, args: str | None, result: str |
     return (
         op, tool, d.allowed, d.reason, ",".join(d.tags), e.method, len(e.nodes), e.weak_or_clean, d.can_override, d.approval,
         d.scan.kind if d.scan else None, d.scan.transform if d.scan else None, ",".join(tag_names(s.tags)), s.exposed, node,
+        s.shadow[-1][2] if len(s.shadow) > seen else None,
     )
 
 

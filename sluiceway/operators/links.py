@@ -58,6 +58,12 @@ def frontier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return tags.join(from_parent, ["session_id", "seq", "tag"], "left_anti")
 
 
+def _scan_for(rows: DataFrame, key: str, needle_key: str, of_text, block: list[Column]) -> DataFrame:
+    hay = rows.select(key, of_text(F.col("text")).alias("hay"))
+    hits = F.filter(F.array(*block), lambda x: F.contains(F.col("hay"), x["n"]))["k"]
+    return hay.select(key, F.explode(hits).alias(needle_key))
+
+
 def containment(rows: DataFrame, needles: DataFrame, key: str, needle_key: str, how: str) -> DataFrame:
     """(key, needle_key) where a known text is in ``text``: exact, normalized, hex or reverse.
 
@@ -70,12 +76,14 @@ def containment(rows: DataFrame, needles: DataFrame, key: str, needle_key: str,
     }
     of_text, of_needle = forms[how]
     ready = needles.select(F.col(needle_key).alias("k"), of_needle(F.col("text")).alias("n")).where(F.length("n") >= 12)
-    known = ready.orderBy("k").collect()
-    parts = []
-    for i in range(0, len(known), NEEDLES):
-        block = F.array(*(F.struct(F.lit(r["k"]).alias("k"), F.lit(r["n"]).alias("n")) for r in known[i : i + NEEDLES]))
-        hay = rows.select(key, of_text(F.col("text")).alias("hay"))
-        parts.append(hay.select(key, F.explode(F.filter(block, lambda x: F.contains(F.col("hay"), x["n"]))["k"]).alias(needle_key)))
+    parts, block = [], []
+    for r in ready.orderBy("k").toLocalIterator():  # the driver holds one block at a time
+        block.append(F.struct(F.lit(r["k"]).alias("k"), F.lit(r["n"]).alias("n")))
+        if len(block) == NEEDLES:
+            parts.append(_scan_for(rows, key, needle_key, of_text, block))
+            block = []
+    if block:
+        parts.append(_scan_for(rows, key, needle_key, of_text, block))
     if not parts:
         return rows.select(key, F.lit(None).cast(needles.schema[needle_key].dataType).alias(needle_key)).where(F.lit(False))
     out = parts[0]

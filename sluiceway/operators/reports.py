@@ -77,3 +77,14 @@ def honesty(records: DataFrame, *by: str) -> DataFrame:
     none = lambda test, name: F.when(count(test) == 0, name)
     flags = F.array(none(o == "FP", "no_fp"), none(o == "FN", "no_fn"), none(F.col("tier") == "boundary", "no_boundary"), none(F.col("tier") == "subtle", "no_subtle"))
     return records.groupBy(*by).agg(F.array_join(flags, ",").alias("flags"))
+
+
+def to_markdown(report: DataFrame, limit: int = 1000) -> str:
+    """A small report as a Markdown table (a report has a row per bucket; ``limit`` guards the driver)."""
+    rows = report.limit(limit).collect()
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
+    return "\n".join([line(report.columns), line("---" for _ in report.columns), *(line(r) for r in rows)])
+
+
+def write_json(report: DataFrame, path: str) -> None:
+    report.coalesce(1).write.mode("overwrite").json(path)

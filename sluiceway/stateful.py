@@ -195,6 +195,30 @@ def audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verify_chain(back, ["session_id"], "seq", sign(), F.col("bad")).select("session_id", "seq", "tool", "decision", "problem")
 
 
+def shadow_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session-mode verdicts beside what the lineage rule would have said, and how they differ."""
+    out = fold.replay(session_events(spark, sf_dir), replace(LINEAGE, mode="shadow")).where((F.col("op") == "evaluate") & F.col("shadow_allowed").isNotNull())
+    # the destructive gate may block what the compared rule allows
+    ruled = F.col("allowed") | (F.col("matched_tags") == "UNTRUSTED_ORIGIN")
+    differs = F.when(ruled & ~F.col("shadow_allowed"), "ALLOW_BLOCK").when(~ruled & F.col("shadow_allowed"), "BLOCK_ALLOW")
+    return out.select("session_id", "seq", "tool", ruled.alias("session_allowed"), "shadow_allowed", differs.alias("divergence"))
+
+
+def step_meta_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each turn, the longest text it shares with the turn before."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "conversations")
+    pairs = c.select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+
+    def run(batches):
+        for rows in batches:
+            rows["shared"] = [L.longest_common(a or "", b or "") for a, b in zip(rows["text"], rows["before"], strict=True)]
+            yield rows[["conv_id", "turn", "shared"]]
+
+    return pairs.mapInPandas(run, "conv_id long, turn long, shared long")
+
+
 def _ready(f):
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +233,6 @@ QUERIES = {
     for f in (
         lineage_replay, hitl_replay, sanitize_replay, tokenize_pii, mask_pii_deep, output_scan, vault_tokens, injection_scores,
         stream_session_verdict, fold_session_verdict, channel_replay, scenario_replay, audit_jsonl,
+        shadow_compare, step_meta_lcs,
     )
 }
