@@ -87,7 +87,7 @@ def output_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = items.count()
     plain = F.col("text")
     binary = plain.cast("binary")
-    forms = [plain, F.base64(binary), F.lower(F.hex(binary)), F.url_encode(plain), F.reverse(plain), F.regexp_replace(plain, "(.)", "$1 ")]
+    forms = [plain, F.regexp_replace(F.base64(binary), r"\s", ""), F.lower(F.hex(binary)), F.url_encode(plain), F.reverse(plain), F.regexp_replace(plain, "(.)", "$1 ")]
     form = F.col("doc_id") % len(forms)
     secret = items.select(F.col("item_id").alias("k"), F.to_json(F.struct("text")).alias("payload"), F.array(*forms).alias("disguised"))
     pairs = docs.join(secret, F.col("doc_id") % n == F.col("k")).select(
