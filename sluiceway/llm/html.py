@@ -34,7 +34,7 @@ from sluiceway.llm.common import map_arrow
 
 SAMPLE = 8
 #: Pages of one host in a group; hosts with more are dealt into several.
-GROUP = 1000
+GROUP = 250
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
