@@ -67,17 +67,26 @@ def step(s: Session, op: str, tool: str | None, args: str | None, result: str |
 
 
 def replay(events: DataFrame, policy: Policy) -> DataFrame:
-    """A row of DECISIONS per event. A session's rows go to one task; sessions are bounded by their length."""
+    """A row of DECISIONS per event.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable").astype(object).where(rows.notna(), None)
-        name = rows["session_id"].iloc[0]
-        s, out = Session(name, policy), []
-        for r in rows.itertuples(index=False):
-            out.append((name, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+    One shuffle and one sort bring sessions together in order; a task then streams through its sessions, one state
+    machine at a time, so there is no cost per group and memory is bounded by the largest session's state.
+    """
+    columns = [c.split()[0] for c in DECISIONS.split(", ")]
 
-    return events.select(*(c.split()[0] for c in EVENTS.split(", "))).groupBy("session_id").applyInPandas(fold, DECISIONS)
+    def run(batches):
+        s = None
+        for rows in batches:
+            rows = rows.astype(object).where(rows.notna(), None)
+            out = []
+            for r in rows.itertuples(index=False):
+                if s is None or s.name != r.session_id:
+                    s = Session(r.session_id, policy)
+                out.append((r.session_id, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)))
+            yield pd.DataFrame(out, columns=columns)
+
+    picked = events.select(*(c.split()[0] for c in EVENTS.split(", ")))
+    return picked.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, DECISIONS)
 
 
 def vault_entries(events: DataFrame, policy: Policy) -> DataFrame:
