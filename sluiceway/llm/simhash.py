@@ -32,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import map_arrow, written
+from sluiceway.llm.common import map_arrow, uniform, written
 from sluiceway.llm.components import components
 
 RADIUS = 2
-#: Fingerprints sampled to build the trees (8 bytes each on the driver).
+#: Fingerprints sampled to build the trees (8 bytes each on the driver), and their largest share of all.
 SAMPLE = 200_000
+SHARE = 1 / 8
 #: Classes wanted in a leaf, and pairs that are compared at once.
 LEAF = 400
 PAIRS = 1 << 21
@@ -87,8 +88,7 @@ def cut(distance: np.ndarray) -> int:
     """The inner branch's largest distance: near the median, where both branches have points."""
     counts = np.bincount(distance, minlength=33)
     inner = np.cumsum(counts)
-    best = np.abs(inner[:-1] - len(distance) / 2) + counts[:-1] * 0.0
-    return int(np.argmin(best))
+    return int(np.argmin(np.abs(inner[:-1] - len(distance) / 2)))
 
 
 def build(points: np.ndarray, leaf: int, rng: np.random.Generator) -> list[tuple[int, int, int, int]]:
@@ -186,7 +186,8 @@ def link_leaf(fp: np.ndarray, home: np.ndarray, upper: bool, labels: np.ndarray,
 def links(classes: DataFrame) -> DataFrame:
     """classes (rep, fp) to edges (u, v) between reps: a spanning forest per leaf."""
     n = classes.count()
-    sample = classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE) if n > SAMPLE else classes.select("fp")
+    rate = min(SAMPLE, n * SHARE) / max(n, 1)
+    sample = classes.select("fp").where(uniform("fp") < rate).limit(2 * SAMPLE)
     points = np.array([r[0] for r in sample.collect()], np.int64)
     rng = np.random.default_rng(5)
     leaf = max(LEAF * len(points) // max(n, 1), 8)
