@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows an Arrow batch holds at most; texts can be long, so batches are short.
 ARROW_ROWS = 512
 
+#: Rows (of a key and a number) up to which a counted side is broadcast.
+BROADCAST_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -42,6 +45,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted_side(df: DataFrame) -> DataFrame:
+    """A side of a join, written and counted: broadcast up to BROADCAST_ROWS, left to Spark beyond."""
+    side = written(df)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, whatever the session's default."""
     at_hand(spark)

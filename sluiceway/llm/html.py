@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import map_arrow
+from sluiceway.llm.common import counted_side, map_arrow
 
 SAMPLE = 8
 #: Pages of one host in a group; hosts with more are dealt into several.
@@ -261,7 +261,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of ``pages``."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    busy = F.broadcast(rows.groupBy("host").count().where(F.col("count") > GROUP).withColumnRenamed("host", "h"))  # one row per GROUP pages at most
+    busy = counted_side(rows.groupBy("host").count().where(F.col("count") > GROUP).withColumnRenamed("host", "h"))
     dealt = rows.join(busy, F.col("host") == F.col("h"), "left").withColumn(
         "salt", F.when(F.col("count").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("count") / GROUP)))
     )

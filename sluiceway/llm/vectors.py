@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import map_arrow, written
+from sluiceway.llm.common import counted_side, map_arrow, written
 from sluiceway.llm.components import components
 from sluiceway.llm.simhash import join_labels
 
@@ -42,8 +42,6 @@ RECALL = 0.995
 PROJECTIONS = 24
 #: Vectors wanted in a cell; cells above PART are cut.
 CELL, PART = 500, 6000
-#: Rows of the table of large cells up to which it is broadcast.
-SMALL = 100_000
 #: Vectors sampled for the medians (documented bound).
 SAMPLE = 20_000
 BLOCK = 256
@@ -166,9 +164,7 @@ def find_links(classes: DataFrame, cosine: float) -> DataFrame:
 
     dealt = classes.mapInArrow(deal, "rep long, n long, v array<double>, cells array<long>")
     dealt = dealt.select("*", F.posexplode("cells").alias("round", "cell")).withColumn("dim", F.size("v"))
-    big = written(dealt.groupBy("dim", "round", "cell").count().where(F.col("count") > PART))
-    if big.count() <= SMALL:  # else Spark's own choice of join
-        big = F.broadcast(big)
+    big = counted_side(dealt.groupBy("dim", "round", "cell").count().where(F.col("count") > PART))
     cut = (
         dealt.join(big, ["dim", "round", "cell"], "left")
         .withColumn("parts", F.coalesce(F.ceil(F.col("count") / PART), F.lit(1)).cast("int"))
