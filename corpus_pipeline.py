@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.llm import decontaminate, langid, mixing, sharding, simhash
+from sluiceway.llm import decontaminate, jaccard, langid, mixing, sharding
 from sluiceway.llm.common import shared_dir, table
 
 
@@ -16,8 +16,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8), the document with the smallest id stays."""
+    return jaccard.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
