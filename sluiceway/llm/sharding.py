@@ -11,7 +11,9 @@ The matrix is drawn in SQL expressions, in two levels (groups of blocks, then
 blocks within a group), so that no fold runs over more than the square root of
 the number of blocks. Slots within a shard come from sub-cells: a cell's offset
 is the running sum of cell counts, so a shard is never sorted in one task. Every
-random number is a hash of the row, so recomputed tasks deal alike.
+random number is a hash of the row, so recomputed tasks deal alike. Rows that repeat
+entirely are numbered first, and the number is hashed along, so that copies are dealt
+apart like any other rows.
 
 Edge cases: null text has size 1 (0 bytes plus 1) and crc32 0; rows that repeat
 entirely are interchangeable and get different slots; an empty table gives an
@@ -24,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import let, uniform, written
+from sluiceway.llm.common import counted_side, let, uniform, written
 
 ROWS_PER_BLOCK = 4_000_000
 MIN_BLOCKS = 256
+#: Copies of one row that are numbered in one window.
+COPIES = 100
 
 
 def hypergeometric(n: Column, good: Column, total: Column, u: Column) -> Column:
@@ -121,6 +125,23 @@ def communication_matrix(counts: DataFrame, sizes: list[int], seed: int, width:
     return below.select(F.explode(deal(F.col("blocks"), F.col("room"), seed + 1)).alias("x")).select("x.id", "x.row")
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """doc, tie with a tie of its own for each copy of a row that repeats; other ties stay.
+
+    Copies are numbered within salted windows, so a row that makes up much of a
+    table is spread. Numbers follow the order of the scan; they are written,
+    as a task that runs again must find the same.
+    """
+    twice = counted_side(rows.groupBy("tie").count().where("count > 1").withColumnRenamed("tie", "t"))
+    if twice.isEmpty():
+        return rows
+    met = rows.withColumn("at", F.monotonically_increasing_id()).join(twice, F.col("tie") == F.col("t"))
+    salted = met.withColumn("salt", F.pmod(F.xxhash64("at"), F.ceil(F.col("count") / COPIES)))
+    nth = F.row_number().over(Window.partitionBy("tie", "salt").orderBy("at"))
+    copies = written(salted.withColumn("nth", nth).select("doc", F.xxhash64("tie", "salt", "nth").alias("tie")))
+    return rows.join(twice, F.col("tie") == F.col("t"), "left_anti").union(copies)
+
+
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 23, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """All rows and columns, with shard (int) and slot (long, gapless from 0 in its shard)."""
     total = docs.count()
@@ -128,7 +149,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 23, rows
     cells = max(1, n_blocks // n_shards)
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     plain = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(F.struct(*plain).alias("doc"), F.xxhash64(*plain).alias("tie"))
+    rows = told_apart(docs.select(F.struct(*plain).alias("doc"), F.xxhash64(*plain).alias("tie")))
     rows = rows.select(
         "doc", "tie", F.pmod(F.xxhash64("tie", F.lit(seed)), F.lit(n_blocks)).alias("id"),
         F.xxhash64("tie", F.lit(seed + 1)).alias("first"), F.xxhash64("tie", F.lit(seed + 2)).alias("second"),

@@ -1,8 +1,9 @@
 """The whole job: near copies, links, pages and rows that earlier rounds left out."""
 
+import collections
 import random
 
-from sluiceway.llm import jaccard
+from sluiceway.llm import jaccard, sharding
 
 
 def words(rng, n):
@@ -32,3 +33,19 @@ def test_near_copies_by_five_words(spark, monkeypatch):
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert kept == {d for d, c in want.items() if d == c} and len(kept) <= 100
     assert jaccard.near_copies(docs.where("false")).count() == 0
+
+
+def test_copies_are_dealt_apart(spark):
+    """Two copies share a shard 1 time in 8, and a row that is a third of the table lies all over its shards."""
+    rows = [(i, f"t{i}") for i in range(400)] * 2 + [(1000, "hot")] * 400
+    out = sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 8).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(rows)
+    at, order = collections.defaultdict(list), collections.defaultdict(dict)
+    for r in out:
+        at[r.doc_id].append(r.shard)
+        order[r.shard][r.slot] = r.doc_id == 1000
+    assert all(sorted(x) == list(range(150)) for x in order.values())
+    assert sum(x[0] == x[1] for d, x in at.items() if d < 1000) < 100
+    for x in order.values():
+        seen = [x[i] for i in range(150)]
+        assert 20 < sum(seen) < 80 and sum(a != b for a, b in zip(seen, seen[1:], strict=False)) > 35
