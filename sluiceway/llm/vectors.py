@@ -8,8 +8,11 @@ verified by their cosine in double precision.
 
 Windows of a fixed width hold a fixed share of all vectors, so counting within
 all of them would be quadratic. Therefore vectors are first dealt, in several
-rounds, into cells by the sides they take of a few more projections' medians,
-and windows run within cells. Rounds are added until a pair at the wanted cosine
+rounds, into cells by the sides they take of a few random cuts through the origin,
+and windows run within cells. A pair's chance to be on one side of such a cut depends on its angle
+alone, so it holds for off-centre and clustered vectors too; their cells are uneven. As
+vectors of a cluster lie alike to each cut, rounds are added until the sampled vectors that
+the drawn cuts serve worst reach the recall as well. Rounds are added until a pair at the wanted cosine
 meets in some cell with probability ``RECALL``. A pair that meets more than
 once is counted in its first round only. Very large cells are cut into parts that
 meet pairwise in tasks of their own, so no task grows with a cell.
@@ -42,9 +45,11 @@ RECALL = 0.995
 PROJECTIONS = 24
 #: Vectors wanted in a cell; cells above PART are cut.
 CELL, PART = 500, 6000
-#: Vectors sampled for the medians (documented bound).
+#: Vectors sampled to choose the number of cuts (documented bound); links don't depend on it.
 SAMPLE = 20_000
 BLOCK = 256
+#: Sampled vectors for which the recall of the drawn cuts is calculated.
+CALIBRATED = 1000
 
 
 def doubles(column: pa.Array) -> list[np.ndarray | None]:
@@ -75,16 +80,45 @@ def keyed(vectors: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "vec_id long, key binary, v array<double>")
 
 
+def layout(n: int, sample: np.ndarray, same: float) -> tuple[int, int]:
+    """(sides, rounds) with the fewest comparisons, as estimated from the angles of sampled vectors."""
+    half = len(sample) // 2
+    angles = np.arccos(np.clip(np.einsum("ij,ij->i", sample[:half], sample[half : 2 * half]), -1, 1)) if half else np.array([math.pi / 2])
+    best, out = math.inf, (0, 1)
+    for sides in range(max(0, math.ceil(math.log2(max(n, 1) / CELL))) + 1):
+        meet = same**sides
+        rounds = 1 if meet >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+        cost = rounds * max(CELL, n * float(np.mean((1 - angles / math.pi) ** sides)))
+        if cost < best:
+            best, out = cost, (sides, rounds)
+    return out
+
+
+def missed(x: np.ndarray, cuts: np.ndarray, sides: int, cosine: float) -> np.ndarray:
+    """How likely a partner at the cosine, in any direction, meets each unit vector in no round of these cuts."""
+    g = cuts / np.linalg.norm(cuts, axis=0)
+    t = np.abs(x @ g)
+    z = cosine * t / np.sqrt(np.maximum((1 - cosine**2) * (1 - t**2) / max(1, len(g) - 1), 1e-12))
+    same = 0.5 + 0.5 * np.vectorize(math.erf, otypes=[float])(z / math.sqrt(2))
+    return np.prod(1 - np.prod(same.reshape(len(x), -1, sides), axis=2), axis=1)
+
+
+def worst(miss: np.ndarray) -> float:
+    """Mean of the worst tenth: vectors of a dense cluster lie alike to the cuts and miss together."""
+    return float(np.mean(np.sort(miss)[-max(1, len(miss) // 10) :]))
+
+
 class Plan:
-    """Directions, medians, rounds and the collision count for vectors of one length."""
+    """Directions, cuts, rounds and the collision count for vectors of one length."""
 
     def __init__(self, dim: int, n: int, sample: np.ndarray, cosine: float):
         rng = np.random.default_rng(dim)
-        self.sides = max(0, math.ceil(math.log2(max(n, 1) / CELL)))
-        meet = (1 - math.acos(cosine) / math.pi) ** self.sides
-        self.rounds = 1 if meet >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+        same = 1 - math.acos(cosine) / math.pi  # that such a pair is on one side of a cut, wherever the vectors lie
+        self.sides, self.rounds = layout(n, sample, same)
         self.cuts = rng.normal(size=(dim, max(1, self.rounds * self.sides)))
-        self.medians = np.median(sample @ self.cuts, axis=0) if len(sample) else np.zeros(self.cuts.shape[1])
+        while self.sides and len(sample) and worst(missed(sample[:CALIBRATED], self.cuts, self.sides, cosine)) > 1 - RECALL:
+            self.cuts = np.hstack((self.cuts, rng.normal(size=(dim, self.sides))))
+            self.rounds += 1
         self.directions = rng.normal(size=(dim, PROJECTIONS))
         near = math.sqrt(2 - 2 * cosine)
         self.width = 2.3 * near
@@ -100,7 +134,7 @@ class Plan:
         """Cell of each unit vector in each round."""
         if not self.sides:
             return np.zeros((len(x), self.rounds), np.int64)
-        bits = (x @ self.cuts > self.medians).reshape(len(x), self.rounds, self.sides)
+        bits = (x @ self.cuts > 0).reshape(len(x), self.rounds, self.sides)
         return bits @ (1 << np.arange(self.sides, dtype=np.int64))
 
 

@@ -3,7 +3,10 @@
 import collections
 import random
 
-from sluiceway.llm import jaccard, sharding
+import numpy as np
+import pytest
+
+from sluiceway.llm import jaccard, sharding, vectors
 
 
 def words(rng, n):
@@ -49,3 +52,26 @@ def test_copies_are_dealt_apart(spark):
     for x in order.values():
         seen = [x[i] for i in range(150)]
         assert 20 < sum(seen) < 80 and sum(a != b for a, b in zip(seen, seen[1:], strict=False)) > 35
+
+
+def partners(rng, x, cosine=0.9):
+    """Unit vectors at the cosine to the rows of x."""
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    return cosine * x + (1 - cosine**2) ** 0.5 * u / np.linalg.norm(u, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [20_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("kind", ["centred", "off-centre", "hot cluster"])
+def test_pairs_meet_in_cells(n, kind):
+    """Recall of the cells at the threshold, for vectors off the centre and in a cluster."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9000, 64))
+    if kind == "off-centre":
+        x += 12 * np.eye(64)[0]
+    if kind == "hot cluster":
+        x[:3000] = 40 * np.eye(64)[1] + 0.75 * x[:3000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plan = vectors.Plan(64, n, rng.permutation(x), 0.9)
+    mine = x[:3000]
+    assert (plan.cells(mine) == plan.cells(partners(rng, mine))).any(1).mean() >= 0.993
