@@ -9,7 +9,7 @@ verified by their cosine in double precision.
 Windows of a fixed width hold a fixed share of all vectors, so counting within
 all of them would be quadratic. Therefore vectors are first dealt, in several
 rounds, into cells by the sides they take of a few random cuts through the origin,
-and windows run within cells. A pair's chance to be on one side of such a cut depends on its angle
+and collisions are counted within cells. A pair's chance to be on one side of such a cut depends on its angle
 alone, so it holds for off-centre and clustered vectors too; their cells are uneven. As
 vectors of a cluster lie alike to each cut, rounds are added until the sampled vectors that
 the drawn cuts serve worst reach the recall as well. Rounds are added until a pair at the wanted cosine
@@ -141,38 +141,38 @@ class Plan:
 def near_in_cell(x: np.ndarray, cells: np.ndarray, weight: np.ndarray, part: np.ndarray, parts: tuple[int, int], round_: int, plan: Plan, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each vector that are first met here, labels of linked vectors).
 
-    Vectors are sorted by the first projection; each block of queries looks at
-    the slice in its windows and counts collisions there.
+    Collisions are counted for every pair of the cell (or of its two parts): a
+    pair that reaches the count is in the window of any PROJECTIONS - count + 1
+    projections at least once, and the windows of so many hold nearly all pairs.
     """
     n = len(x)
     norm = np.linalg.norm(x, axis=1)
     p = ((x / norm[:, None]) @ plan.directions).astype(np.float32)
-    order = np.argsort(p[:, 0], kind="stable")
-    x, cells, weight, part, p, norm = x[order], cells[order], weight[order], part[order], p[order], norm[order]
     degree, labels = np.zeros(n, np.int64), np.arange(n)
-    for a in range(0, n, BLOCK):
-        q = slice(a, min(a + BLOCK, n))
-        lo = int(np.searchsorted(p[:, 0], p[q][0, 0] - plan.width, "left"))
-        hi = int(np.searchsorted(p[:, 0], p[q][-1, 0] + plan.width, "right"))
-        count = np.zeros((q.stop - q.start, hi - lo), np.uint8)
+    across = parts[0] != parts[1]
+    left = np.flatnonzero(part == parts[0]) if across else np.arange(n)
+    right = np.flatnonzero(part == parts[1]) if across else left
+    pl, pr = p[left].T.copy(), p[right].T.copy()
+    for a in range(0, len(left), BLOCK):
+        lo = 0 if across else a  # each pair once
+        b = min(a + BLOCK, len(left))
+        count = np.zeros((b - a, len(right) - lo), np.uint8)
         for k in range(PROJECTIONS):
-            count += np.abs(p[q, k][:, None] - p[lo:hi, k][None, :]) <= plan.width
-        ok = (count >= plan.count) & (np.abs(p[q, 0][:, None] - p[lo:hi, 0][None, :]) <= plan.width)
-        if parts[0] != parts[1]:
-            ok &= part[q][:, None] != part[lo:hi][None, :]
-        i, j = np.nonzero(ok)
+            count += np.abs(pl[k, a:b, None] - pr[k, None, lo:]) <= plan.width
+        i, j = np.nonzero(count >= plan.count)
         i, j = i + a, j + lo
-        i, j = i[i != j], j[i != j]
+        if not across:
+            i, j = i[i < j], j[i < j]
+        i, j = left[i], right[j]
         for s in range(0, len(i), 200_000):
             u, v = i[s : s + 200_000], j[s : s + 200_000]
             good = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= cosine
             u, v = u[good], v[good]
             join_labels(labels, u, v)
             new = ~(cells[u, :round_] == cells[v, :round_]).any(1)
-            degree += np.bincount(u[new], weight[v[new]], n).astype(np.int64)
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    return degree[back], order[labels][back]
+            u, v = u[new], v[new]
+            degree += (np.bincount(u, weight[v], n) + np.bincount(v, weight[u], n)).astype(np.int64)
+    return degree, labels
 
 
 def find_links(classes: DataFrame, cosine: float) -> DataFrame:
