@@ -9,10 +9,12 @@ and whether its text was the same in all. What is the same in every page
 outside the article is template text. The article is the region marked as such, or else
 the node whose slots hold the most text that isn't links.
 
-A wrapper is inferred from the first ``SAMPLE`` pages of a group (a documented
-bound), and every page is extracted from its whole html, streaming; a page that
+A wrapper is inferred from all pages of a group, folded page by page; a second pass
+extracts every page from its whole html. Copies (pages with the same text
+outside menus and the like) count as one page, so their text isn't taken for a template's, and
+text is left out as template text only if it is the slot's. A page that
 doesn't fit the wrapper is judged by its own tokens. Hosts with many pages are
-dealt into several groups, each with a wrapper of its own.
+dealt into several groups, each with a wrapper of its own; a group's html is held compressed.
 
 Edge cases: null or empty html gives the empty text; a null url is a host of its
 own; broken markup (unclosed or crossing tags, stray '<') is read as far as it
@@ -22,8 +24,10 @@ extracted each.
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,6 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import counted_side, map_arrow
 
-SAMPLE = 8
 #: Pages of one host in a group; hosts with more are dealt into several.
 GROUP = 250
 
@@ -117,19 +120,23 @@ def parse(text: str | None) -> Node:
 class Wrapper:
     """A node of the expression: an element or a text slot, maybe optional or repeated."""
 
-    __slots__ = ("key", "seen", "repeated", "text", "chars", "linked", "children")
+    __slots__ = ("key", "seen", "pages", "last", "repeated", "text", "chars", "linked", "children", "keys")
 
     def __init__(self, key: object):
         self.key, self.seen, self.repeated, self.text = key, 0, False, None
+        self.pages, self.last = 0, -1
+        self.keys: set[object] = set()
         self.chars = self.linked = 0
         self.children: list[Wrapper] = []
 
     def optional(self, of: int) -> bool:
         return self.seen < of
 
-    def absorb(self, node: Node | str, in_link: bool = False) -> None:
-        """Align one more element with this node."""
+    def absorb(self, node: Node | str, in_link: bool = False, page: int = 0) -> None:
+        """Align one more element with this node; copies of a page have its number."""
         self.seen += 1
+        if self.last != page:
+            self.pages, self.last = self.pages + 1, page
         if isinstance(node, str):
             said = " ".join(references.unescape(node).split())
             self.text = said if self.seen == 1 or self.text == said else False
@@ -142,15 +149,16 @@ class Wrapper:
             key = "#" if isinstance(x, str) else x.key
             if i and at and self.children[at - 1].key == key:  # a square: one more of the group before
                 self.children[at - 1].repeated = True
-                self.children[at - 1].absorb(x, in_link or key[0] == "a")
+                self.children[at - 1].absorb(x, in_link or key[0] == "a", page)
                 continue
-            for j in range(at, len(self.children)):
+            for j in range(at, len(self.children) if key in self.keys else at):
                 if self.children[j].key == key:
                     break
             else:  # only this page has it: an optional group from here on
                 j = at
                 self.children.insert(at, Wrapper(key))
-            self.children[j].absorb(x, in_link or key[0] == "a")
+                self.keys.add(key)
+            self.children[j].absorb(x, in_link or key[0] == "a", page)
             at = j + 1
 
 
@@ -184,7 +192,7 @@ def region(w: Wrapper) -> list[object] | None:
     def text(x: Wrapper) -> int:
         if outside(x.key):
             return 0
-        own = x.chars - 2 * x.linked if x.key == "#" and not (x.seen > 2 and x.text) else 0
+        own = x.chars - 2 * x.linked if x.key == "#" and not (x.pages > 2 and x.text) else 0
         return own + sum(map(text, x.children))
 
     path, now = [], w
@@ -214,10 +222,11 @@ def blocks(node: Node, w: Wrapper | None, pages: int, inside: bool) -> list[str]
             return
         slots = {c.key: c for c in w.children} if w else {}
         s = slots.get("#")
+        template = {x.text for x in w.children if x.key == "#" and x.text and x.pages >= pages} if w else set()
         varies = s is not None and s.text is False  # what is set off within a varying text belongs to it
         for c in n.children:
             if isinstance(c, str):
-                fixed = s and pages > 2 and s.text and s.seen >= pages and not inside
+                fixed = not inside and pages > 2 and " ".join(references.unescape(c).split()) in template
                 if not fixed:
                     line.append(references.unescape(c))
             elif c.tag == "br":
@@ -257,6 +266,14 @@ def extract(page: Node, w: Wrapper, pages: int) -> str:
     return "\n\n".join(parts)
 
 
+def packed(text: str | None) -> bytes:
+    return zlib.compress((text or "").encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(blob: bytes) -> str:
+    return zlib.decompress(blob).decode("utf-8", "surrogatepass")
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text for every row of ``pages``."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
@@ -273,37 +290,27 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 yield from zip(*(b.column(c).to_pylist() for c in ("host", "salt", "page_id", "url", "html")), strict=True)
 
         held: list[tuple] = []
-        now, w, n = None, None, 0
-        done: list[tuple] = []
-
-        def settle() -> None:
-            nonlocal w, n
-            trees = [parse(x[4]) for x in held]
-            w, n = infer(trees), len(trees)
-            done.extend((x[2], x[3], extract(t, w, n)) for x, t in zip(held, trees, strict=True))
+        now = None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            w, copies = Wrapper(("#page", "")), {}
+            for x in held:
+                tree = parse(unpacked(x[2]))
+                said = hashlib.blake2b("\n".join(blocks(tree, None, 1, False)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                w.absorb(tree, page=copies.setdefault(said, len(copies)))
+            for i in range(0, len(held), 256):
+                ids, urls, htmls = zip(*held[i : i + 256], strict=True)
+                texts = [extract(parse(unpacked(x)), w, len(copies)) for x in htmls]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
             held.clear()
 
-        def rows_out() -> pa.RecordBatch:
-            ids, urls, texts = zip(*done, strict=True)
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-        for x in stream():
-            if x[:2] != now:
+        for host, salt, page_id, url, text in stream():
+            if (host, salt) != now:
                 if held:
-                    settle()
-                now, w = x[:2], None
-            if w is None:
-                held.append(x)
-                if len(held) == SAMPLE:
-                    settle()
-            else:
-                done.append((x[2], x[3], extract(parse(x[4]), w, n)))
-            if len(done) >= 256:
-                yield rows_out()
+                    yield from settle()
+                now = host, salt
+            held.append((page_id, url, packed(text)))
         if held:
-            settle()
-        if done:
-            yield rows_out()
+            yield from settle()
 
     return map_arrow(sorted_, run, "page_id long, url string, text string")

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from sluiceway.llm import jaccard, sharding, vectors
+from sluiceway.llm import html, jaccard, sharding, vectors
 
 
 def words(rng, n):
@@ -88,3 +88,15 @@ def test_pairs_in_a_cell_reach_the_count():
     for part, parts in ((0 * one, (0, 0)), (np.repeat([0, 1], 2500), (0, 1))):
         degree, labels = vectors.near_in_cell(both, cells, one, part, parts, 0, plan, 0.9)
         assert degree.sum() / len(both) >= 0.995 and (labels[2500:] == np.arange(2500)).mean() >= 0.995
+
+
+def test_every_page_of_a_host_counts(spark):
+    """Copies and shared headings come first; later pages differ, and none of their text is lost."""
+    body = "<html><body><div class='top'>Site</div><div><h1>{0}</h1><p>{1}</p><p>More: {1}</p></div></body></html>"
+    same = [(i, "http://a.example/", body.format("Head", "The same long paragraph, again and again.")) for i in range(9)]
+    late = [(i, "http://a.example/", body.format(f"Title {i}", f"Paragraph number {i}, which is new on this page.")) for i in range(9, 12)]
+    only = [(i, "http://b.example/", "<html><body><p>Only one text here.</p></body></html>") for i in range(20, 24)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(same + late + only, "page_id long, url string, html string")).collect()}
+    assert all("The same long paragraph, again and again." in got[i] and "Head" in got[i] for i in range(9))
+    assert all(f"Title {i}" in got[i] and f"Paragraph number {i}, which" in got[i] for i in range(9, 12))
+    assert not any("Site" in got[i] for i in range(12)) and {got[i] for i in range(20, 24)} == {"Only one text here."}
