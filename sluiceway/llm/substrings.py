@@ -2,22 +2,22 @@
 
 Pass 1 counts in a count-min sketch (see ``sketch``): a window is counted under
 its anchor, the least hash among its 8-word grams, so that neighbouring windows
-share an entry. Pass 2 hashes only windows whose anchor is estimated repeated
-and groups them exactly, by 96 bits of two rolling hashes over 64-bit word
+share an entry. Pass 2 takes only windows whose anchor is estimated repeated
+and groups them by 128 bits: two rolling hashes over the two halves of 128-bit word
 hashes. A task sends the first of its windows for each sequence; its other
-occurrences are known to be later and only mark the document. Groups thus hold
-one entry per task at most for a sequence, however frequent it is. What has to
+occurrences are known to be later and only mark the document. Windows are dealt by their own hash, so a
+group holds one entry per task at most for a sequence, however frequent it or its anchor is. What has to
 go comes back as word ranges per document.
 
 Edge cases: null, empty and blank texts have no words and keep the empty text;
-documents shorter than a window keep everything; repeated rows with one
-doc_id count as one document, read in the order of their texts (the later row's windows are removed).
+documents shorter than a window keep everything. An occurrence goes only if another starts strictly earlier by (doc_id,
+start); rows that repeat a doc_id are one document, so what starts at the same word in both
+stays in both. Rows without a doc_id are in no order: they keep everything and remove nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow
 from sluiceway.llm.sketch import (
-    anchored, buffers, grams, is_repeated, marks, merged, packed, repeated_cells, spans_by_document, spans_of, width_bits,
+    Anchors, anchored, buffers, by_document, grams, keyed, marks, packed, read_blob, read_marks, read_packed, repeated_anchors, spans_by_document, table_blob, union_spans,
+    with_marks, with_spans,
 )
 
 WINDOW = 20
@@ -38,6 +39,8 @@ GRAM = 8
 GROUP_BYTES = 8 << 20
 #: Windows a task holds before it sends them.
 FLUSH = 1 << 20
+#: Bytes of text per anchor, as a rule; the sketch is laid out for so many.
+PER_ANCHOR = 45
 
 
 def word_bytes(text: str | None) -> list[bytes]:
@@ -48,111 +51,93 @@ def word_bytes(text: str | None) -> list[bytes]:
 class _Buffer:
     """Hashes of the words of several documents, end to end."""
 
-    def __init__(self, docs: list[tuple[int, int, list[bytes]]], window: int):
-        digest = xxhash.xxh3_64_intdigest
-        self.ids = np.array([d for d, _, _ in docs], np.int64)
-        sizes = np.array([len(w) for _, _, w in docs], np.int64)
+    def __init__(self, docs: list[tuple], window: int):
+        self.ids, self.tags = np.array([x[0] for x in docs], np.int64), np.array([x[2] for x in docs], np.int64)
+        sizes = np.array([x[1] for x in docs], np.int64)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
         n = int(self.start[-1])
-        self.words = np.fromiter((digest(w) for _, _, ws in docs for w in ws), np.uint64, n)
+        digest = xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join(digest(w) for x in docs for w in x[3]), ">u8").astype(np.uint64).reshape(n, 2)
+        self.words, self.others = halves[:, 0].copy(), halves[:, 1].copy()
         self.doc = np.repeat(np.arange(len(docs)), sizes)
-        gram = marks(self.words, GRAM)
+        self.gram = marks(self.words, GRAM)
         at = np.arange(max(0, n - window + 1))
         self.valid = self.start[self.doc[at] + 1] >= at + window
-        self.least, self.anchor = anchored(gram, self.valid, window - GRAM + 1)
-        self.gram = gram
+        self.least, self.anchor = anchored(self.gram, self.valid, window - GRAM + 1)
+        self.marks = [x[4] for x in docs]
 
+    def anchors(self) -> Anchors:
+        at = np.flatnonzero(self.anchor)
+        return self.ids, self.tags, np.bincount(self.doc[at], minlength=len(self.ids)), self.gram[at]
 
-def _buffered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[_Buffer]:
-    def docs() -> Iterator[tuple[int, int, list[bytes]]]:
+    def repeated(self) -> np.ndarray:
+        """Windows whose anchor is estimated to repeat."""
+        _, _, sizes, h = self.anchors()
+        seen = np.concatenate([read_marks(m, n) for m, n in zip(self.marks, sizes, strict=True)]) > 0
+        known = np.unique(h[seen])
+        at = np.flatnonzero(self.valid)
+        i = np.minimum(np.searchsorted(known, self.least[at]), max(0, len(known) - 1))
+        return at[known[i] == self.least[at]] if len(known) else at[:0]
+
+
+def _buffered(batches: Iterator[pa.RecordBatch], window: int, marked: bool) -> Iterator[_Buffer]:
+    def docs() -> Iterator[tuple]:
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = word_bytes(t)
-                if len(w) >= window:
-                    yield d, len(w), w
+            columns = [b.column(c).to_pylist() for c in ("doc_id", "tag", "text")]
+            for d, tag, t, m in zip(*columns, b.column("marks").to_pylist() if marked else columns[0], strict=True):
+                if d is not None and m is not None and len(w := word_bytes(t)) >= window:
+                    yield d, len(w), tag, w, m
 
     for part in buffers(docs(), 200_000):
         yield _Buffer(part, window)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(np.uint32(len(arrays[0])).tobytes() + b"".join(a.tobytes() for a in arrays), 1)
-
-
-def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = zlib.decompress(blob)
-    n, at, out = int(np.frombuffer(raw, np.uint32, 1)[0]), 4, []
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
-def _later(doc: np.ndarray, at: np.ndarray, window: int) -> tuple[list[int], list[bytes]]:
-    """Per document, the packed word ranges that windows starting at ``at`` cover."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(1, np.int64)
-    ids, blobs = [], []
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        s = spans_of(at[a:b].astype(np.int64), window)
-        ids.append(int(doc[a]))
-        blobs.append(s.astype(np.int32).tobytes())
-    return ids, blobs
-
+def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by hash, document and start; does a sequence start earlier elsewhere; is it a copy of the entry before)."""
+    order = np.lexsort((tag, at, doc, h2, h1))
+    a, b, d, t, s = h1[order], h2[order], doc[order], tag[order], at[order]
+    if not len(a):
+        return order, np.zeros(0, bool), np.zeros(0, bool)
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    after = (d > d[first]) | (s > s[first])
+    return order, after, ~new & ~after & np.concatenate(([False], t[1:] == t[:-1]))
 
-def _first_only(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by hash, document and start; is the first of its sequence)."""
-    order = np.lexsort((at, doc, h2, h1))
-    a, b = h1[order], h2[order]
-    return order, np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
 
-
-def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, spans (packed int32 pairs): word ranges to remove; only documents that lose words."""
-    rows = docs.select("doc_id", "text")
+def repeated_ranges(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Of ``keyed`` rows: doc_id, tag, spans (packed int32 pairs), the word ranges to remove; only documents that lose words."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = width_bits(total / 45)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for buffer in _buffered(batches, window):
-            yield buffer.gram[buffer.anchor]
-
-    table = repeated_cells(rows, hashes, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
     n_groups = max(1, int(total // GROUP_BYTES))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[Anchors]:
+        for b in _buffered(batches, window, False):
+            yield b.anchors()
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            least, h1, h2, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, first = _first_only(h1, h2, doc, at)
-            ids, blobs = _later(doc[order][~first], at[order][~first], window)
-            groups = [(np.int64(i) % n_groups) for i in ids]
-            kinds = [pa.array(groups, pa.int64()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(kinds, names=["g", "doc", "data"])
-            keep = order[first]
-            g = (least[keep] % np.uint64(n_groups)).astype(np.int64)
+            h1, h2, doc, tag, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, after, copy = later(h1, h2, doc, tag, at)
+            gone = order[after]
+            marked = packed(*by_document(doc[gone], tag[gone], at[gone, None] + (0, window)), n_groups)
+            keep = order[~after & ~copy]
+            g = (h1[keep] % np.uint64(n_groups)).astype(np.int64)
             by = np.argsort(g, kind="stable")
             keep, g = keep[by], g[by]
-            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-            keys, blobs = [], []
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                k = keep[a:b]
-                keys.append(int(g[a]))
-                blobs.append(_pack(h1[k], h2[k], doc[k], at[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(blobs, pa.binary())], names=["g", "doc", "data"])
+            edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else np.zeros(1, np.int64)
+            cut = [keep[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            groups = [*marked["b"], *g[edge[:-1]].tolist()]
+            blobs = [*marked["data"], *(table_blob(h1[k], h2[k], doc[k], tag[k], at[k]) for k in cut)]
+            local = [True] * len(marked) + [False] * len(cut)
+            yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(local, pa.bool_()), pa.array(blobs, pa.binary())], names=["g", "local", "data"])
 
         held, n = [], 0
-        for b in _buffered(batches, window):
-            at = np.flatnonzero(b.valid)
-            at = at[is_repeated(b.least[at], bitmap, bits)]
+        for b in _buffered(batches, window, True):
+            at = b.repeated()
             if len(at):
                 h1 = grams(b.words, window, 0xA24BAED4963EE407)[at]
-                h2 = (grams(b.words, window, 0x9FB21C651E98DF25)[at] >> np.uint64(32)).astype(np.uint32)
+                h2 = grams(b.others, window, 0x9FB21C651E98DF25)[at]
                 d = b.doc[at]
-                held.append((b.least[at], h1, h2, b.ids[d], (at - b.start[d]).astype(np.int32)))
+                held.append((h1, h2, b.ids[d], b.tags[d], (at - b.start[d]).astype(np.int32)))
                 n += len(at)
             if n >= FLUSH:
                 yield from out(held)
@@ -161,29 +146,21 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield from out(held)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        local = rows["doc"].notna()
-        ids, blobs = [int(x) for x in rows["doc"][local]], list(rows["data"][local])
-        parts = [_unpack(x, np.uint64, np.uint32, np.int64, np.int32) for x in rows["data"][~local]]
+        local = rows["local"].to_numpy(bool)
+        parts = [read_blob(x, np.uint64, np.uint64, np.int64, np.int64, np.int32) for x in rows["data"][~local]]
+        out = pd.DataFrame({"b": rows["g"][local], "data": rows["data"][local]})
         if parts:
-            h1, h2, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, first = _first_only(h1, h2, doc, at)
-            more = _later(doc[order][~first], at[order][~first], window)
-            ids, blobs = ids + more[0], blobs + more[1]
-        return packed(ids, blobs, n_groups)
-
-    sent = map_arrow(rows, send, "g long, doc long, data binary")
+            h1, h2, doc, tag, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, after, _ = later(h1, h2, doc, tag, at)
+            gone = order[after]
+            out = pd.concat([out, packed(*by_document(doc[gone], tag[gone], at[gone, None] + (0, window)), n_groups)])
+        return out
+
+    found = with_marks(rows, repeated_anchors(rows, anchors, total / PER_ANCHOR))
+    sent = map_arrow(found, send, "g long, local boolean, data binary")
     return spans_by_document(sent.groupBy("g").applyInPandas(group, "b long, data binary"))
 
 
-def union_spans(blob: bytes | None) -> np.ndarray:
-    return merged(np.frombuffer(blob or b"", np.int32).reshape(-1, 2).astype(np.int64))
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Documents with their spans (null: none)."""
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left")
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words, joined by one space)."""
 
@@ -203,22 +180,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    rows = with_spans(docs, repeated_ranges(docs, window))
-    found = map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept binary")
+    rows = keyed(docs)
+    found = map_arrow(with_spans(rows, repeated_ranges(rows, window)), run, "doc_id long, n_words long, n_removed long, kept binary")
     return found.withColumn("kept", F.col("kept").cast("string"))
 
 
 def brute_force(docs: list[tuple[int, str | None]], window: int = WINDOW) -> list[tuple]:
     """The contract on a dictionary of word sequences, for tests."""
-    seen, out = set(), []
-    for doc, text in sorted(docs, key=lambda x: x[0]):
-        w = word_bytes(text)
-        gone = set()
-        for i in range(len(w) - window + 1):
+    rows = [(d, word_bytes(t)) for d, t in docs]
+    least: dict[tuple, tuple] = {}
+    for doc, w in rows:
+        for i in range(len(w) - window + 1 if doc is not None else 0):
             key = tuple(w[i : i + window])
-            if key in seen:
+            least[key] = min(least.get(key, (doc, i)), (doc, i))
+    out = []
+    for doc, w in rows:
+        gone = set()
+        for i in range(len(w) - window + 1 if doc is not None else 0):
+            if least[tuple(w[i : i + window])] < (doc, i):
                 gone.update(range(i, i + window))
-            seen.add(key)
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((doc, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
     return out
@@ -230,7 +210,7 @@ win AS (
   SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS p
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
 ), later AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
+  SELECT doc_id, i FROM (SELECT doc_id, i, rank() OVER (PARTITION BY p ORDER BY doc_id, i) AS n FROM win) WHERE n > 1
 ), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM later),
 n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
 kept AS (

@@ -12,21 +12,24 @@ rest). A group's runs are combined by a loser tree that keeps, for every entry,
 how long a prefix it shares with the last winner: of two entries the one that
 shares more is the smaller, and only on a tie are bytes compared, from there on.
 The merged order and its common prefixes give the classes of equal strings for
-each offset of the anchor, and each class its smallest document.
+each offset of the anchor, and each class its smallest document. All comparisons are of the bytes themselves.
 
 Suffixes of one task that are equal with their context are sent once, with the
 task's smallest document; in the task's other documents the strings around them
-are known to be repeats. A very frequent passage is thus one entry per task.
+are known to be repeats. A very frequent passage is thus one entry per task. A gram that is
+hot (in ``HOT`` documents or more by the sketch's estimate, the same everywhere) may stand in as many different
+surroundings; its entries are sent as the up to 31 strings of 50 bytes around the anchor instead, each a suffix
+of its own that is dealt by all its bytes, so that no group has more than a task's one entry for a string.
 
 Edge cases: null and empty texts have no bytes; texts shorter than 50 bytes lose
-nothing; matches never cross documents; repeated rows with one doc_id are one
-document and don't remove from each other; NUL bytes are ordinary bytes.
+nothing; matches never cross documents; rows that repeat a doc_id are one
+document and don't remove from each other; rows without a doc_id are in no order, they keep
+everything and remove nothing; NUL bytes are ordinary bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow
-from sluiceway.llm.sketch import anchored, buffers, is_repeated, marks, mixed, packed, repeated_cells, spans_by_document, width_bits
-from sluiceway.llm.substrings import union_spans, with_spans
+from sluiceway.llm.sketch import (
+    Anchors, anchored, buffers, by_document, keyed, marks, packed, read_marks, repeated_anchors, spans_by_document, squeeze, union_spans, unsqueeze, with_marks, with_spans,
+)
 
 LENGTH = 50
 GRAM = 20
@@ -47,16 +51,18 @@ RIGHT, KEY = LENGTH + 1, LENGTH + 1 + SIDE + 1
 GROUP_BYTES = 8 << 20
 #: Suffixes a task holds before it sends its runs.
 FLUSH = 400_000
+#: Bytes of text per anchor, as a rule; the sketch is laid out for so many.
+PER_ANCHOR = 16
 
 
 class _Buffer:
     """The bytes of several documents, end to end."""
 
-    def __init__(self, docs: list[tuple[int, int, bytes]]):
-        self.ids = np.array([d for d, _, _ in docs], np.int64)
-        sizes = np.array([n for _, n, _ in docs], np.int64)
+    def __init__(self, docs: list[tuple]):
+        self.ids, self.tags = np.array([x[0] for x in docs], np.int64), np.array([x[2] for x in docs], np.int64)
+        sizes = np.array([x[1] for x in docs], np.int64)
         self.start = np.concatenate(([0], np.cumsum(sizes)))
-        self.bytes = np.frombuffer(b"".join(t for _, _, t in docs), np.uint8)
+        self.bytes = np.frombuffer(b"".join(x[3] for x in docs), np.uint8)
         n = len(self.bytes)
         self.doc = np.repeat(np.arange(len(docs)), sizes)
         self.gram = marks(self.bytes, GRAM)
@@ -64,6 +70,16 @@ class _Buffer:
         valid = self.start[self.doc[at] + 1] >= at + LENGTH
         _, anchor = anchored(self.gram, valid, LENGTH - GRAM + 1)
         self.at = np.flatnonzero(anchor)
+        self.marks = [x[4] for x in docs]
+
+    def anchors(self) -> Anchors:
+        return self.ids, self.tags, np.bincount(self.doc[self.at], minlength=len(self.ids)), self.gram[self.at]
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """(anchors estimated to repeat, are they hot)."""
+        sizes = self.anchors()[2]
+        seen = np.concatenate([read_marks(m, n) for m, n in zip(self.marks, sizes, strict=True)])
+        return self.at[seen > 0], seen[seen > 0] > 1
 
     def keys(self, at: np.ndarray) -> np.ndarray:
         """Fixed-width keys of the suffixes at these positions (rows of KEY bytes)."""
@@ -80,13 +96,14 @@ class _Buffer:
         return out
 
 
-def _buffered(batches: Iterator[pa.RecordBatch]) -> Iterator[_Buffer]:
-    def docs() -> Iterator[tuple[int, int, bytes]]:
+def _buffered(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[_Buffer]:
+    def docs() -> Iterator[tuple]:
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            columns = [b.column(c).to_pylist() for c in ("doc_id", "tag", "text")]
+            for d, tag, t, m in zip(*columns, b.column("marks").to_pylist() if marked else columns[0], strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
-                if len(raw) >= LENGTH:
-                    yield d, len(raw), raw
+                if d is not None and m is not None and len(raw) >= LENGTH:
+                    yield d, len(raw), tag, raw, m
 
     for part in buffers(docs()):
         yield _Buffer(part)
@@ -172,26 +189,29 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-def _pack(shared: np.ndarray, rest: bytes, doc: np.ndarray, n_at: np.ndarray, at: np.ndarray) -> bytes:
-    head = np.array([len(shared), len(rest), len(at)], np.uint32).tobytes()
-    return zlib.compress(head + shared.tobytes() + rest + doc.astype(np.int64).tobytes() + n_at.astype(np.uint32).tobytes() + at.astype(np.int32).tobytes(), 1)
+def _pack(shared: np.ndarray, rest: bytes, doc: np.ndarray, n_at: np.ndarray, tag: np.ndarray, at: np.ndarray) -> bytes:
+    head = np.array([len(shared), len(rest), len(at)], np.uint32)
+    return squeeze(head, doc.astype(np.int64), tag.astype(np.int64), n_at.astype(np.uint32), at.astype(np.int32), shared, rest)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]:
-    raw = zlib.decompress(blob)
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """(shared, doc, n_at, tag, at, rest) as packed."""
+    raw = unsqueeze(blob)
     n, m, k = np.frombuffer(raw, np.uint32, 3).tolist()
-    shared = np.frombuffer(raw, np.uint8, n, 12)
-    doc = np.frombuffer(raw, np.int64, n, 12 + n + m)
-    n_at = np.frombuffer(raw, np.uint32, n, 12 + n + m + 8 * n)
-    return shared, raw[12 + n : 12 + n + m], doc, n_at, np.frombuffer(raw, np.int32, k, 12 + n + m + 12 * n)
+    out, to = [], 12
+    for kind, size in ((np.int64, n), (np.int64, k), (np.uint32, n), (np.int32, k), (np.uint8, n)):
+        out.append(np.frombuffer(raw, kind, size, to))
+        to += out[-1].nbytes
+    doc, tag, n_at, at, shared = out
+    return shared, doc, n_at, tag, at, raw[to : to + m]
 
 
-def _by_doc(doc: np.ndarray, spans: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, spans = doc[order], spans[order].astype(np.int64)
-    edge = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1], [True]))) if len(doc) else np.zeros(1, np.int64)
-    blobs = [union_spans(spans[a:b].astype(np.int32).tobytes()).astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
-    return [int(doc[a]) for a in edge[:-1]], blobs
+def _left_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of keys by the bytes before their anchors, prefix of these shared with the key before)."""
+    left = np.ascontiguousarray(keys[:, RIGHT : KEY - 1])
+    order = np.argsort(left.view(f"S{SIDE}").ravel(), kind="stable")
+    same = left[order[1:]] == left[order[:-1]]
+    return order, np.concatenate(([0], np.where(same.all(1), SIDE, same.argmin(1)))).astype(np.int64)
 
 
 def decide(keys: np.ndarray, shared: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,18 +222,15 @@ def decide(keys: np.ndarray, shared: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     """
     n = len(keys)
     lo, hi = np.full(n, LENGTH), np.full(n, -1)
-    left = np.zeros(n, np.uint64)
     right_n, left_n = keys[:, LENGTH], keys[:, KEY - 1]
+    by_left, same_left = _left_order(keys)
+    left = np.zeros(n, np.int64)
     for o in range(SIDE + 1):
-        if o:
-            with np.errstate(over="ignore"):
-                left = mixed(left * np.uint64(0x9E3779B97F4A7C15) + keys[:, RIGHT + o - 1] + np.uint64(1))
         ok = np.flatnonzero((right_n >= LENGTH - o) & (left_n >= o))
         if len(ok) < 2:
             continue
-        cls = np.cumsum(shared < LENGTH - o)[ok].astype(np.uint64)
-        with np.errstate(over="ignore"):
-            name = mixed(cls) + left[ok]
+        left[by_left] = np.cumsum(same_left < o)
+        name = np.cumsum(shared < LENGTH - o)[ok] * (n + 1) + left[ok]
         order = np.lexsort((doc[ok], name))
         name, own = name[order], doc[ok][order]
         new = np.concatenate(([True], name[1:] != name[:-1]))
@@ -224,63 +241,77 @@ def decide(keys: np.ndarray, shared: np.ndarray, doc: np.ndarray) -> tuple[np.nd
     return hi >= 0, hi, LENGTH - lo
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, spans (packed int32 pairs): byte ranges to remove; only documents that lose bytes."""
-    rows = docs.select("doc_id", "text")
+def strings_around(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, offset, keys of the 50-byte strings) around the anchors of keys."""
+    k, o = np.nonzero((keys[:, LENGTH, None] >= LENGTH - np.arange(SIDE + 1)) & (keys[:, KEY - 1, None] >= np.arange(SIDE + 1)))
+    around = np.concatenate((keys[:, RIGHT : KEY - 1][:, ::-1], keys[:, :LENGTH]), axis=1)
+    out = np.zeros((len(k), KEY), np.uint8)
+    for i in range(LENGTH):
+        out[:, i] = around[k, SIDE - o + i]
+    out[:, LENGTH] = LENGTH
+    return k, o, out
+
+
+def _sorted(keys: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{KEY}").ravel(), kind="stable")
+    return order[np.lexsort((at[order], doc[order], _rank(keys[order]), g[order]))]
+
+
+def runs_of(gram: np.ndarray, hot: np.ndarray, keys: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray, n_groups: int) -> Iterator[tuple[int, bool, bytes]]:
+    """(group, False, run) of a task's suffixes, and (bucket, True, spans) of what is known to repeat already."""
+    g = (gram % np.uint64(n_groups)).astype(np.int64)
+    order = _sorted(keys, g, doc, at)
+    g, hot, keys, doc, tag, at = (x[order] for x in (g, hot, keys, doc, tag, at))
+    # equal keys: the smallest document's entry is sent, the others are repeats of it
+    first = np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))
+    late = doc != doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    before, after = keys[late, KEY - 1].astype(np.int64), keys[late, LENGTH].astype(np.int64)
+    whole = before + after >= LENGTH
+    where = at[late].astype(np.int64)
+    known = packed(*by_document(doc[late][whole], tag[late][whole], np.stack((where - before, where + after), axis=1)[whole]), n_groups)
+    for b, data in zip(known["b"], known["data"], strict=True):
+        yield b, True, data
+    if (own := hot & ~late).any():
+        k, o, around = strings_around(keys[own])
+        flat = around[:, :LENGTH].astype(np.uint64)
+        name = np.zeros(len(k), np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(LENGTH):
+                name = name * np.uint64(0x9E3779B97F4A7C15) + flat[:, i] + np.uint64(1)
+        yield from runs_of(name >> np.uint64(20), np.zeros(len(k), bool), around, doc[own][k], tag[own][k], (at[own][k] - o).astype(np.int32), n_groups)
+    own = ~late & ~hot
+    heads = np.flatnonzero(first & ~hot)
+    n_at = np.bincount(np.cumsum(first)[own] - 1, minlength=int(first.sum()))[(np.cumsum(first) - 1)[heads]]
+    tag, at = tag[own], at[own]
+    offset = np.concatenate(([0], np.cumsum(n_at)))
+    gh = g[heads]
+    edge = np.flatnonzero(np.concatenate(([True], gh[1:] != gh[:-1], [True]))) if len(gh) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        own = slice(offset[a], offset[b])
+        shared, rest = front_code(keys[heads[a:b]])
+        yield int(gh[a]), False, _pack(shared, rest, doc[heads[a:b]], n_at[a:b], tag[own], at[own])
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """Of ``keyed`` rows: doc_id, tag, spans (packed int32 pairs), the byte ranges to remove; only documents that lose bytes."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = width_bits(total / 16)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in _buffered(batches):
-            h, d = b.gram[b.at], b.doc[b.at]
-            order = np.lexsort((h, d))
-            h, d = h[order], d[order]  # each document counts once
-            yield h[np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))] if len(h) else h
-
-    table = repeated_cells(rows, hashes, bits)
-    shared_table = docs.sparkSession.sparkContext.broadcast(table)
     n_groups = max(1, int(total // GROUP_BYTES))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared_table.value
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[Anchors]:
+        for b in _buffered(batches, False):
+            yield b.anchors()
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            gram, keys, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-            g = (gram % np.uint64(n_groups)).astype(np.int64)
-            flat = np.ascontiguousarray(keys).view(f"S{KEY}").ravel()
-            order = np.argsort(flat, kind="stable")
-            order = order[np.lexsort((at[order], doc[order], _rank(keys[order]), g[order]))]
-            g, keys, doc, at = g[order], keys[order], doc[order], at[order]
-            # equal keys: the smallest document's entry is sent, the others are repeats of it
-            first = np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))
-            lead = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            late = doc != lead
-            before, after = keys[late, KEY - 1].astype(np.int64), keys[late, LENGTH].astype(np.int64)
-            whole = before + after >= LENGTH
-            where = at[late].astype(np.int64)
-            ids, blobs = _by_doc(doc[late][whole], np.stack((where - before, where + after), axis=1)[whole])
-            yield pa.RecordBatch.from_arrays([pa.array([i % n_groups for i in ids], pa.int64()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["g", "doc", "data"])
-            own = ~late
-            entry = np.cumsum(first) - 1
-            n_at = np.bincount(entry[own], minlength=int(first.sum()))
-            at = at[own]
-            heads = np.flatnonzero(first)
-            offset = np.concatenate(([0], np.cumsum(n_at)))
-            gh = g[heads]
-            edge = np.flatnonzero(np.concatenate(([True], gh[1:] != gh[:-1], [True])))
-            names, blobs = [], []
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                shared, rest = front_code(keys[heads[a:b]])
-                names.append(int(gh[a]))
-                blobs.append(_pack(shared, rest, doc[heads[a:b]], n_at[a:b], at[offset[a] : offset[b]]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(blobs, pa.binary())], names=["g", "doc", "data"])
+            g, local, data = zip(*runs_of(*(np.concatenate(x) for x in zip(*held, strict=True)), n_groups), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(local, pa.bool_()), pa.array(data, pa.binary())], names=["g", "local", "data"])
 
         held, n = [], 0
-        for b in _buffered(batches):
-            at = b.at[is_repeated(b.gram[b.at], bitmap, bits)]
+        for b in _buffered(batches, True):
+            at, hot = b.repeated()
             if len(at):
                 d = b.doc[at]
-                held.append((b.gram[at], b.keys(at), b.ids[d], (at - b.start[d]).astype(np.int32)))
+                held.append((b.gram[at], hot, b.keys(at), b.ids[d], b.tags[d], (at - b.start[d]).astype(np.int32)))
                 n += len(at)
             if n >= FLUSH:
                 yield from out(held)
@@ -289,12 +320,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             yield from out(held)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
-        local = rows["doc"].notna()
-        ids, blobs = [int(x) for x in rows["doc"][local]], list(rows["data"][local])
+        local = rows["local"].to_numpy(bool)
+        out = pd.DataFrame({"b": rows["g"][local], "data": rows["data"][local]})
         parts = [_unpack(x) for x in rows["data"][~local]]
         if parts:
-            runs = [(decode(shared, rest), shared.tolist()) for shared, rest, _, _, _ in parts]
-            base = np.concatenate(([0], np.cumsum([len(p[2]) for p in parts])))
+            runs = [(decode(p[0], p[5]), p[0].tolist()) for p in parts]
+            base = np.concatenate(([0], np.cumsum([len(p[1]) for p in parts])))
             n = int(base[-1])
             entry, shared = np.zeros(n, np.int64), np.zeros(n, np.uint8)
             keys = bytearray()
@@ -302,20 +333,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 entry[i], shared[i] = base[r] + at, share
                 keys += runs[r][0][at]
             del runs
-            table = np.frombuffer(bytes(keys), np.uint8).reshape(n, KEY)
-            doc = np.concatenate([p[2] for p in parts])
-            hit, before, after = decide(table, shared, doc[entry])
-            n_at = np.concatenate([p[3] for p in parts]).astype(np.int64)
-            at = np.concatenate([p[4] for p in parts]).astype(np.int64)
+            _, doc, n_at, tag, at = (np.concatenate(x) for x in zip(*(p[:5] for p in parts), strict=True))
+            hit, before, after = decide(np.frombuffer(bytes(keys), np.uint8).reshape(n, KEY), shared, doc[entry])
             span = np.zeros((n, 3), np.int64)
             span[entry] = np.stack((hit, before, after), axis=1)
+            n_at = n_at.astype(np.int64)
             per = np.repeat(span, n_at, axis=0)
             on = per[:, 0] == 1
-            more = _by_doc(np.repeat(doc, n_at)[on], np.stack((at - per[:, 1], at + per[:, 2]), axis=1)[on])
-            ids, blobs = ids + more[0], blobs + more[1]
-        return packed(ids, blobs, n_groups)
+            at = at.astype(np.int64)
+            spans = np.stack((at - per[:, 1], at + per[:, 2]), axis=1)[on]
+            out = pd.concat([out, packed(*by_document(np.repeat(doc, n_at)[on], tag[on], spans), n_groups)])
+        return out
 
-    sent = map_arrow(rows, send, "g long, doc long, data binary")
+    found = with_marks(rows, repeated_anchors(rows, anchors, total / PER_ANCHOR, once=True))
+    sent = map_arrow(found, send, "g long, local boolean, data binary")
     return spans_by_document(sent.groupBy("g").applyInPandas(group, "b long, data binary"))
 
 
@@ -344,21 +375,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    rows = with_spans(docs, repeated_spans(docs))
-    return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = keyed(docs)
+    return map_arrow(with_spans(rows, repeated_spans(rows)), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:
     """The contract on a dictionary of strings, for tests."""
-    raws = sorted((d, (t or "").encode()) for d, t in docs)
+    raws = [(d, (t or "").encode()) for d, t in docs]
     least: dict[bytes, int] = {}
     for d, raw in raws:
-        for i in range(len(raw) - LENGTH + 1):
-            least.setdefault(raw[i : i + LENGTH], d)
+        for i in range(len(raw) - LENGTH + 1 if d is not None else 0):
+            s = raw[i : i + LENGTH]
+            least[s] = min(least.get(s, d), d)
     out = []
     for d, raw in raws:
         gone = np.zeros(len(raw) + 1, bool)
-        for i in range(len(raw) - LENGTH + 1):
+        for i in range(len(raw) - LENGTH + 1 if d is not None else 0):
             if least[raw[i : i + LENGTH]] < d:
                 gone[i : i + LENGTH] = True
         starts = int((gone[:-1] & ~np.concatenate(([False], gone[:-2]))).sum()) if len(raw) else 0

@@ -202,15 +202,32 @@ def test_page_without_article_uses_the_largest_slots(spark):
 # 5
 
 
-def test_suffix_dedup(spark, docs, empty, rows):
-    extra = [(62, "é" * 40 + "\0" * 60), (63, "x" + "é" * 40 + "\0" * 60), (64, "a" * 500), (65, "b" + "a" * 200), (65, "b" + "a" * 200)]
-    every = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    got = suffixes.remove_repeats(every).withColumn("h", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "h")
+#: Repeated ids with equal and with different texts, and rows without an id.
+def odd_rows(rng):
+    t, u = words(rng, 70), words(rng, 50)
+    return [(200, t), (200, t), (201, "first " + u), (201, u), (202, t + " " + u), (None, t), (None, u), (203, None), (203, u)]
+
+
+def test_suffix_dedup(spark, docs, empty, rows, monkeypatch):
+    extra = [(62, "é" * 40 + "\0" * 60), (63, "x" + "é" * 40 + "\0" * 60), (64, "a" * 500), (65, "b" + "a" * 200), (65, "b" + "a" * 200), *odd_rows(random.Random(8))]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).withColumn("Tag", F.lit("x")).withColumn("marks", F.lit(1))
     want = suffixes.brute_force([*pairs(rows), *extra])
-    assert sorted(map(tuple, got.collect())) == sorted(want) and sum(w[2] for w in want) > 1000
+    for hot in (10_000, 3):  # from three documents on, grams are dealt by whole strings
+        monkeypatch.setattr(sketch, "HOT", hot)
+        got = suffixes.remove_repeats(every).withColumn("h", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "h")
+        key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key) and sum(w[2] for w in want) > 1000
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_texts_are_shuffled_once(spark, docs):
+    """The exchange of the texts that meets the sketch's replies also meets the spans."""
+    out = suffixes.remove_repeats(docs)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(2)
     runs = []
@@ -230,28 +247,51 @@ def test_loser_tree_merges_and_knows_prefixes():
 
 
 def test_substring_dedup(spark, docs, empty, rows):
-    got = substrings.remove_repeats(docs.withColumn("spans", F.lit(1))).withColumn("h", F.sha2(F.col("kept").cast("binary"), 256))
-    want = substrings.brute_force(pairs(rows))
-    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "h").collect())) == sorted(want) and sum(w[2] for w in want) > 300
+    extra = odd_rows(random.Random(8))
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = substrings.remove_repeats(every.withColumn("spans", F.lit(1)).withColumn("TAG", F.lit(1))).withColumn("h", F.sha2(F.col("kept").cast("binary"), 256))
+    want = substrings.brute_force([*pairs(rows), *extra])
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "h").collect()), key=key) == sorted(want, key=key) and sum(w[2] for w in want) > 300
+    # rows that repeat keep their text: nothing of them starts earlier
+    assert [w[2] for w in want if w[0] == 200] == [0, 0] and [w[2] for w in want if w[0] is None] == [0, 0]
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_sketch_never_falls_short(spark):
+def test_substring_dedup_of_a_long_text(spark):
+    rng = random.Random(5)
+    t = words(rng, 300_000, 10**6)
+    rows = [(1, words(rng, 40)), (2, t), (3, t[len(t) // 2 :] + " end")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("h", F.sha2(F.col("kept").cast("binary"), 256))
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "h").collect())) == substrings.brute_force(rows)
+
+
+def test_sketch_never_falls_short(spark, monkeypatch):
+    """Hashes counted over chunks and segments: none that occurs twice is missed, few others pass, the hot are known."""
     rng = np.random.default_rng(3)
-    h = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
-    twice = h[:500]
-    df = spark.createDataFrame([(int(i),) for i in range(8)], "doc_id long").withColumn("text", F.lit("x")).repartition(4)
+    h = (rng.integers(0, 1 << 63, 3000).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+    df = spark.createDataFrame([(i, 0, "") for i in range(40)], "doc_id long, tag long, text string").repartition(4)
 
-    def hashes(batches):
+    def anchors(batches):
         for b in batches:
             for i in b.column("doc_id").to_pylist():
-                yield h[i::8]
-                yield twice[i::8]
-
-    for bits in (16, 17):
-        table = sketch.repeated_cells(df, hashes, bits)
-        assert sketch.is_repeated(twice, table, bits).all()
-        assert sketch.is_repeated(h[500:], table, bits).mean() < 0.2
+                x = np.concatenate((h[i::40], h[(i // 2) : 200 : 20], h[:3]))
+                yield np.array([i]), np.array([0]), np.array([len(x)]), x
+
+    monkeypatch.setattr(sketch, "HOT", 40)
+    monkeypatch.setattr(sketch, "FLUSH", 300)
+    for expected in (100, 5 * sketch.PER_SEGMENT):
+        got = {r.doc_id: r.marks for r in sketch.repeated_anchors(df, anchors, expected).collect()}
+        wrong = total = 0
+        for i in range(40):
+            x = np.concatenate((h[i::40], h[(i // 2) : 200 : 20], h[:3]))
+            m = sketch.read_marks(got[i], len(x))
+            twice = np.isin(x, h[:200])
+            assert (m[twice] > 0).all() and (m[np.isin(x, h[:3])] == 2).all()
+            wrong, total = wrong + int((m[~twice] > 0).sum()), total + int((~twice).sum())
+        assert wrong < 0.02 * total
+        once = sketch.repeated_anchors(df.where("doc_id = 0"), anchors, expected, once=True).count()
+        assert once == 0  # what repeats within one document counts once
 
 
 # 7
