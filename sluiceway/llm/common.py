@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluiceway import at_hand
 
@@ -24,17 +27,38 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """A folder of this application's in the one that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, a temporary folder is made.
+    Only in local mode, as in tests, a temporary folder serves where that is unset. What is
+    written there is removed when the driver's Python ends.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="sluiceway-")
-        sc.setCheckpointDir(path)
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="sluiceway-")
+        sc.setCheckpointDir(top)
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+        top = sc.getCheckpointDir()
+    path = f"{top.rstrip('/')}/sluiceway-{sc.applicationId}"
+    if path not in _known:
+        _known.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_known: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's own file system; a session that has ended leaves it."""
+    try:
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  removal is a courtesy
+        pass
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,7 +66,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a table of ``written`` that nothing will read any more."""
+    if path := getattr(df, "_written", None):
+        _remove(df.sparkSession, path)
 
 
 def counted_side(df: DataFrame) -> DataFrame:
@@ -58,12 +90,18 @@ def short_batches(spark: SparkSession) -> None:
 
 
 def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     short_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def beside(docs: DataFrame, *names: str) -> list[str]:
+    """Columns of docs but for those named so in whatever case, as quoted names."""
+    out = {n.lower() for n in names}
+    return [f"`{c.replace('`', '``')}`" for c in docs.columns if c.lower() not in out]
+
+
 def uniform(*cols: Column | str) -> Column:
     """A number in (0, 1) from a hash of the columns; reruns agree."""
     bits = F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double")
@@ -87,6 +125,3 @@ def crc_bucket(column: Column | str, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"os", "annotations"}]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import written
+from sluiceway.llm.common import forget, written
 
 MAX_ROUNDS = 60
 
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("u", "v").where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(MAX_ROUNDS):
-        now = written(_small_star(_large_star(now)))
+        last, now = now, written(_small_star(_large_star(now)))
+        forget(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break

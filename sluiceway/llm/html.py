@@ -3,23 +3,24 @@
 Pages of a host are aligned, one after the other, to a union-free regular
 expression over their token streams (the wrapper): start and end tags, text
 slots, optional groups and repeated groups. Where a page and the wrapper differ,
-texts become slots, runs of alike siblings one repeated group, and parts that
-only one has optional groups. A wrapper node knows in how many pages it was seen
-and whether its text was the same in all. What is the same in every page
-outside the article is template text. The article is the region marked as such, or else
-the node whose slots hold the most text that isn't links.
+texts become slots; a run of siblings that comes once more right behind itself (a square, of one element or several)
+becomes a repeated group; and parts that only one has become optional groups. A wrapper's slot knows
+which texts every page had there. These are template text, inside the article as well as outside; a block goes if
+all of it is template text. The article is the region marked as such, or else
+the node whose slots hold the most text that isn't links. Words in class, id and role only tell apart what the
+alignment can't, such as adverts and reader comments that differ on every page; they never remove a paragraph, heading or list item.
 
 A wrapper is inferred from all pages of a group, folded page by page; a second pass
 extracts every page from its whole html. Copies (pages with the same text
-outside menus and the like) count as one page, so their text isn't taken for a template's, and
-text is left out as template text only if it is the slot's. A page that
+outside menus and the like) count as one page, and template text that makes up more than half of
+a page's article is kept (near copies share that much, templates don't); it takes three different pages to know a template. A page that
 doesn't fit the wrapper is judged by its own tokens. Hosts with many pages are
 dealt into several groups, each with a wrapper of its own; a group's html is held compressed.
 
 Edge cases: null or empty html gives the empty text; a null url is a host of its
 own; broken markup (unclosed or crossing tags, stray '<') is read as far as it
-goes; a page alone on its host is judged by its own tokens; repeated rows are
-extracted each.
+goes; elements nested deeper than ``DEEPEST`` are read as if at that depth; a page alone on its host is judged by its own tokens; repeated rows are
+extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,16 @@ from sluiceway.llm.common import counted_side, map_arrow
 
 #: Pages of one host in a group; hosts with more are dealt into several.
 GROUP = 250
+#: Elements below one another that are told apart.
+DEEPEST = 200
+#: Siblings that may repeat as one group.
+SQUARE = 8
+#: Different pages that it takes to tell a template's text from an article's.
+PAGES = 3
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|$)|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
 ATTR = re.compile(r"\b(class|id|role|aria-label|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -53,6 +61,7 @@ OUTSIDE = frozenset("nav header footer aside form button select dialog menu head
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table select article section div main body".split())
+SAID = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption article main body html".split())
 # Words in class, id or role that mark what isn't the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|"
@@ -80,6 +89,7 @@ def parse(text: str | None) -> Node:
     """Token stream to nested elements; text is kept undecoded."""
     root = Node("#page")
     stack, at, text = [root], 0, text or ""
+    below: list[str] = []  # open elements that are too deep to be told apart
 
     def say(part: str) -> None:
         if part:
@@ -101,7 +111,17 @@ def parse(text: str | None) -> Node:
             continue
         name = name.lower()
         if m["end"]:
-            close((name,), frozenset())
+            if name in below:
+                while below.pop() != name:
+                    pass
+            else:
+                close((name,), frozenset())
+            continue
+        if len(stack) > DEEPEST:
+            if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+                below.append(name)
+            if name not in INLINE:
+                stack[-1].children.append(Node("br"))
             continue
         if name in CLOSES_P:
             close(("p",), SCOPES)
@@ -120,11 +140,11 @@ def parse(text: str | None) -> Node:
 class Wrapper:
     """A node of the expression: an element or a text slot, maybe optional or repeated."""
 
-    __slots__ = ("key", "seen", "pages", "last", "repeated", "text", "chars", "linked", "children", "keys")
+    __slots__ = ("key", "seen", "repeated", "text", "texts", "chars", "linked", "children", "keys")
 
     def __init__(self, key: object):
         self.key, self.seen, self.repeated, self.text = key, 0, False, None
-        self.pages, self.last = 0, -1
+        self.texts: dict[int, int] = {}
         self.keys: set[object] = set()
         self.chars = self.linked = 0
         self.children: list[Wrapper] = []
@@ -132,25 +152,40 @@ class Wrapper:
     def optional(self, of: int) -> bool:
         return self.seen < of
 
+    def say(self, said: str, in_link: bool, page: int) -> None:
+        """One more text of a slot. ``texts`` has, of the first page's texts, the last page up to which every page had it."""
+        self.text = said if self.seen == 1 or self.text == said else False
+        self.chars += len(said)
+        self.linked += len(said) * in_link
+        name = xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass"))
+        if page == 0 or self.texts.get(name) == page - 1:
+            self.texts[name] = page
+
+    def square(self, keys: list[object], i: int, at: int) -> int:
+        """How many siblings before ``at`` come once more from keys[i] on; the fewest, or 0."""
+        for n in range(1, min(SQUARE, at, len(keys) - i) + 1):
+            if all(self.children[at - n + k].key == keys[i + k] for k in range(n)):
+                return n
+        return 0
+
     def absorb(self, node: Node | str, in_link: bool = False, page: int = 0) -> None:
-        """Align one more element with this node; copies of a page have its number."""
+        """Align one more element with this node; pages are numbered from 0, copies of one have the number -1."""
         self.seen += 1
-        if self.last != page:
-            self.pages, self.last = self.pages + 1, page
         if isinstance(node, str):
-            said = " ".join(references.unescape(node).split())
-            self.text = said if self.seen == 1 or self.text == said else False
-            self.chars += len(said)
-            self.linked += len(said) * in_link
+            self.say(" ".join(references.unescape(node).split()), in_link, page)
             return
         fresh = [x for x in node.children if not isinstance(x, str) or x.strip()]
-        at = 0
-        for i, x in enumerate(fresh):
-            key = "#" if isinstance(x, str) else x.key
-            if i and at and self.children[at - 1].key == key:  # a square: one more of the group before
-                self.children[at - 1].repeated = True
-                self.children[at - 1].absorb(x, in_link or key[0] == "a", page)
+        keys = ["#" if isinstance(x, str) else x.key for x in fresh]
+        at = i = 0
+        while i < len(fresh):
+            if i and (n := self.square(keys, i, at)):
+                for k in range(n):
+                    group = self.children[at - n + k]
+                    group.repeated = True
+                    group.absorb(fresh[i + k], in_link or keys[i + k][0] == "a", page)
+                i += n
                 continue
+            key = keys[i]
             for j in range(at, len(self.children) if key in self.keys else at):
                 if self.children[j].key == key:
                     break
@@ -158,19 +193,20 @@ class Wrapper:
                 j = at
                 self.children.insert(at, Wrapper(key))
                 self.keys.add(key)
-            self.children[j].absorb(x, in_link or key[0] == "a", page)
-            at = j + 1
+            self.children[j].absorb(fresh[i], in_link or key[0] == "a", page)
+            at, i = j + 1, i + 1
 
 
 def infer(pages: list[Node]) -> Wrapper:
     w = Wrapper(("#page", ""))
-    for p in pages:
-        w.absorb(p)
+    for i, p in enumerate(pages):
+        w.absorb(p, page=i)
     return w
 
 
 def outside(key: object) -> bool:
-    return isinstance(key, tuple) and (key[0] in OUTSIDE or bool(key[1] and MARKS.search(key[1])))
+    """By its element or, if it isn't one that holds an article's text, by its class words."""
+    return isinstance(key, tuple) and (key[0] in OUTSIDE or key[0] not in SAID and bool(key[1] and MARKS.search(key[1])))
 
 
 def region(w: Wrapper) -> list[object] | None:
@@ -192,7 +228,7 @@ def region(w: Wrapper) -> list[object] | None:
     def text(x: Wrapper) -> int:
         if outside(x.key):
             return 0
-        own = x.chars - 2 * x.linked if x.key == "#" and not (x.pages > 2 and x.text) else 0
+        own = x.chars - 2 * x.linked if x.key == "#" and not (x.seen >= PAGES and x.text) else 0
         return own + sum(map(text, x.children))
 
     path, now = [], w
@@ -204,43 +240,49 @@ def region(w: Wrapper) -> list[object] | None:
         path, now = [*path, best.key], best
 
 
-def blocks(node: Node, w: Wrapper | None, pages: int, inside: bool) -> list[str]:
-    """Text blocks of an element; ``w`` is the wrapper node it was aligned with, if any."""
-    out: list[str] = []
-    line: list[str] = []
+def blocks(node: Node, aligned: list[Wrapper], pages: int, inside: bool) -> list[str]:
+    """Text blocks of an element without template text; ``aligned`` are the wrapper nodes it can be aligned with."""
+    out: list[tuple[str, bool]] = []
+    line: list[tuple[str, bool]] = []
 
     def flush() -> None:
-        said = " ".join("".join(line).split())
+        said = " ".join("".join(x for x, _ in line).split())
         if said:
-            out.append(said)
+            out.append((said, all(fixed for x, fixed in line if x.strip())))
         line.clear()
 
-    def walk(n: Node, w: Wrapper | None) -> None:
+    def walk(n: Node, aligned: list[Wrapper], soft: bool) -> None:
         if outside(n.key) and not (inside and n.tag == "header"):
             if n.tag not in INLINE:
                 flush()
-            return
-        slots = {c.key: c for c in w.children} if w else {}
-        s = slots.get("#")
-        template = {x.text for x in w.children if x.key == "#" and x.text and x.pages >= pages} if w else set()
-        varies = s is not None and s.text is False  # what is set off within a varying text belongs to it
+                return
+            if n.tag in OUTSIDE:
+                return
+            soft = True  # marked words of a line count only if the line has others
+        slots: dict[object, list[Wrapper]] = {}
+        for w in aligned:
+            for c in w.children:
+                slots.setdefault(c.key, []).append(c)
+        template = {name for w in slots.get("#", ()) for name, upto in w.texts.items() if upto == pages - 1} if pages >= PAGES else ()
         for c in n.children:
             if isinstance(c, str):
-                fixed = not inside and pages > 2 and " ".join(references.unescape(c).split()) in template
-                if not fixed:
-                    line.append(references.unescape(c))
+                said = references.unescape(c)
+                fixed = soft or bool(template) and xxhash.xxh3_64_intdigest(" ".join(said.split()).encode("utf-8", "surrogatepass")) in template
+                line.append((said, fixed))
             elif c.tag == "br":
-                line.append(" ")
+                line.append((" ", True))
             elif c.tag in INLINE:
-                walk(c, None if varies else slots.get(c.key))
+                walk(c, slots.get(c.key, []), soft)
             else:
                 flush()
-                walk(c, slots.get(c.key))
+                walk(c, slots.get(c.key, []), False)
                 flush()
 
-    walk(node, w)
+    walk(node, aligned, False)
     flush()
-    return out
+    own = [said for said, fixed in out if not fixed]
+    every = [said for said, _ in out]
+    return own if 2 * sum(map(len, own)) >= sum(map(len, every)) else every
 
 
 def find(node: Node, path: list[object]) -> list[Node]:
@@ -251,19 +293,22 @@ def find(node: Node, path: list[object]) -> list[Node]:
     return now
 
 
-def extract(page: Node, w: Wrapper, pages: int) -> str:
-    path = region(w)
-    found = find(page, path) if path else []
-    if path and not found:  # the page doesn't fit: judge it by its own tokens
-        w, pages = infer([page]), 1
-        path = region(w)
-        found = find(page, path) if path else []
-    inside = bool(path and (path[-1][0] in ("article", "main") or ARTICLE.search(path[-1][1] or "")))
-    at = w
-    for key in path or []:
-        at = next((c for c in at.children if c.key == key), None) if at else None
-    parts = [b for n in (found or [page]) for b in blocks(n, at if found else w, pages, inside)]
-    return "\n\n".join(parts)
+class Extractor:
+    """A wrapper with its article's place, looked up once for all its pages."""
+
+    def __init__(self, w: Wrapper, pages: int):
+        self.pages, self.path = pages, region(w) or []
+        self.inside = bool(self.path and (self.path[-1][0] in ("article", "main") or ARTICLE.search(self.path[-1][1] or "")))
+        self.top, self.at = [w], [w]
+        for key in self.path:
+            self.at = [c for x in self.at for c in x.children if c.key == key]
+
+    def text(self, page: Node) -> str:
+        found = find(page, self.path) if self.path else []
+        if self.path and not found and self.pages > 1:  # the page doesn't fit: judge it by its own tokens
+            return Extractor(infer([page]), 1).text(page)
+        whole = found or [page]
+        return "\n\n".join(b for n in whole for b in blocks(n, self.at if found else self.top, self.pages, self.inside))
 
 
 def packed(text: str | None) -> bytes:
@@ -293,14 +338,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         now = None
 
         def settle() -> Iterator[pa.RecordBatch]:
-            w, copies = Wrapper(("#page", "")), {}
+            w, copies = Wrapper(("#page", "")), set()
             for x in held:
                 tree = parse(unpacked(x[2]))
-                said = hashlib.blake2b("\n".join(blocks(tree, None, 1, False)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                w.absorb(tree, page=copies.setdefault(said, len(copies)))
+                said = hashlib.blake2b("\n".join(blocks(tree, [], 1, False)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                w.absorb(tree, page=-1 if said in copies else len(copies))
+                copies.add(said)
+            extractor = Extractor(w, len(copies))
             for i in range(0, len(held), 256):
                 ids, urls, htmls = zip(*held[i : i + 256], strict=True)
-                texts = [extract(parse(unpacked(x)), w, len(copies)) for x in htmls]
+                texts = [extractor.text(parse(unpacked(x))) for x in htmls]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
             held.clear()
 

@@ -5,15 +5,16 @@ never copied, the path is a parameter). Each language has a probability per
 piece, fitted by expectation maximisation on labelled rows. A word's probability
 is the sum over all its segmentations into pieces (forward algorithm); a text's
 is the product over its words, so each distinct word is scored once per batch,
-for all languages at once, in numpy.
+for all languages at once, in numpy. Words of any length are fitted and scored, in logarithms.
 
-The model is fitted on a bounded sample: about ``per_lang`` labelled documents
-of each language, at most ``max_docs`` in all, each at most ``max_bytes`` long
-(longer ones are passed over in fitting, never cut). Predictions cover every whole text.
+The model is fitted on a bounded sample: about ``per_lang`` labelled texts
+of each language, at most ``max_docs`` in all (documented parameters; a text counts once, whatever its length). Of more than ``max_docs``
+languages the rarest have no row in it and can't be predicted. Predictions cover every whole text.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; very
-long words are scored in full, with rescaling; without labelled rows all is
-``und``; ties go to the language first in order; repeated rows are alike.
+Edge cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows there is no
+language to name, so all is ``und``, and ``keep_identified`` then keeps every text with a letter; ties go to the
+language first in order; repeated rows are alike. ``predict`` keeps the caller's columns, but for those named
+lang_pred or score in whatever case, which are replaced; ``keep_identified`` returns rows as they are.
 """
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sluiceway.llm.common import crc_bucket, map_arrow, uniform
+from sluiceway.llm.common import beside, crc_bucket, map_arrow, uniform
 
 MARK = "▁"
-MAX_PIECE = 10
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Probability of a character that no piece covers, the same in every language.
 UNKNOWN = 1e-7
 #: Distinct tokens whose scores are kept by a task.
 KEPT_TOKENS = 150_000
+#: Words, and characters of words, that are handled as one matrix.
+WORDS, CELLS = 20_000, 1_000_000
 RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -47,12 +50,12 @@ def vocabulary_path() -> str:
 
 
 def load_pieces(path: str | None = None) -> list[str]:
-    """Distinct lower-cased pieces of letters, up to MAX_PIECE characters."""
+    """Distinct lower-cased pieces of letters (words are runs of letters, so that others never match)."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=str(Path(path or vocabulary_path())))
     raw = (sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)))
-    return sorted({p for p in raw if len(p) <= MAX_PIECE and (RUN.fullmatch(p.lstrip(MARK)) or p == MARK)})
+    return sorted({p for p in raw if RUN.fullmatch(p.lstrip(MARK)) or p == MARK})
 
 
 def runs(token: str) -> list[str]:
@@ -61,31 +64,45 @@ def runs(token: str) -> list[str]:
 
 
 def codes(words: list[str]) -> np.ndarray:
-    """Words of one length as a matrix of code points."""
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return flat.reshape(len(words), -1).astype(np.uint64)
+    """Words as a matrix of code points, zeros behind the shorter ones."""
+    width = max(map(len, words))
+    flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.reshape(len(words), width).astype(np.uint64)
+
+
+def batched(words: list[str]) -> Iterator[np.ndarray]:
+    """Indexes of words in matrices of like lengths, of WORDS words and about CELLS characters at most."""
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        step = int(max(1, min(WORDS, CELLS // size[order[at]])))
+        while step > 1 and size[order[min(at + step, len(order)) - 1]] > 2 * size[order[at]] + 8:
+            step = (step + 1) // 2
+        yield order[at : at + step]
+        at += step
 
 
 class Pieces:
-    """Looks up all pieces in a batch of words by rolling hashes."""
+    """Looks up all pieces in a batch of words by rolling hashes, length by length."""
 
     def __init__(self, pieces: list[str]):
-        by_hash = {}
-        for p in pieces:
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in codes([p])[0]:
-                    h = h * BASE + c + np.uint64(1)
-            by_hash[int(h)] = len(by_hash)
-        self.order = list(by_hash.values())
-        keys = np.array(list(by_hash), np.uint64)
-        rank = np.argsort(keys)
-        self.keys, self.ids = keys[rank], np.array(self.order)[rank]
         self.n = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        by_len: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by_len.setdefault(len(p), []).append(i)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, ids in by_len.items():
+            m, h = codes([pieces[i] for i in ids]), np.zeros(len(ids), np.uint64)
+            with np.errstate(over="ignore"):
+                for i in range(n):
+                    h = h * BASE + m[:, i] + np.uint64(1)
+            rank = np.argsort(h)
+            self.tables[n] = h[rank], np.array(ids)[rank]
 
-    def at(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(end, length, piece id or n) for each substring of each word, ends ascending."""
+    def at(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(end, length, words that have a piece there, its id), ends ascending."""
         n, width = words.shape
         prefix = np.zeros((width + 1, n), np.uint64)
         power = np.ones(self.longest + 1, np.uint64)
@@ -95,61 +112,95 @@ class Pieces:
             for i in range(self.longest):
                 power[i + 1] = power[i] * BASE
             for end in range(1, width + 1):
-                for length in range(1, min(end, self.longest) + 1):
-                    h = prefix[end] - prefix[end - length] * power[length]
-                    k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                    yield end, length, np.where(self.keys[k] == h, self.ids[k], self.n)
+                for length, (keys, ids) in self.tables.items():
+                    if length <= end:
+                        h = prefix[end] - prefix[end - length] * power[length]
+                        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        hit = np.flatnonzero(keys[k] == h)
+                        if len(hit):
+                            yield end, length, hit, ids[k[hit]]
 
 
 def forward(pieces: Pieces, prob: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """log of the sum over all segmentations; words (n, width), prob (pieces + 1, langs) to (n, langs)."""
+    """log of the sum over all segmentations; words (n, width, zeros behind), prob (pieces + 1, langs) to (n, langs).
+
+    A character that is no piece of its own counts UNKNOWN. Sums are kept relative to a scale that
+    follows them every few characters.
+    """
     n, width = words.shape
     langs = prob.shape[1]
+    size = (words > 0).sum(1)
     ring = {0: np.ones((n, langs))}
-    scale = np.zeros((n, langs))
-    for end, length, piece in pieces.at(words):
-        if length == 1:
-            ring[end] = np.zeros((n, langs))
-            ring.pop(end - pieces.longest - 1, None)
-        if length == 1:
-            p = prob[piece]
-            p[piece == pieces.n] = UNKNOWN
-            ring[end] += ring[end - 1] * p
-        elif len(hit := np.flatnonzero(piece != pieces.n)):
-            ring[end][hit] += ring[end - length][hit] * prob[piece[hit]]
-        if length == min(end, pieces.longest) and end % 8 == 0:
+    scale, out = np.zeros((n, langs)), np.zeros((n, langs))
+    found = pieces.at(words)
+    now = next(found, None)
+    for end in range(1, width + 1):
+        p = np.full((n, langs), UNKNOWN)
+        held = []
+        while now is not None and now[0] == end:
+            if now[1] == 1:
+                p[now[2]] = prob[now[3]]
+            else:
+                held.append(now)
+            now = next(found, None)
+        ring[end] = ring[end - 1] * p
+        for _, length, hit, piece in held:
+            ring[end][hit] += ring[end - length][hit] * prob[piece]
+        ring.pop(end - pieces.longest - 1, None)
+        done = np.flatnonzero(size == end)
+        out[done] = np.log(ring[end][done]) + scale[done]
+        if end % 8 == 0:
             top = np.maximum.reduce(list(ring.values()))
             scale += np.log(top)
             for v in ring.values():
                 v /= top
-    return np.log(ring[width]) + scale
+    return out
+
+
+def expected_counts(pieces: Pieces, prob: np.ndarray, words: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected number of times each piece is used in words (n, width, zeros behind), by forward and backward sums of logs."""
+    n, width = words.shape
+    size = (words > 0).sum(1)
+    spans: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+    a = np.full((width + 1, n), -np.inf)
+    a[0] = 0
+    by_end: dict[int, list] = {}
+    for x in pieces.at(words):
+        by_end.setdefault(x[0], []).append(x[1:])
+    every = np.arange(n)
+    for end in range(1, width + 1):
+        single = np.full(n, UNKNOWN)
+        ids = np.full(n, pieces.n)
+        steps = []
+        for length, hit, piece in by_end.get(end, ()):
+            if length == 1:
+                single[hit], ids[hit] = prob[piece], piece
+            else:
+                steps.append((end, length, hit, piece, np.log(prob[piece])))
+        steps.insert(0, (end, 1, every, ids, np.log(single)))
+        for _, length, hit, _, p in steps:
+            a[end][hit] = np.logaddexp(a[end][hit], a[end - length][hit] + p)
+        spans += steps
+    b = np.full((width + 1, n), -np.inf)
+    b[size, every] = 0
+    total = np.zeros(pieces.n + 1)
+    whole = a[size, every]
+    for end, length, hit, piece, p in reversed(spans):
+        if not np.isfinite(b[end][hit]).any():
+            continue
+        through = p + b[end][hit]
+        total += np.bincount(piece, np.exp(a[end - length][hit] + through - whole[hit]) * weight[hit], pieces.n + 1)
+        b[end - length][hit] = np.logaddexp(b[end - length][hit], through)
+    return total
 
 
 def fit_language(pieces: Pieces, words: Counter, rounds: int = 3, smooth: float = 0.05) -> np.ndarray:
     """Piece probabilities by expectation maximisation over word types and their counts."""
-    by_len: dict[int, list[tuple[str, int]]] = {}
-    for w, c in words.items():
-        if len(w) <= 24:
-            by_len.setdefault(len(w), []).append((w, c))
-    prob = np.full(pieces.n + 1, 1.0 / pieces.n)
+    types, counts = list(words), np.array(list(words.values()), float)
+    parts = [(codes([types[i] for i in at]), counts[at]) for at in batched(types)] if types else []
+    prob = np.full(pieces.n + 1, 1.0 / max(1, pieces.n))
     for _ in range(rounds):
-        total = np.zeros(pieces.n + 1)
-        for width, group in by_len.items():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                m, weight = codes([w for w, _ in part]), np.array([c for _, c in part], float)
-                spans = []
-                a = [np.ones(len(part))] + [np.zeros(len(part)) for _ in range(width)]
-                for end, length, piece in pieces.at(m):
-                    p = np.where(piece == pieces.n, UNKNOWN if length == 1 else 0.0, prob[piece])
-                    a[end] = a[end] + a[end - length] * p
-                    spans.append((end, length, piece, p))
-                b = [np.zeros(len(part)) for _ in range(width)] + [np.ones(len(part))]
-                for end, length, _, p in reversed(spans):
-                    b[end - length] = b[end - length] + p * b[end]
-                z = weight / np.maximum(a[width], 1e-290)
-                for end, length, piece, p in spans:
-                    total += np.bincount(piece, a[end - length] * p * b[end] * z, pieces.n + 1)
+        total = sum((expected_counts(pieces, prob, m, w) for m, w in parts), np.zeros(pieces.n + 1))
         total[pieces.n] = 0
         prob = (total + smooth) / (total.sum() + smooth * pieces.n)
     prob[pieces.n] = 0
@@ -193,17 +244,12 @@ class Scorer:
         fresh = [t for t in tokens if t not in self.index]
         if not fresh:
             return
-        by_len: dict[int, list[tuple[int, str]]] = {}
-        counts = np.zeros(len(fresh))
-        for i, t in enumerate(fresh):
-            for r in runs(t):
-                by_len.setdefault(len(r), []).append((i, r))
-                counts[i] += 1
+        said = [(i, r) for i, t in enumerate(fresh) for r in runs(t)]
+        counts = np.bincount([i for i, _ in said], minlength=len(fresh)).astype(float)
         logs = np.zeros((len(fresh), len(self.model.langs)))
-        for group in by_len.values():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                np.add.at(logs, [i for i, _ in part], forward(self.look, self.model.prob, codes([r for _, r in part])))
+        for at in batched([r for _, r in said]) if said else ():
+            part = [said[k] for k in at]
+            np.add.at(logs, [i for i, _ in part], forward(self.look, self.model.prob, codes([r for _, r in part])))
         for t in fresh:
             self.index[t] = len(self.index)
         self.logs, self.counts = np.concatenate([self.logs, logs]), np.concatenate([self.counts, counts])
@@ -231,31 +277,34 @@ class Scorer:
         return names, scores
 
 
-def learn(docs: DataFrame, train: Column, *, per_lang: int = 300, max_docs: int = 3000, max_bytes: int = 1 << 16, vocabulary: str | None = None) -> Model:
-    """Fit on a bounded sample, about the same number of rows from each language."""
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs // 10).collect()}
-    want = min(per_lang, max_docs // max(1, len(counts)))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, want / n)).otherwise(rate)
-    sample = rows.where(uniform(F.xxhash64("text"), F.lit(3)) < rate).select("lang", "text").limit(2 * max_docs)
-    return Model(load_pieces(vocabulary), sorted((r[0], r[1]) for r in sample.collect()))
+def learn(docs: DataFrame, train: Column, *, per_lang: int = 300, max_docs: int = 3000, vocabulary: str | None = None) -> Model:
+    """Fit on a bounded sample, about the same number of texts from each language; reruns take the same."""
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs).collect()  # at most max_docs names
+    want = max(1, min(per_lang, max_docs // max(1, len(counts))))
+    rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, want / r[1])) for r in counts], "_lang string, _rate double")
+    drawn = uniform(F.xxhash64("doc_id", "text"), F.lit(3))
+    met = rows.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(drawn < F.col("_rate"))
+    some = met.groupBy("lang", "text").agg(F.min(drawn / F.col("_rate")).alias("at")).orderBy("at", "lang", "text").limit(2 * max_docs)
+    return Model(load_pieces(vocabulary), sorted((r[0], r[1]) for r in some.select("lang", "text").collect()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` with lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _predicted(docs.select(F.struct(*beside(docs, "lang_pred", "score")).alias("doc"), "text"), model).select("doc.*", "lang_pred", "score")
+
+
+def _predicted(packed: DataFrame, model: Model) -> DataFrame:
+    """(doc, text) to (doc, lang_pred, score)."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
             names, scores = scorer.predict(b.column("text").to_pylist())
-            keep = [n for n in b.schema.names if n not in ("lang_pred", "score")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc", "lang_pred", "score"])
 
-    kept = [f"`{n}` {t}" for n, t in docs.dtypes if n not in ("lang_pred", "score")]
-    return map_arrow(docs, run, ", ".join([*kept, "lang_pred string", "score double"]))
+    return map_arrow(packed, run, StructType([packed.schema["doc"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -269,4 +318,6 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that are in some language: those predicted ``und`` go."""
     model = learn(docs, crc_bucket("doc_id", 3) != 1, **options)
-    return predict(docs, model).where(F.col("lang_pred") != "und").select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("doc"), "text")
+    kept = _predicted(packed, model).where(F.col("lang_pred") != "und") if model.langs else packed.where(F.col("text").rlike(r"\p{L}"))
+    return kept.select("doc.*")

@@ -8,13 +8,14 @@ the mean of its tokens' shape vectors, and three figures on repetition. A
 network with one hidden layer is trained in numpy; its temperature is set on a
 part of the sample that the training doesn't see.
 
-The sample is bounded: about ``max_labels`` labelled rows (a documented
-parameter), documents up to ``max_bytes``. Scores cover every whole text.
+The sample is bounded: at most ``max_labels`` labelled rows (a documented parameter), those least by a
+hash of doc_id, whatever the length of their texts. Scores cover every whole text.
 
 Edge cases: null, empty and blank texts get the score of a document without
-tokens; rows whose quality is null aren't learned from; if the labels
+tokens; labels other than 0 and 1, null among them, aren't learned from; if the labels
 have one class only, or none, every score is the share of label 1 (0.5 without
-labels); labels that repeat count as often as they repeat.
+labels); rows and labels that repeat count once in the sample. The caller's columns are kept, but for
+one named score in whatever case, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sluiceway.llm.common import crc_bucket, map_arrow, uniform
+from sluiceway.llm.common import beside, crc_bucket, map_arrow, uniform
 
 DIM = 48
 NONZERO = 6
@@ -170,14 +172,13 @@ class Model:
         self.network = Network(x, np.array([q for _, q in sample], int))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, max_labels: int = 3000, max_bytes: int = 1 << 16) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, max_labels: int = 3000) -> Model:
     """Fit on a bounded sample of labelled rows whose crc32(doc_id) mod 5 isn't 0."""
-    gold = labels.where(F.col("quality").isNotNull() & (crc_bucket("doc_id", 5) != 0)).select("doc_id", "quality")
-    n = gold.count()
-    some = gold.where(uniform(F.col("doc_id"), F.lit(17)) < min(1.0, max_labels / max(n, 1))).limit(2 * max_labels)
-    small = F.broadcast(some)  # at most 2 * max_labels rows of two numbers
-    rows = docs.select("doc_id", "text").where((crc_bucket("doc_id", 5) != 0) & (F.octet_length("text") <= max_bytes)).join(small, "doc_id")
-    return Model(sorted((r[0], int(r[1])) for r in rows.select("text", "quality").limit(2 * max_labels).collect()))
+    gold = labels.where(F.col("quality").isin(0, 1) & (crc_bucket("doc_id", 5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    small = F.broadcast(gold.orderBy(uniform(F.col("doc_id"), F.lit(17)), "doc_id", "quality").limit(max_labels))  # rows of two numbers
+    rows = docs.select("doc_id", "text").where(crc_bucket("doc_id", 5) != 0).join(small, "doc_id").select("text", "quality").distinct()
+    some = rows.orderBy(uniform(F.col("text"), F.lit(18)), "text", "quality").limit(max_labels)
+    return Model(sorted((r[0] or "", r[1]) for r in some.collect()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -190,11 +191,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             x = np.array([f.of(t) for t in b.column("text").to_pylist()]).reshape(b.num_rows, 2 * DIM + 3)
             s = m.network.score(x) if len(x) else np.zeros(0)
-            keep = [n for n in b.schema.names if n != "score"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(s, pa.float64())], names=["doc", "score"])
 
-    kept = [f"`{n}` {t}" for n, t in docs.dtypes if n != "score"]
-    return map_arrow(docs, run, ", ".join([*kept, "score double"]))
+    packed = docs.select(F.struct(*beside(docs, "score")).alias("doc"), "text")
+    return map_arrow(packed, run, StructType([packed.schema["doc"], StructField("score", DoubleType())])).select("doc.*", "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluiceway.llm import html, jaccard, sharding, vectors
 
@@ -100,3 +101,49 @@ def test_every_page_of_a_host_counts(spark):
     assert all("The same long paragraph, again and again." in got[i] and "Head" in got[i] for i in range(9))
     assert all(f"Title {i}" in got[i] and f"Paragraph number {i}, which" in got[i] for i in range(9, 12))
     assert not any("Site" in got[i] for i in range(12)) and {got[i] for i in range(20, 24)} == {"Only one text here."}
+
+
+def extracted(spark, pages, url="http://s.example/"):
+    rows = [(i, url, h) for i, h in enumerate(pages)]
+    return {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("x")).withColumn("host", F.lit(1))).collect()}
+
+
+def prose(rng, n):
+    return " ".join(words(rng, n))
+
+
+def test_template_text_goes_inside_the_article_too(spark):
+    rng = random.Random(6)
+    told = [(prose(rng, 6), prose(rng, 30), prose(rng, 25)) for _ in range(8)]
+    marked = "<body><article><h1>{0}</h1><p>{1}</p><p>Subscribe to our letter today</p><p class='share'>{2}</p></article></body>"
+    plain = "<body><div><h1>{0}</h1><p>{1}</p><p>{2}</p><p>All rights reserved by Foo</p></div></body>"
+    for shape in (marked, plain):
+        got = extracted(spark, [shape.format(*t) for t in told])
+        assert [got[i] for i in range(8)] == ["\n\n".join(t) for t in told]
+    # near copies share most of their text, which is no template; two pages are too few to tell
+    got = extracted(spark, [marked.format("Same head", told[0][1], f"Line {i}") for i in range(4)])
+    assert all(told[0][1] in got[i] and f"Line {i}" in got[i] for i in range(4))
+    assert "Subscribe" in extracted(spark, [marked.format(*t) for t in told[:2]])[0]
+
+
+def test_deep_and_hostile_markup(spark):
+    deep = "<body><article><p>Before the depth.</p>" + "<div>" * 10_000 + "The text at the bottom." + "</div>" * 10_000 + "<p>After the depth.</p></article></body>"
+    spans = "<body><p>" + "<span>" * 5_000 + "word" + "</span>" * 5_000 + " end</p></body>"
+    quotes = "<body><p>Some text.</p>" + "<a href=\"x' " * 20_000 + "</body>"
+    got = extracted(spark, [deep, spans, quotes], None)
+    assert got[0].split("\n\n") == ["Before the depth.", "The text at the bottom.", "After the depth."]
+    assert got[1] == "word end" and got[2].startswith("Some text.")
+
+
+def test_squares_become_groups():
+    """A run of siblings that comes once more is one repeated group, whatever its length in a page."""
+    section = "<h2>{0}</h2><p>{1}</p><pre>{2}</pre>"
+    pages = ["<body><div>" + "".join(section.format(f"h{i}{j}", f"p{i}{j}", f"c{i}{j}") for j in range(2 + i)) + "<hr></div></body>" for i in range(4)]
+    w = html.infer([html.parse(p) for p in pages])
+    group = w.children[0].children[0].children
+    assert [c.key[0] for c in group] == ["h2", "p", "pre", "hr"] and [c.repeated for c in group] == [True, True, True, False]
+    assert [c.seen for c in group] == [2 + 3 + 4 + 5] * 3 + [4]
+    # by brute force: each page is one word of the expression (h2 p pre)+ hr
+    for p in pages:
+        keys = [c.key[0] for c in html.parse(p).children[0].children[0].children]
+        assert keys == ["h2", "p", "pre"] * ((len(keys) - 1) // 3) + ["hr"]
