@@ -125,3 +125,25 @@ def crc_bucket(column: Column | str, n: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_tag() -> Column:
+    """Tells the texts of one doc_id apart, in Spark and without Python."""
+    return F.xxhash64("text")
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``docs`` but for those that ``found`` (doc_id, tag, component_id; tag is ``text_tag``) puts under a smaller doc_id.
+
+    Of rows that repeat a doc_id and a text, one stays: the least by a hash of all its columns. Rows without a doc_id stay.
+    """
+    gone = counted_side(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct())
+    same = (F.col("doc_id") == F.col("_d")) & (text_tag() == F.col("_t"))
+    kept = docs.join(gone, same, "left_anti").select(*docs.columns)
+    again = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).count().where("count > 1").drop("count")
+    again = counted_side(again)
+    if again.isEmpty():
+        return kept
+    row = F.struct(*(F.col(c) for c in beside(docs)))
+    met = kept.join(again, same).groupBy("_d", "_t").agg(F.min_by(row, F.xxhash64(*(F.col(c) for c in beside(docs)))).alias("row"))
+    return kept.join(again, same, "left_anti").select(*docs.columns).union(met.select("row.*"))

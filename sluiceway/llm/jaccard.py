@@ -12,8 +12,7 @@ candidate groups that are still apart are compared in full, between the parts th
 yet; large ones are cut into parts that meet pairwise in tasks of their own.
 
 Edge cases: texts without words form one class; fewer words than a shingle count
-as one shingle; rows that repeat or share a doc_id stay or go together, but for
-copies of the smallest doc_id, which all stay.
+as one shingle; of rows that repeat a doc_id and a text one stays; rows without a doc_id stay.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import counted_side, map_arrow, written
+from sluiceway.llm.common import counted_side, map_arrow, one_of_each, text_tag, written
 from sluiceway.llm.components import components
 from sluiceway.llm.simhash import LOWER, SPACE, join_labels
 from sluiceway.llm.sketch import marks, mixed
@@ -74,18 +73,18 @@ def key_of(s: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key (of the shingle set), bands."""
+    """doc_id, tag (of the text), key (of the shingle set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(list(map(key_of, sets)), pa.binary()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))],
-                names=["doc_id", "key", "bands"],
+                [b.column("doc_id"), b.column("tag"), pa.array(list(map(key_of, sets)), pa.binary()), pa.array(list(map(bands, sets)), pa.list_(pa.int64()))],
+                names=["doc_id", "tag", "key", "bands"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, key binary, bands array<long>")
+    return map_arrow(docs.select("doc_id", text_tag().alias("tag"), "text"), run, f"doc_id {kind}, tag long, key binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -166,7 +165,7 @@ def links(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """doc_id and component_id (smallest doc_id reachable over links)."""
+    """doc_id, tag and component_id (smallest doc_id reachable over links)."""
     rows = written(signed(docs, k))
     classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     dealt = classes.select("rep", F.explode("bands").alias("value"))
@@ -177,14 +176,12 @@ def near_copies(docs: DataFrame, k: int = SHINGLE, least: float = LEAST) -> Data
     sets = written(sets_of(docs, nodes, k))
     found = components(links(sets, pairs, least)).select(F.col("node"), F.col("component").alias("c"))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("c", "rep").alias("component_id"))
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")
+    return rows.select("doc_id", "tag", "key").join(named, "key").select("doc_id", "tag", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, k: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Rows of ``docs`` but for near copies: per component, the smallest doc_id stays."""
-    found = near_copies(docs.select("doc_id", "text"), k, least)
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` but for near copies: per component, the smallest doc_id stays; see ``one_of_each``."""
+    return one_of_each(docs, near_copies(docs, k, least))
 
 
 def brute_force(docs: list[tuple[int, str | None]], k: int = SHINGLE, least: float = LEAST) -> dict[int, int]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import map_arrow, uniform, written
+from sluiceway.llm.common import map_arrow, one_of_each, text_tag, uniform, written
 from sluiceway.llm.components import components
 
 RADIUS = 2
@@ -67,14 +67,14 @@ def fingerprint(text: str | None, k: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
+    """doc_id, tag (of the text) and fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, k) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tag"), pa.array(fp, pa.int64())], names=["doc_id", "tag", "fp"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return map_arrow(docs.select("doc_id", text_tag().alias("tag"), "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, tag long, fp long")
 
 
 # -- vantage-point trees over halves of 32 bits
@@ -218,7 +218,7 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, fp (signed long), component_id (smallest doc_id reachable over links)."""
+    """doc_id, tag, fp (signed long), component_id (smallest doc_id reachable over links)."""
     marked = written(fingerprints(docs, k))
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(links(classes)).withColumnRenamed("component", "c")
@@ -249,7 +249,5 @@ def brute_force(docs: list[tuple[int, str | None]], k: int = 3) -> dict[int, tup
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
-    """Rows of ``docs`` but for near copies: per component, the smallest doc_id stays (once)."""
-    found = near_duplicates(docs.select("doc_id", "text"), k)
-    drop = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` but for near copies: per component the smallest doc_id stays; see ``one_of_each``."""
+    return one_of_each(docs, near_duplicates(docs, k).select("doc_id", "tag", "component_id"))

@@ -54,30 +54,36 @@ CALIBRATED = 1000
 
 def doubles(column: pa.Array) -> list[np.ndarray | None]:
     """Finite non-zero vectors as doubles; None for those that link with nothing."""
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # a null component becomes NaN
+    offsets, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
     out: list[np.ndarray | None] = []
-    for v in column.to_pylist():
-        if not v or any(x is None for x in v):
-            out.append(None)
-            continue
-        x = np.array(v, np.float64) + 0.0
-        with np.errstate(over="ignore"):
-            norm = np.linalg.norm(x)
-        out.append(x if np.isfinite(norm) and norm > 0 else None)
+    for a, b, ok in zip(offsets[:-1], offsets[1:], there, strict=True):
+        x = values[a:b]
+        out.append(x if ok and len(x) and np.isfinite(x).all() and x.any() else None)
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, exactly, so that their norms neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def keyed(vectors: DataFrame) -> DataFrame:
-    """vec_id, key (of the exact vector, null if it links with nothing), embedding."""
+    """vec_id, key (of the exact vector, null if it links with nothing), v (the vector as it is)."""
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = doubles(b.column("embedding"))
+            xs = doubles(b.column("v"))
             keys = [None if x is None else hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in xs]
-            vs = pa.array([None if x is None else x.tolist() for x in xs], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), vs], names=["vec_id", "key", "v"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(keys, pa.binary()), b.column("v")], names=["vec_id", "key", "v"])
 
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return map_arrow(rows, run, "vec_id long, key binary, v array<double>")
+    return map_arrow(vectors.select("vec_id", F.col("embedding").cast(kind).alias("v")), run, f"vec_id long, key binary, v {kind}")
 
 
 def layout(n: int, sample: np.ndarray, same: float) -> tuple[int, int]:
@@ -130,15 +136,16 @@ class Plan:
                 self.count = k
                 break
 
-    def cells(self, x: np.ndarray) -> np.ndarray:
-        """Cell of each unit vector in each round."""
+    def cells(self, x: np.ndarray, rounds: int | None = None) -> np.ndarray:
+        """Cell of each unit vector in each of the first rounds (default: all)."""
+        rounds = self.rounds if rounds is None else rounds
         if not self.sides:
-            return np.zeros((len(x), self.rounds), np.int64)
-        bits = (x @ self.cuts > 0).reshape(len(x), self.rounds, self.sides)
+            return np.zeros((len(x), rounds), np.int64)
+        bits = (x @ self.cuts[:, : rounds * self.sides] > 0).reshape(len(x), rounds, self.sides)
         return bits @ (1 << np.arange(self.sides, dtype=np.int64))
 
 
-def near_in_cell(x: np.ndarray, cells: np.ndarray, weight: np.ndarray, part: np.ndarray, parts: tuple[int, int], round_: int, plan: Plan, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def near_in_cell(x: np.ndarray, weight: np.ndarray, part: np.ndarray, parts: tuple[int, int], round_: int, plan: Plan, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(links of each vector that are first met here, labels of linked vectors).
 
     Collisions are counted for every pair of the cell (or of its two parts): a
@@ -146,6 +153,7 @@ def near_in_cell(x: np.ndarray, cells: np.ndarray, weight: np.ndarray, part: np.
     projections at least once, and the windows of so many hold nearly all pairs.
     """
     n = len(x)
+    x = scaled(x)
     norm = np.linalg.norm(x, axis=1)
     p = ((x / norm[:, None]) @ plan.directions).astype(np.float32)
     degree, labels = np.zeros(n, np.int64), np.arange(n)
@@ -169,8 +177,11 @@ def near_in_cell(x: np.ndarray, cells: np.ndarray, weight: np.ndarray, part: np.
             good = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= cosine
             u, v = u[good], v[good]
             join_labels(labels, u, v)
-            new = ~(cells[u, :round_] == cells[v, :round_]).any(1)
-            u, v = u[new], v[new]
+            if round_ and len(u):  # cells of earlier rounds, of linked vectors only
+                own, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+                cells = plan.cells(x[own] / norm[own, None], round_)
+                new = ~(cells[at[: len(u)]] == cells[at[len(u) :]]).any(1)
+                u, v = u[new], v[new]
             degree += (np.bincount(u, weight[v], n) + np.bincount(v, weight[u], n)).astype(np.int64)
     return degree, labels
 
@@ -180,24 +191,30 @@ def find_links(classes: DataFrame, cosine: float) -> DataFrame:
     spark = classes.sparkSession
     dims = {r[0]: r[1] for r in classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count")).collect()}
     share = min(1.0, SAMPLE / max(1, sum(dims.values())))
-    picked = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v").limit(2 * SAMPLE).collect()
+    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    picked = drawn.orderBy(F.xxhash64("rep"), "rep").select("v").limit(2 * SAMPLE).collect()
     plans = {}
     for d, n in dims.items():
-        s = [np.array(r[0]) for r in picked if len(r[0]) == d]
-        plans[d] = Plan(d, n, np.array([x / np.linalg.norm(x) for x in s]).reshape(len(s), d), cosine)
+        s = [r[0] for r in picked if len(r[0]) == d]
+        plans[d] = Plan(d, n, unit(np.array(s, np.float64)) if s else np.zeros((0, d)), cosine)
     shared = spark.sparkContext.broadcast(plans)
+    kind = dict(classes.dtypes)["v"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column("v").to_pylist()
-            cells = []
-            for x in v:
-                y = np.array(x)
-                cells.append(shared.value[len(x)].cells((y / np.linalg.norm(y))[None, :])[0].tolist())
+            v = b.column("v")
+            values, offsets = v.values.to_numpy(zero_copy_only=False).astype(np.float64), v.offsets.to_numpy()
+            size = np.diff(offsets)
+            cells: list[list[int]] = [[]] * len(size)
+            for d in np.unique(size).tolist():
+                own = np.flatnonzero(size == d)
+                x = values[offsets[own][:, None] + np.arange(d)]
+                for i, c in zip(own.tolist(), shared.value[d].cells(unit(x)).tolist(), strict=True):
+                    cells[i] = c
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("rep", "n", "v")), pa.array(cells, pa.list_(pa.int64()))], names=["rep", "n", "v", "cells"])
 
-    dealt = classes.mapInArrow(deal, "rep long, n long, v array<double>, cells array<long>")
-    dealt = dealt.select("*", F.posexplode("cells").alias("round", "cell")).withColumn("dim", F.size("v"))
+    dealt = classes.mapInArrow(deal, f"rep long, n long, v {kind}, cells array<long>")
+    dealt = dealt.select("rep", "n", "v", F.size("v").alias("dim"), F.posexplode("cells").alias("round", "cell"))
     big = counted_side(dealt.groupBy("dim", "round", "cell").count().where(F.col("count") > PART))
     cut = (
         dealt.join(big, ["dim", "round", "cell"], "left")
@@ -205,17 +222,15 @@ def find_links(classes: DataFrame, cosine: float) -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("pa", F.least("part", "other")).withColumn("pb", F.greatest("part", "other"))
-        .select("dim", "round", "cell", "pa", "pb", "part", "rep", "n", "v", "cells")
+        .select("dim", "round", "cell", "pa", "pb", "part", "rep", "n", "v")
     )
 
     def within(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.iloc[0]
-        x, rep = np.stack(rows["v"].to_numpy()), rows["rep"].to_numpy(np.int64)
+        x, rep = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["rep"].to_numpy(np.int64)
         plan = shared.value[x.shape[1]]
         parts = (int(first["pa"]), int(first["pb"]))
-        degree, labels = near_in_cell(
-            x, np.stack(rows["cells"].to_numpy()), rows["n"].to_numpy(np.int64), rows["part"].to_numpy(), parts, int(first["round"]), plan, cosine
-        )
+        degree, labels = near_in_cell(x, rows["n"].to_numpy(np.int64), rows["part"].to_numpy(), parts, int(first["round"]), plan, cosine)
         moved, linked = np.flatnonzero(labels != np.arange(len(x))), np.flatnonzero(degree)
         return pd.DataFrame({
             "u": np.concatenate((rep[moved], rep[linked])),

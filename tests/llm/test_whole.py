@@ -85,9 +85,8 @@ def test_pairs_in_a_cell_reach_the_count():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     both = np.concatenate((x, partners(rng, x, 0.9 + 1e-9)))
     plan, one = vectors.Plan(64, 10, x[:0], 0.9), np.ones(len(both), np.int64)
-    cells = np.zeros((len(both), 1), np.int64)
     for part, parts in ((0 * one, (0, 0)), (np.repeat([0, 1], 2500), (0, 1))):
-        degree, labels = vectors.near_in_cell(both, cells, one, part, parts, 0, plan, 0.9)
+        degree, labels = vectors.near_in_cell(both, one, part, parts, 0, plan, 0.9)
         assert degree.sum() / len(both) >= 0.995 and (labels[2500:] == np.arange(2500)).mean() >= 0.995
 
 
