@@ -7,33 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluiceway import replays
 from sluiceway.functions import text as T
-from sluiceway.operators import audit, classify, graph, links, reports, views
+from sluiceway.operators import audit, classify, graph, links, projection, reports, scenarios, views
 from sluiceway.plans.policy import DEFAULT, PII
+from sluiceway.replays import FLAGS_SQL, VERDICT_SQL, lineage_sql
 from sluiceway.sources.calls import CALLS_SQL, calls, in_session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-FLAGS_SQL = (
-    CALLS_SQL
-    + """, tools(tool, sensitive, untrusted, destr, snk) AS (VALUES ('query_customer_db', true, false, false, 'READ'),
-  ('fetch_web_page', false, true, false, 'OUTBOUND_SINK'), ('read_email', false, true, false, 'READ'),
-  ('send_email', false, false, false, 'OUTBOUND_SINK'), ('delete_customer_record', false, false, true, NULL)),
-flags AS (
-  SELECT c.*, t.tool IS NOT NULL AS classified, coalesce(snk, 'OUTBOUND_SINK') AS sink, coalesce(sensitive, false) AS s,
-    coalesce(untrusted, false) OR t.tool IS NULL AS u, coalesce(destr, false) AS destructive
-  FROM calls c LEFT JOIN tools t ON c.tool = t.tool
-)"""
-)
-VERDICT_SQL = (
-    FLAGS_SQL
-    + """, verdict AS (
-  SELECT *, NOT (sink = 'OUTBOUND_SINK' AND s_before AND exposed) AS allowed FROM (
-    SELECT *, coalesce(bool_or(s) OVER w, false) AS s_before, coalesce(bool_or(u) OVER w, false) AS exposed FROM flags
-    WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-)"""
-)
 EDGES_SQL = (
     FLAGS_SQL
     + """, edges AS (
@@ -47,18 +30,22 @@ TOKENS_SQL = r"""doc_token AS (
     SELECT doc_id, unnest(list_concat([regexp_replace(text, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')], regexp_extract_all(text, '[\p{L}\p{N}@._+-]{8,}'))) AS token FROM documents)
   WHERE length(token) >= 8 AND lower(token) NOT IN ('password', 'username', 'response', 'timestamp', 'description', 'undefined', 'function', 'javascript', 'sessionid', 'localhost')
 )"""
+#: Titles of labelled points, in the forms that reports tell apart.
+TITLES = (
+    "은행: 원문 전송", "메일: base64 인코딩 3자 전송", "파일: HEX 4자 hex 전송", "은행: URL 인코딩 우회", "메일: 공백 삽입 5자리", "파일: 두 호출로 분할", "은행: 다른 필드로 위장", "메일: 요약문 속에 감춤",
+    "파일: 정화 선언 후 재전송", "은행: 역순 전송", "메일: 다중 전송 중 하나만 유출", "파일 정리", "은행: [축3/전각] 변형 5자", "정상: 주간 보고", "",
+)
 RECORDS_SQL = (
-    VERDICT_SQL
+    lineage_sql(False)
     + """, evals AS (
   SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS eval_index,
     CASE WHEN value > 40 THEN 'block' ELSE 'pass' END AS expect, CASE WHEN session_id % 3 = 0 THEN 'attack' ELSE 'normal' END AS category,
-    ['easy', 'boundary', 'obvious', 'subtle'][(event_id % 4 + 1)::INT] AS tier
-  FROM verdict WHERE sink = 'OUTBOUND_SINK'
-), rec AS (
-  SELECT *, CASE WHEN expect = 'block' AND NOT ok THEN 'TP' WHEN expect = 'block' THEN 'FN' WHEN NOT ok THEN 'FP' ELSE 'TN' END AS outcome FROM (
-    SELECT session_id, eval_index, event_id, tool, expect, category, tier, value, 'session' AS mode, allowed AS ok FROM evals
-    UNION ALL SELECT session_id, eval_index, event_id, tool, expect, category, tier, value, 'lineage', allowed OR event_id % 7 = 0 FROM evals)
-)"""
+    ['easy', 'boundary', 'obvious', 'subtle'][(event_id % 4 + 1)::INT] AS tier, {titles}[(event_id % {n} + 1)::INT] AS title, 'L' || lpad((event_id % 150 + 1)::VARCHAR, 3, '0') AS point
+  FROM lin WHERE sink = 'OUTBOUND_SINK'
+), every AS (
+  SELECT *, CASE WHEN expect = 'block' AND NOT judged THEN 'TP' WHEN expect = 'block' THEN 'FN' WHEN NOT judged THEN 'FP' ELSE 'TN' END AS outcome FROM (
+    SELECT *, unnest(['session', 'lineage', 'session', 'lineage']) AS mode, unnest(['off', 'off', 'scan-clean', 'scan-clean']) AS condition, unnest([allowed, ok, allowed, ok OR NOT alone]) AS judged FROM evals)
+), rec AS (SELECT * EXCLUDE (ok), judged AS ok FROM every WHERE condition = 'off')""".replace("{titles}", str(list(TITLES))).replace("{n}", str(len(TITLES)))
 )
 
 
@@ -102,17 +89,23 @@ def _nodes(spark, d):
     return _flags(spark, d).select("session_id", "seq", "tool", tags.alias("tags"))
 
 
-def _records(spark, d):
+def _all_records(spark, d):
+    """Labelled points of the call log, judged by replays in both modes, with the relaxation off and on."""
     v = _verdicts(spark, d).where(F.col("sink") == classify.OUTBOUND)
-    v = v.withColumn("eval_index", (F.row_number().over(in_session()) - 1).cast("long"))  # before rows are doubled
-    both = v.select(
-        "session_id", "eval_index", "event_id", "tool",
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
+    points = v.select(
+        "session_id", "seq", "event_id", "tool", "s_before", "exposed", "classified", "value",
+        (F.row_number().over(in_session()) - 1).cast("long").alias("eval_index"),
         F.when(F.col("value") > 40, "block").otherwise("pass").alias("expect"),
-        F.when(F.col("session_id") % 3 == 0, "attack").otherwise("normal").alias("category"),
-        F.element_at(F.array(*map(F.lit, ("easy", "boundary", "obvious", "subtle"))), (F.col("event_id") % 4 + 1).cast("int")).alias("tier"), "value",
-        F.explode(F.create_map(F.lit("session"), F.col("allowed"), F.lit("lineage"), F.col("allowed") | (F.col("event_id") % 7 == 0))).alias("mode", "ok"),
+        F.when(F.col("session_id") % 3 == 0, "attack").otherwise("normal").alias("category"), pick(("easy", "boundary", "obvious", "subtle"), 4).alias("tier"),
+        pick(TITLES, len(TITLES)).alias("title"), F.concat(F.lit("L"), F.lpad((F.col("event_id") % 150 + 1).cast("string"), 3, "0")).alias("point"),
     )
-    return both.withColumn("outcome", reports.outcome(F.col("expect"), F.col("ok")))
+    judged = points.join(replays.lineage_records(spark, d), ["session_id", "seq"])
+    return judged.withColumn("outcome", reports.outcome(F.col("expect"), F.col("ok")))
+
+
+def _records(spark, d):
+    return _all_records(spark, d).where(F.col("condition") == "off")
 
 
 # -- classification
@@ -339,10 +332,11 @@ FROM a JOIN r USING (session_id, h) WHERE r.seq < a.seq GROUP BY ALL""")
 def value_match_links(spark, d):
     docs, c = _docs(spark, d), calls(spark, d)
     n = docs.count()
-    known = links.tokens(docs, "text", ["doc_id"])
-    args = c.where(F.col("tool") == "send_email").select("session_id", "seq", ((F.col("event_id") * 31 + 7) % n).alias("doc_id")).join(known, "doc_id")
-    results = c.select("session_id", "seq", (F.col("event_id") % n).alias("doc_id")).join(known, "doc_id")
-    return links.value_matches(args, results)
+    sent = c.where(F.col("tool") == "send_email").select("session_id", "seq", F.lit(True).alias("asks"), ((F.col("event_id") * 31 + 7) % n).alias("doc_id"))
+    # results only of sessions that send something, before they do
+    last = sent.groupBy("session_id").agg(F.max("seq").alias("last"))
+    held = c.join(last, "session_id").where(F.col("seq") < F.col("last")).select("session_id", "seq", F.lit(False).alias("asks"), (F.col("event_id") % n).alias("doc_id"))
+    return links.value_matches_of(sent.unionByName(held), docs, "doc_id", "text")
 
 
 NODE_SQL = "'tn_' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
@@ -376,10 +370,25 @@ def lineage_evidence(spark, d):
     )
 
 
+SENT_SQL = """sent AS (SELECT d.doc_id, d.text || ' ' || CASE d.doc_id % 3 WHEN 0 THEN lower(hex(encode(b.text))) WHEN 1 THEN reverse(b.text) ELSE '' END AS text
+  FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) b ON d.doc_id % b.n = b.k)"""
+
+
+def _sent(spark, d):
+    """Documents with a known text behind them: in hexadecimal, reversed, or none."""
+    items = table(spark, d, "benchmark")
+    n = items.count()
+    known = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"), F.col("text").alias("item"))  # a stated, small set
+    form = F.when(F.col("doc_id") % 3 == 0, F.lower(F.hex(F.col("item").cast("binary")))).when(F.col("doc_id") % 3 == 1, F.reverse("item")).otherwise("")
+    return _docs(spark, d).join(known, F.col("doc_id") % n == F.col("k")).select("doc_id", F.concat_ws(" ", "text", form).alias("text"))
+
+
 def _containment(how: str, text: str, needle: str):
-    @query(f"SELECT doc_id, item_id FROM (SELECT doc_id, {text} AS hay FROM documents) JOIN (SELECT item_id, {needle} AS n FROM benchmark) ON contains(hay, n) WHERE length(n) >= 12")
+    rows = "sent" if how in ("hex", "reverse") else "documents"
+
+    @query(f"WITH {SENT_SQL} SELECT doc_id, item_id FROM (SELECT doc_id, {text} AS hay FROM {rows}) JOIN (SELECT item_id, {needle} AS n FROM benchmark) ON contains(hay, n) WHERE length(n) >= 12")
     def run(spark, d):
-        return links.containment(_docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id", how)
+        return links.containment(_sent(spark, d) if rows == "sent" else _docs(spark, d), table(spark, d, "benchmark"), "doc_id", "item_id", how)
 
     name = f"containment_{how}"
     QUERIES[name], ORACLES[name] = QUERIES.pop("run"), ORACLES.pop("run")
@@ -427,8 +436,7 @@ def node_depth(spark, d):
 @query("WITH RECURSIVE " + EDGES_SQL + """, walk AS (SELECT session_id, seq AS start, seq AS node FROM flags WHERE s UNION SELECT w.session_id, w.start, e.child FROM walk w JOIN edge e ON e.session_id = w.session_id AND e.parent = w.node)
 SELECT session_id, start, count(*)::BIGINT AS reached FROM walk WHERE node <> start GROUP BY 1, 2""")
 def cascade_descendants(spark, d):
-    starts = _flags(spark, d).where(F.col("s"))
-    return graph.descendants(starts, _edges(spark, d)).groupBy("session_id", "start").agg(F.count("*").alias("reached"))
+    return graph.descendant_counts(_flags(spark, d).where(F.col("s")), _nodes(spark, d), _edges(spark, d))
 
 
 @query("WITH " + EDGES_SQL + " SELECT session_id, seq FROM node n WHERE len(tags) = 0 AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.session_id = n.session_id AND e.parent = n.seq)")
@@ -446,11 +454,23 @@ _DEPTH = "WITH RECURSIVE " + EDGES_SQL + """, walk AS (SELECT session_id, seq, 0
 dep AS (SELECT session_id, seq, max(depth)::INT AS depth FROM walk GROUP BY 1, 2)"""
 
 
-@query(_DEPTH + " SELECT session_id, tool, arg_max(seq, (depth, -seq)) AS seq, max(depth) AS depth FROM dep JOIN node USING (session_id, seq) WHERE len(tags) > 0 GROUP BY 1, 2")
-def deepest_by_tool(spark, d):
+BLOCKS_SQL = """, verdict AS (SELECT *, NOT (sink = 'OUTBOUND_SINK' AND s_before AND exposed) AS allowed FROM (
+    SELECT *, coalesce(bool_or(s) OVER w, false) AS s_before, coalesce(bool_or(u) OVER w, false) AS exposed FROM flags
+    WINDOW w AS (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+hit AS (SELECT session_id, max(seq) AS blocked_seq, arg_max(tool, seq) AS blocked_tool FROM verdict WHERE NOT allowed GROUP BY 1),
+deep AS (SELECT d.session_id, n.tool, arg_max(d.seq, (depth, -d.seq)) AS seq, max(depth) AS depth FROM dep d JOIN node n ON n.session_id = d.session_id AND n.seq = d.seq
+  WHERE len(tags) > 0 AND NOT EXISTS (SELECT 1 FROM hit WHERE hit.session_id = d.session_id AND hit.blocked_tool = n.tool) GROUP BY 1, 2)"""
+
+
+def _deepest(spark, d):
     n = _nodes(spark, d)
     depth = graph.depths(n, _edges(spark, d)).join(n.where(F.size("tags") > 0), ["session_id", "seq"])
-    return views.deepest(depth)
+    return views.deepest(depth, views.last_blocks(_verdicts(spark, d)))
+
+
+@query(_DEPTH + BLOCKS_SQL + " SELECT session_id, tool, seq, depth FROM deep")
+def deepest_by_tool(spark, d):
+    return _deepest(spark, d)
 
 
 @query(_DEPTH + " SELECT session_id, seq, depth, row_number() OVER (PARTITION BY session_id, depth ORDER BY seq) - 1 AS slot FROM dep")
@@ -526,17 +546,18 @@ def decision_events(spark, d):
     )
 
 
-@query(_DEPTH + """ SELECT session_id, 'node' AS kind, seq AS a, NULL::BIGINT AS b FROM node UNION ALL SELECT session_id, 'edge', parent, child FROM edge
-UNION ALL SELECT session_id, 'sink', max(seq), NULL FROM node GROUP BY session_id""")
+@query(_DEPTH + BLOCKS_SQL + """ SELECT session_id, 'node' AS kind, seq AS a, NULL::BIGINT AS b FROM node UNION ALL SELECT session_id, 'edge', parent, child FROM edge
+UNION ALL SELECT session_id, 'sink', blocked_seq, NULL FROM hit UNION ALL SELECT session_id, 'dashed', deep.seq, blocked_seq FROM deep JOIN hit USING (session_id)""")
 def graph_model(spark, d):
-    """Rows to draw a session's graph from: nodes, edges, and one synthetic sink per session."""
+    """Rows to draw a session's graph from: nodes, edges and, where its last block is, a sink with dashed edges from the deepest tainted nodes."""
     n, e = _nodes(spark, d), _edges(spark, d)
+    hit = views.last_blocks(_verdicts(spark, d))
     none = F.lit(None).cast("long")
+    row = lambda kind, a, b: ("session_id", F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
     return (
-        n.select("session_id", F.lit("node").alias("kind"), F.col("seq").alias("a"), none.alias("b"))
-        .unionByName(e.select("session_id", F.lit("edge").alias("kind"), F.col("parent").alias("a"), F.col("child").alias("b")))
-        .unionByName(n.groupBy("session_id").agg(F.max("seq").alias("a")).select("session_id", F.lit("sink").alias("kind"), "a", none.alias("b")))
-    )
+        n.select(*row("node", F.col("seq"), none)).unionByName(e.select(*row("edge", F.col("parent"), F.col("child"))))
+        .unionByName(hit.select(*row("sink", F.col("blocked_seq"), none))).unionByName(_deepest(spark, d).join(hit, "session_id").select(*row("dashed", F.col("seq"), F.col("blocked_seq"))))
+    )
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1")
@@ -598,18 +619,18 @@ def shadow_ring_1000(spark, d):
 # -- accuracy reports
 
 
-@query("WITH " + RECORDS_SQL + " SELECT mode, " + ", ".join(f"count(*) FILTER (outcome = '{x}')::BIGINT AS {x.lower()}" for x in ("TP", "FP", "TN", "FN")) + " FROM rec GROUP BY 1")
+@query("WITH RECURSIVE " + RECORDS_SQL + " SELECT mode, " + ", ".join(f"count(*) FILTER (outcome = '{x}')::BIGINT AS {x.lower()}" for x in ("TP", "FP", "TN", "FN")) + " FROM rec GROUP BY 1")
 def confusion_matrix(spark, d):
     return reports.confusion(_records(spark, d), "mode")
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT mode, round(coalesce(count(*) FILTER (outcome = 'FP' AND category = 'normal') / nullif(count(*) FILTER (category = 'normal'), 0), 0), 6) AS fp_rate,
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT mode, round(coalesce(count(*) FILTER (outcome = 'FP' AND category = 'normal') / nullif(count(*) FILTER (category = 'normal'), 0), 0), 6) AS fp_rate,
 round(coalesce(count(*) FILTER (outcome = 'FN' AND category = 'attack') / nullif(count(*) FILTER (category = 'attack'), 0), 0), 6) AS fn_rate FROM rec GROUP BY 1""")
 def fp_fn_rates(spark, d):
     return reports.error_rates(_records(spark, d), "mode")
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT mode, count(*) FILTER (outcome = 'FP')::BIGINT AS fp, count(*) FILTER (outcome = 'FN')::BIGINT AS fn, count(*) FILTER (expect = 'pass')::BIGINT AS by_label_pass,
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT mode, count(*) FILTER (outcome = 'FP')::BIGINT AS fp, count(*) FILTER (outcome = 'FN')::BIGINT AS fn, count(*) FILTER (expect = 'pass')::BIGINT AS by_label_pass,
 count(*) FILTER (expect = 'block')::BIGINT AS by_label_block, count(*) FILTER (category = 'normal')::BIGINT AS by_category_normal, count(*) FILTER (category = 'attack')::BIGINT AS by_category_attack FROM rec GROUP BY 1""")
 def dual_denominator(spark, d):
     return reports.denominators(_records(spark, d), "mode")
@@ -617,20 +638,147 @@ def dual_denominator(spark, d):
 
 def _pivot_sql(bucket: str) -> str:
     cols = ", ".join(f"count(*) FILTER (mode = '{m}')::BIGINT AS {m}_total, count(*) FILTER (mode = '{m}' AND outcome IN ('FP', 'FN'))::BIGINT AS {m}_miss" for m in ("session", "lineage"))
-    return "WITH " + RECORDS_SQL + f" SELECT {bucket}, {cols} FROM rec GROUP BY 1"
+    return "WITH RECURSIVE " + RECORDS_SQL + f" SELECT {bucket}, {cols} FROM rec GROUP BY 1"
 
 
-@query(_pivot_sql("tier"))
+@query("WITH RECURSIVE " + RECORDS_SQL + " SELECT tier, " + ", ".join(f"count(*) FILTER (mode = '{m}')::BIGINT AS {m}_total, count(*) FILTER (mode = '{m}' AND outcome = CASE WHEN tier IN ('easy', 'boundary') THEN 'FP' ELSE 'FN' END)::BIGINT AS {m}_miss" for m in ("session", "lineage")) + " FROM rec GROUP BY 1")
 def tier_breakdown(spark, d):
-    return reports.pivot_rates(_records(spark, d), "tier")
+    return reports.tier_rates(_records(spark, d))
 
 
 @query(_pivot_sql("tool"))
-def leak_form_pivot(spark, d):
+def tool_pivot(spark, d):
     return reports.pivot_rates(_records(spark, d), "tool")
 
 
-@query("WITH " + RECORDS_SQL + " SELECT coalesce(tool, 'all') AS tool, coalesce(tier, 'all') AS tier, grouping(tool)::INT AS g_tool, grouping(tier)::INT AS g_tier, count(*)::BIGINT AS n, count(*) FILTER (outcome IN ('FP', 'FN'))::BIGINT AS miss FROM rec GROUP BY CUBE (tool, tier)")
+FORMS_SQL = "CASE WHEN coalesce(title, '') = '' THEN '미분류' " + " ".join(f"WHEN contains(title, '{x}') THEN '{y}'" for x, y in reports.LEAK_FORMS) + " ELSE '미분류' END"
+NORMAL_SQL = "CASE WHEN coalesce(title, '') = '' THEN '미분류' WHEN contains(title, ': ') THEN substr(title, position(': ' IN title) + 2) ELSE title END"
+LENGTH_SQL = "CASE WHEN regexp_matches(title, '[0-9]자') THEN regexp_extract(title, '([0-9])자', 1) || '자' ELSE '?' END"
+FORM_SQL = "CASE WHEN contains(lower(title), 'base64') THEN 'base64' WHEN contains(lower(title), 'hex') THEN 'hex' ELSE '원문' END"
+VARIANT_SQL = r"CASE WHEN regexp_matches(title, '\[축3/[^\]]+\]') THEN regexp_extract(title, '\[축3/([^\]]+)\]', 1) ELSE '?' END"
+AXIS_SQL = "CASE WHEN substr(point, 2)::INT <= 30 THEN 1 WHEN substr(point, 2)::INT <= 58 THEN 2 WHEN substr(point, 2)::INT <= 92 THEN 3 ELSE 4 END"
+BRANCH_SQL = "CASE WHEN substr(point, 2)::INT <= 92 THEN '' WHEN substr(point, 2)::INT <= 110 THEN '4a' WHEN substr(point, 2)::INT <= 124 THEN '4b' ELSE '4c' END"
+COLUMNS = [(c, m) for c in ("off", "scan-clean") for m in ("session", "lineage")]
+
+
+@query("WITH RECURSIVE " + RECORDS_SQL + f" SELECT event_id, {FORMS_SQL} AS leak_form, {NORMAL_SQL} AS normal_form, {LENGTH_SQL} AS secret_length, {FORM_SQL} AS secret_form, {VARIANT_SQL} AS variant, {AXIS_SQL} AS axis, {BRANCH_SQL} AS branch FROM evals")
+def title_classes(spark, d):
+    """What reports read from a point's title and number."""
+    r = _records(spark, d).where(F.col("mode") == "session")
+    t, p = F.col("title"), F.col("point")
+    return r.select(
+        "event_id", reports.leak_form(t).alias("leak_form"), reports.normal_form(t).alias("normal_form"), reports.secret_length(t).alias("secret_length"), reports.secret_form(t).alias("secret_form"),
+        reports.variant(t).alias("variant"), reports.axis(p).alias("axis"), reports.branch(p).alias("branch"),
+    )
+
+
+def _share_sql(miss: str, of: str) -> str:
+    return f"CASE WHEN count(*) FILTER ({of}) > 0 THEN (count(*) FILTER ({of} AND {miss}))::VARCHAR || '/' || (count(*) FILTER ({of}))::VARCHAR || ' (' || printf('%.1f', round((count(*) FILTER ({of} AND {miss}))::DOUBLE / count(*) FILTER ({of}) * 100, 1)) || '%)' ELSE '-' END"
+
+
+def _cells_sql(miss: str) -> str:
+    return ", ".join(_share_sql(miss, f"condition = '{c}' AND mode = '{m}'") + f" AS {c}_{m}".replace("-", "_") for c, m in COLUMNS)
+
+
+def _bucket_sql(bucket: str, kind: str, order: tuple[str, ...] = ()) -> str:
+    first = "CASE bucket " + " ".join(f"WHEN '{b}' THEN '{i:04d}'" for i, b in enumerate(order)) + f" ELSE '{len(order):04d}' END" if order else "'0000'"
+    cells = _cells_sql(f"outcome = '{kind}'")
+    natural = "array_to_string(list_transform(regexp_extract_all(bucket, '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(t, 20, '0') ELSE t END), '')"
+    return (
+        "WITH RECURSIVE " + RECORDS_SQL + f", b AS (SELECT *, {bucket} AS bucket FROM every WHERE expect = '{'block' if kind == 'FN' else 'pass'}') "
+        f"SELECT bucket, count(*) FILTER (condition = 'off' AND mode = 'session')::BIGINT AS points, {cells}, {first} || {natural} AS rank FROM b WHERE bucket IS NOT NULL GROUP BY bucket"
+    )
+
+
+@query(_bucket_sql(FORMS_SQL, "FN", tuple(y for _, y in reports.LEAK_FORMS)))
+def leak_form_pivot(spark, d):
+    return reports.bucket_table(_all_records(spark, d), reports.leak_form(F.col("title")), "FN", COLUMNS, tuple(y for _, y in reports.LEAK_FORMS))
+
+
+@query(_bucket_sql(f"'축 ' || {AXIS_SQL}", "FN", ("축 1", "축 2", "축 3", "축 4")))
+def axis_table(spark, d):
+    name = F.concat(F.lit("축 "), reports.axis(F.col("point")).cast("string"))
+    return reports.bucket_table(_all_records(spark, d), name, "FN", COLUMNS, ("축 1", "축 2", "축 3", "축 4"))
+
+
+@query(_bucket_sql(f"CASE WHEN {AXIS_SQL} = 1 THEN {LENGTH_SQL} || '·' || {FORM_SQL} END", "FN"))
+def length_form_table(spark, d):
+    t = F.col("title")
+    both = F.concat_ws("·", reports.secret_length(t), reports.secret_form(t))
+    return reports.bucket_table(_all_records(spark, d), F.when(reports.axis(F.col("point")) == 1, both), "FN", COLUMNS)
+
+
+@query(_bucket_sql(f"CASE WHEN {AXIS_SQL} = 2 THEN (event_id % 23)::VARCHAR || '자' END", "FN"))
+def fragment_table(spark, d):
+    """By the length of the fragment that a point carries, in the order of the numbers."""
+    length = F.concat((F.col("event_id") % 23).cast("string"), F.lit("자"))
+    return reports.bucket_table(_all_records(spark, d), F.when(reports.axis(F.col("point")) == 2, length), "FN", COLUMNS)
+
+
+@query(_bucket_sql(f"CASE WHEN {AXIS_SQL} = 3 THEN {VARIANT_SQL} END", "FN"))
+def variant_table(spark, d):
+    return reports.bucket_table(_all_records(spark, d), F.when(reports.axis(F.col("point")) == 3, reports.variant(F.col("title"))), "FN", COLUMNS)
+
+
+@query(_bucket_sql(f"CASE WHEN {AXIS_SQL} = 4 THEN {BRANCH_SQL} END", "FP", ("4a",)))
+def branch_table(spark, d):
+    return reports.bucket_table(_all_records(spark, d), F.when(reports.axis(F.col("point")) == 4, reports.branch(F.col("point"))), "FP", COLUMNS, ("4a",))
+
+
+# each slice: the points it has, their bucket, the kind of miss; SQL and columns side by side
+SLICES = {
+    "sink normals": ("expect = 'pass'", "CASE WHEN classified THEN 'sink' ELSE 'neutral' END", "FP"),
+    "sink normals by category": ("expect = 'pass' AND classified", "category", "FP"),
+    "logical form": ("expect = 'pass' AND classified", NORMAL_SQL, "FP"),
+    "leak form": ("expect = 'block'", FORMS_SQL, "FN"),
+    "tag basis": ("expect = 'block'", "CASE WHEN s_before THEN 'by source' ELSE 'none' END", "FN"),
+    "registration": ("expect = 'pass'", "CASE WHEN classified THEN 'registered' ELSE 'unregistered' END", "FP"),
+    "nature of unregistered": ("expect = 'pass' AND NOT classified", "tool", "FP"),
+    "share of false positives": ("outcome = 'FP'", "CASE WHEN classified THEN 'registered' ELSE 'unregistered' END", "FP"),
+    "origin of exposure": ("outcome = 'FP'", "CASE WHEN exposed THEN 'untrusted source' ELSE 'default deny' END", "FP"),
+}
+
+
+@query("WITH RECURSIVE " + RECORDS_SQL + ", x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS slice, {b} AS bucket, mode, outcome = '{k}' AS miss FROM rec WHERE {t}" for n, (t, b, k) in SLICES.items()) + """)
+SELECT slice, bucket, """ + ", ".join(f"count(*) FILTER (mode = '{m}')::BIGINT AS {m}_total, count(*) FILTER (mode = '{m}' AND miss)::BIGINT AS {m}_miss" for m in ("session", "lineage")) + " FROM x GROUP BY 1, 2")
+def report_slices(spark, d):
+    """All cuts of the accuracy report in one pass."""
+    forms = {"leak form": reports.leak_form(F.col("title")), "logical form": reports.normal_form(F.col("title"))}
+    return reports.slices(_records(spark, d), {n: (F.expr(t), forms.get(n, F.expr(b) if n not in forms else None), k) for n, (t, b, k) in SLICES.items()})
+
+
+METRICS = {
+    "FP of pass": ("expect = 'pass'", "FP"), "FN of block": ("expect = 'block'", "FN"), "FP of normal": ("category = 'normal'", "FP"), "FN of attack": ("category = 'attack'", "FN"),
+    "FN of easy tiers": ("tier IN ('easy', 'boundary')", "FN"), "FP of unregistered": ("NOT classified AND expect = 'pass'", "FP"),
+}
+
+
+@query("WITH RECURSIVE " + RECORDS_SQL + ", x AS (" + " UNION ALL ".join(f"SELECT '{n}' AS metric, condition, mode, outcome = '{k}' AS miss FROM every WHERE {t}" for n, (t, k) in METRICS.items()) + f") SELECT metric, {_cells_sql('miss')} FROM x GROUP BY 1")
+def condition_comparison(spark, d):
+    return reports.comparison(_all_records(spark, d), {n: (F.expr(t), k) for n, (t, k) in METRICS.items()}, COLUMNS)
+
+
+def extension_report(spark, d) -> str:
+    """The accuracy report as one document."""
+    r = _records(spark, d).cache()
+    try:
+        forms = tuple(y for _, y in reports.LEAK_FORMS)
+        sections = [
+            ("Outcomes", reports.confusion(r, "mode")), ("Denominators", reports.denominators(r, "mode")), ("Tiers", reports.tier_rates(r)),
+            ("Leak forms", reports.bucket_table(r, reports.leak_form(F.col("title")), "FN", COLUMNS[:2], forms).orderBy("rank").drop("rank")), ("Doubts", reports.honesty(r, "mode")),
+        ]
+        return reports.document("Accuracy", sections)
+    finally:
+        r.unpersist()
+
+
+def limits_report(spark, d) -> str:
+    """The report on the limits of detection, by axis, as one document."""
+    axes = [("Axes", axis_table), ("Length and form", length_form_table), ("Fragments", fragment_table), ("Variants", variant_table), ("Branches", branch_table)]
+    return reports.document("Limits", [(n, f(spark, d).orderBy("rank").drop("rank")) for n, f in axes] + [("Comparison", condition_comparison(spark, d).orderBy("metric"))])
+
+
+@query("WITH RECURSIVE " + RECORDS_SQL + " SELECT coalesce(tool, 'all') AS tool, coalesce(tier, 'all') AS tier, grouping(tool)::INT AS g_tool, grouping(tier)::INT AS g_tier, count(*)::BIGINT AS n, count(*) FILTER (outcome IN ('FP', 'FN'))::BIGINT AS miss FROM rec GROUP BY CUBE (tool, tier)")
 def limits_axis_cube(spark, d):
     c = _records(spark, d).cube("tool", "tier").agg(
         F.grouping("tool").cast("int").alias("g_tool"), F.grouping("tier").cast("int").alias("g_tier"), F.count("*").alias("n"), F.count_if(F.col("outcome").isin("FP", "FN")).alias("miss")
@@ -638,31 +786,31 @@ def limits_axis_cube(spark, d):
     return c.withColumn("tool", F.coalesce("tool", F.lit("all"))).withColumn("tier", F.coalesce("tier", F.lit("all")))
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT mode, round(avg(value), 6) AS mean, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS median, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, min(value) AS least, max(value) AS most FROM rec GROUP BY 1""")
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT mode, round(avg(value), 6) AS mean, list_sort(list(value))[floor(count(*) * 0.5)::INT + 1] AS median, list_sort(list(value))[floor(count(*) * 0.95)::INT + 1] AS p95, min(value) AS least, max(value) AS most FROM rec GROUP BY 1""")
 def latency_stats(spark, d):
     return reports.latency(_records(spark, d), "value", "mode")
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT tool, mode, concat_ws(',', CASE WHEN count(*) FILTER (outcome = 'FP') = 0 THEN 'no_fp' END, CASE WHEN count(*) FILTER (outcome = 'FN') = 0 THEN 'no_fn' END,
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT tool, mode, concat_ws(',', CASE WHEN count(*) FILTER (outcome = 'FP') = 0 THEN 'no_fp' END, CASE WHEN count(*) FILTER (outcome = 'FN') = 0 THEN 'no_fn' END,
 CASE WHEN count(*) FILTER (tier = 'boundary') = 0 THEN 'no_boundary' END, CASE WHEN count(*) FILTER (tier = 'subtle') = 0 THEN 'no_subtle' END) AS flags FROM rec GROUP BY 1, 2""")
 def honesty_flags(spark, d):
     return reports.honesty(_records(spark, d), "tool", "mode")
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT session_id || CASE WHEN eval_index > 0 THEN '#' || eval_index ELSE '' END AS rec_id, mode, outcome, tier FROM rec WHERE outcome IN ('FP', 'FN')""")
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT session_id || CASE WHEN eval_index > 0 THEN '#' || eval_index ELSE '' END AS rec_id, mode, outcome, tier FROM rec WHERE outcome IN ('FP', 'FN')""")
 def fp_fn_id_list(spark, d):
     rec = F.concat(F.col("session_id").cast("string"), F.when(F.col("eval_index") > 0, F.concat(F.lit("#"), F.col("eval_index").cast("string"))).otherwise(""))
     return _records(spark, d).where(F.col("outcome").isin("FP", "FN")).select(rec.alias("rec_id"), "mode", "outcome", "tier")
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT a.session_id, a.eval_index, a.ok AS session_ok, b.ok AS lineage_ok FROM rec a JOIN rec b ON a.session_id = b.session_id AND a.eval_index = b.eval_index AND a.mode = 'session' AND b.mode = 'lineage' WHERE a.ok <> b.ok""")
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT a.session_id, a.eval_index, a.ok AS session_ok, b.ok AS lineage_ok FROM rec a JOIN rec b ON a.session_id = b.session_id AND a.eval_index = b.eval_index AND a.mode = 'session' AND b.mode = 'lineage' WHERE a.ok <> b.ok""")
 def mode_diff(spark, d):
     r = _records(spark, d)
     one = lambda m: r.where(F.col("mode") == m).select("session_id", "eval_index", F.col("ok").alias(f"{m}_ok"))
     return one("session").join(one("lineage"), ["session_id", "eval_index"]).where(F.col("session_ok") != F.col("lineage_ok"))
 
 
-@query("WITH " + RECORDS_SQL + """ SELECT session_id, mode, arg_max(expect, eval_index) AS expect, arg_max(ok, eval_index) AS ok FROM rec GROUP BY 1, 2""")
+@query("WITH RECURSIVE " + RECORDS_SQL + """ SELECT session_id, mode, arg_max(expect, eval_index) AS expect, arg_max(ok, eval_index) AS ok FROM rec GROUP BY 1, 2""")
 def last_expect(spark, d):
     return _records(spark, d).groupBy("session_id", "mode").agg(F.max_by("expect", "eval_index").alias("expect"), F.max_by("ok", "eval_index").alias("ok"))
 
@@ -678,9 +826,20 @@ def scenario_facts(spark, d):
 SELECT session_id, goal FROM f, i WHERE s OR reads""")
 def exposed_x_injection(spark, d):
     f = _flags(spark, d).groupBy("session_id").agg(F.max("s").alias("s"), F.max("u").alias("u")).where(F.col("u"))
-    goals = F.array(*(F.struct(F.lit(g).alias("goal"), F.lit(r).alias("reads")) for g, r in (("send_money", False), ("mail_inbox", True), ("post_secret", True))))
-    x = f.select("session_id", "s", F.explode(goals).alias("i")).where(F.col("s") | F.col("i.reads"))
-    return x.select("session_id", F.col("i.goal").alias("goal"))
+    return scenarios.with_injections(f, [("send_money", False), ("mail_inbox", True), ("post_secret", True)])
+
+
+@query("WITH " + CALLS_SQL + """, n AS (SELECT count(*) AS n FROM documents), marker AS (SELECT text FROM benchmark WHERE item_id % 2 = 0),
+held AS (SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM marker m WHERE contains(d.text, m.text)))
+SELECT DISTINCT session_id FROM calls, n WHERE tool IN ('fetch_web_page', 'read_email') AND event_id % n.n IN (SELECT doc_id FROM held)""")
+def exposed_sessions(spark, d):
+    """Sessions that have read a result with any of the injected markers."""
+    docs = _docs(spark, d)
+    n = docs.count()
+    markers = table(spark, d, "benchmark").where(F.col("item_id") % 2 == 0).select(F.col("item_id").alias("marker"), "text")
+    hits = links.containment(docs, markers, "doc_id", "marker", "plain").select("doc_id").distinct()
+    read = calls(spark, d).where(F.col("tool").isin("fetch_web_page", "read_email")).select("session_id", (F.col("event_id") % n).alias("doc_id"))
+    return read.join(hits, "doc_id", "left_semi").select("session_id").distinct()
 
 
 @query("WITH " + FLAGS_SQL + """ SELECT (session_id % 5)::INT AS suite, count(DISTINCT session_id)::BIGINT AS sessions, string_agg(DISTINCT CASE WHEN s THEN tool END, ',' ORDER BY CASE WHEN s THEN tool END) AS sensitive_tools,
@@ -694,11 +853,75 @@ def config_tool_union(spark, d):
 
 @query("WITH " + CALLS_SQL + " SELECT 's' || (user_id % 3) || '.' || tool AS name, count(*)::BIGINT AS n FROM calls GROUP BY 1")
 def federated_catalog(spark, d):
+    """Tools of several servers in one catalogue, each under its server's name."""
+    return calls(spark, d).groupBy(T.agent_tool(F.concat(F.lit("s"), F.col("user_id") % 3), F.col("tool")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + VERDICT_SQL + """, snap AS (SELECT session_id, seq AS snap, CASE WHEN event_id % 2 = 0 THEN ts + INTERVAL 250 MILLISECONDS END AS until FROM calls WHERE event_id % 5 = 0)
+SELECT s.session_id, snap, arg_max(v.seq, (ts, seq)) AS log_seq FROM snap s JOIN verdict v ON v.session_id = s.session_id AND (until IS NULL OR v.ts <= until) GROUP BY 1, 2""")
+def asof_without_time(spark, d):
+    """Snapshots without a time take the last row of their log."""
+    snaps = calls(spark, d).where(F.col("event_id") % 5 == 0).select("session_id", F.col("seq").alias("snap"), F.when(F.col("event_id") % 2 == 0, F.col("ts")).alias("ts"))
+    return links.as_of(_verdicts(spark, d), snaps).select("session_id", "snap", "log_seq")
+
+
+@query("WITH " + VERDICT_SQL + """, f AS (SELECT session_id, count(*)::BIGINT AS forwarded FROM calls WHERE event_id % 3 = 1 GROUP BY 1), p AS (SELECT session_id, count(*)::BIGINT AS pending FROM calls WHERE event_id % 4 = 1 GROUP BY 1),
+m AS (SELECT session_id, count(*)::BIGINT AS total, count(*) FILTER (NOT allowed)::BIGINT AS blocked, count(*) FILTER (allowed)::BIGINT AS passed, count(*) FILTER (sink = 'OUTBOUND_SINK')::BIGINT AS outbound FROM verdict GROUP BY 1)
+SELECT m.*, coalesce(forwarded, 0) AS forwarded, coalesce(pending, 0) AS pending FROM m LEFT JOIN f USING (session_id) LEFT JOIN p USING (session_id)""")
+def metric_cards_full(spark, d):
+    """The cards with what was forwarded and what waits for an approval."""
     c = calls(spark, d)
-    parts = [c.where(F.col("user_id") % 3 == k).select(F.concat(F.lit(f"s{k}."), F.col("tool")).alias("name")) for k in range(3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("name").agg(F.count("*").alias("n"))
+    waits = c.select("session_id", F.when(F.col("event_id") % 4 == 1, "PENDING").otherwise("APPROVED").alias("status"))
+    return views.metric_cards(_verdicts(spark, d), c.where(F.col("event_id") % 3 == 1), waits)
+
+
+FRAME_SQL = """CASE event_id % 4 WHEN 0 THEN '{"type":"decision","sessionId":"' || user_id || '","toolName":"' || event_type || '","secret":"x","explanation":{"summary":"s","node":"tn_1","actions":[{"kind":"k","raw":"r"}]}}'
+ WHEN 1 THEN '{"type":"lineage","nodes":[{"id":"n","toolName":"t","payload":"p","parents":[{"nodeId":"m","token":"q"}]}],"sessionId":"' || user_id || '"}' WHEN 2 THEN '{"type":"debug","all":"' || event_id || '"}' ELSE '{broken' END"""
+
+
+def _frames(spark, d):
+    user, event = F.col("user_id").cast("string"), F.col("event_id")
+    decision = F.concat(F.lit('{"type":"decision","sessionId":"'), user, F.lit('","toolName":"'), F.col("event_type"), F.lit('","secret":"x","explanation":{"summary":"s","node":"tn_1","actions":[{"kind":"k","raw":"r"}]}}'))
+    lineage = F.concat(F.lit('{"type":"lineage","nodes":[{"id":"n","toolName":"t","payload":"p","parents":[{"nodeId":"m","token":"q"}]}],"sessionId":"'), user, F.lit('"}'))
+    text = F.when(event % 4 == 0, decision).when(event % 4 == 1, lineage).when(event % 4 == 2, F.concat(F.lit('{"type":"debug","all":"'), event.cast("string"), F.lit('"}'))).otherwise("{broken")
+    return table(spark, d, "events").select("event_id", text.alias("text"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, {FRAME_SQL} AS text FROM events) SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'lineage' WHEN 2 THEN 'debug' END AS type,
+CASE event_id % 4 WHEN 0 THEN '{{"type":"decision","sessionId":"' || user_id || '","toolName":"' || event_type || '","explanation":{{"summary":"s","actions":[{{"kind":"k"}}]}}}}'
+ WHEN 1 THEN '{{"type":"lineage","nodes":[{{"id":"n","toolName":"t","parents":[{{"nodeId":"m"}}]}}],"sessionId":"' || user_id || '"}}' END AS frame,
+CASE event_id % 4 WHEN 0 THEN 'actions.raw,explanation.node,secret' WHEN 1 THEN 'nodes.payload,parents.token' ELSE '' END AS dropped FROM e""")
+def nested_projection(spark, d):
+    """What may leave of an event, with its nested fields, and the paths of what is dropped."""
+    return projection.frames(_frames(spark, d), "event_id", "text")
+
+
+@query(f"WITH e AS (SELECT event_id, user_id, event_type FROM events) SELECT event_id, event_id % 4 = 3 AS error, CASE event_id % 4 WHEN 0 THEN 'decision' WHEN 1 THEN 'lineage' WHEN 2 THEN 'debug' END AS type, CASE WHEN event_id % 4 < 2 THEN user_id::VARCHAR END AS session, CASE WHEN event_id % 4 = 0 THEN event_type END AS tool, CASE WHEN event_id % 4 = 0 THEN 'BLOCKED' END AS decision FROM e")
+def dashboard_events(spark, d):
+    """Frames as a view's source reads them: by type, broken ones counted."""
+    return projection.received(_frames(spark, d), "text", "event_id").drop("timestamp")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE text || chr(10) || 'turn ' || turn END AS text FROM conversations""")
+def content_text(spark, d):
+    """The text parts of results: other parts, parts without a text and results without a list of parts give nothing."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    parts = F.array(part("text", F.col("text")), part("image", F.lit("data")), part("text", F.lit(None).cast("string")), part("text", F.concat(F.lit("turn "), F.col("turn").cast("string"))))
+    result = F.when(F.col("turn") % 3 == 0, F.lit('{"content":"none"}')).otherwise(F.to_json(F.struct(parts.alias("content"))))
+    c = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("key"), result.alias("result"))
+    return projection.text_parts(c, "key", "result").select("key.*", "text")
+
+
+@query(rf"WITH d AS (SELECT doc_id, t, sha256(t) AS h FROM ({TOKENED_SQL})), v AS (SELECT DISTINCT '[PII_EMAIL_' || substr(sha256(text), 1, 12) || ']' AS token, doc_id AS original FROM documents WHERE doc_id % 2 = 0), f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '{T.VAULT_TOKEN}'))) AS token FROM d) SELECT f.doc_id, f.token, v.original::VARCHAR AS original FROM f LEFT JOIN v USING (token)")
+def token_lookup(spark, d):
+    """Originals of the tokens in a text, by a join with the vault; unknown tokens have none."""
+    from sluiceway.operators import fold
+
+    vault = _docs(spark, d).where(F.col("doc_id") % 2 == 0).select(F.concat(F.lit("[PII_EMAIL_"), T.short_hash(F.col("text"), 12), F.lit("]")).alias("token"), F.col("doc_id").cast("string").alias("original"))
+    return fold.resolved(_tokened(spark, d), vault, "t").select("doc_id", "token", "original")
 
 
 from sluiceway import stateful  # noqa: E402
 
-QUERIES |= stateful.QUERIES
+QUERIES |= stateful.QUERIES | replays.QUERIES
+ORACLES |= replays.ORACLES

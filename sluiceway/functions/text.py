@@ -93,3 +93,8 @@ def tool_parts(name: Column) -> tuple[Column, Column]:
     """(server, bare name), split at the first dot; without a dot the server is empty."""
     at = F.instr(name, ".")
     return F.when(at > 0, F.substring_index(name, ".", 1)).otherwise(""), F.when(at > 0, F.substr(name, at + 1)).otherwise(name)
+
+
+def agent_tool(server: Column, tool: Column) -> Column:
+    """The name under which a merged catalogue has a server's tool."""
+    return F.concat_ws(".", server, tool)

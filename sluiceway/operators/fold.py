@@ -1,9 +1,9 @@
 """Replay of sessions over a call log, distributed by session.
 
 Events have session_id, seq, op, tool, args, result (JSON texts), arg_tags and
-ref (an approval id, a uri or a node). Each session is one group, read in order
-of seq and folded by ``Session``; sessions are independent but for the vault,
-for which ``vault_before`` gives each event the originals tokenized before it.
+ref (an approval id, a uri or a node). Each session is read in order
+of seq and folded by ``Session``; sessions are independent but for the vault, for
+which ``resent_elsewhere`` marks the events whose arguments hold an original that was tokenized before, in whatever session.
 """
 
 from __future__ import annotations
@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions import leaves as L
+from sluiceway.functions import text as T
+from sluiceway.operators import links
 from sluiceway.operators.session import Decision, Session, tag_names
 from sluiceway.plans.policy import Policy
 
 EVENTS = "session_id string, seq long, op string, tool string, args string, result string, arg_tags string, ref string"
+#: What a session makes besides verdicts, in the order in which it comes about.
+EMITTED = "session_id string, seq long, nth int, kind string, name string, tool string, tags string, detail string"
 DECISIONS = (
     "session_id string, seq long, op string, tool string, allowed boolean, reason string, matched_tags string, link_method string, "
     "evidence int, weak_only boolean, can_override boolean, approval_id string, scan_kind string, scan_transform string, tags string, exposed boolean, ref string, shadow_allowed boolean"
@@ -26,8 +30,21 @@ DECISIONS = (
 
 
 def step(s: Session, op: str, tool: str | None, args: str | None, result: str | None, arg_tags: str | None, ref: str | None) -> tuple:
-    """Apply one event; a row of DECISIONS without session_id and seq."""
-    d, node, seen = Decision(True), None, len(s.shadow)
+    """Apply one event; a row of DECISIONS without session_id and seq. Whatever fails is a row that isn't allowed."""
+    s.shadowed = None
+    try:
+        d, node = _apply(s, op, tool, args, result, arg_tags, ref)
+    except Exception as e:  # noqa: BLE001  one broken event doesn't end the job, and passes nothing
+        d, node = Decision(False, f"{op} failed: {type(e).__name__}"), None
+    e = d.evidence
+    return (
+        op, tool, d.allowed, d.reason, ",".join(d.tags), e.method, len(e.nodes), e.weak_or_clean, d.can_override, d.approval,
+        d.scan.kind if d.scan else None, d.scan.transform if d.scan else None, ",".join(tag_names(s.tags)), s.exposed, node, s.shadowed,
+    )
+
+
+def _apply(s: Session, op: str, tool: str | None, args: str | None, result: str | None, arg_tags: str | None, ref: str | None) -> tuple[Decision, str | None]:
+    d, node = Decision(True), None
     if op == "record":
         node, d.evidence.method, _ = s.record(tool or "", L.parse(args), L.parse(result))
     elif op == "content":
@@ -40,6 +57,7 @@ def step(s: Session, op: str, tool: str | None, args: str | None, result: str |
         d = s.resource(tool or "resources/read", ref or "", L.parse(args))
     elif op == "sanitize":
         out = s.sanitize(tool or "")
+        s.emit("sanitized", None, tool or "", **out)
         d = Decision(out["done"], json.dumps({k: out[k] for k in ("masked", "residual")}))
     elif op in ("approve", "reject"):
         try:
@@ -56,37 +74,90 @@ def step(s: Session, op: str, tool: str | None, args: str | None, result: str |
             d = Decision(False, f"no node {e}")
     elif op == "prune":
         d = Decision(True, str(s.prune()))
+    elif op == "policy":
+        s.change_policy(args or "")
+    elif op == "snapshot":
+        s.emit("lineage", None, "", nodes=s.snapshot())
     else:
         d = Decision(False, f"unknown event {op}")
-    e = d.evidence
-    return (
-        op, tool, d.allowed, d.reason, ",".join(d.tags), e.method, len(e.nodes), e.weak_or_clean, d.can_override, d.approval,
-        d.scan.kind if d.scan else None, d.scan.transform if d.scan else None, ",".join(tag_names(s.tags)), s.exposed, node,
-        s.shadow[-1][2] if len(s.shadow) > seen else None,
-    )
+    return d, node
 
 
-def replay(events: DataFrame, policy: Policy) -> DataFrame:
-    """A row of DECISIONS per event.
+def taken(s: Session, seq: int) -> list[tuple]:
+    """Rows of EMITTED for what the session has made since it was asked last."""
+    out = [(s.name, seq, i, kind, name, tool, ",".join(tags), json.dumps(detail, ensure_ascii=False)) for i, (kind, name, tool, tags, detail) in enumerate(s.emitted)]
+    s.emitted.clear()
+    return out
+
+
+def _folded(events: DataFrame, policies: dict[str, Policy], row, schema: str) -> DataFrame:
+    """One pass over all sessions; ``row(session, event)`` gives the rows of each event, for each policy.
 
     One shuffle and one sort bring sessions together in order; a task then streams through its sessions, one state
     machine at a time, so there is no cost per group and memory is bounded by the largest session's state.
     """
-    columns = [c.split()[0] for c in DECISIONS.split(", ")]
+    columns = ["label", *(c.split()[0] for c in schema.split(", "))]
+    wanted = [c.split()[0] for c in EVENTS.split(", ")]
+    known = wanted + [c for c in ("resent",) if c in events.columns]
 
     def run(batches):
-        s = None
+        now: str | None = None
+        sessions: dict[str, Session] = {}
         for rows in batches:
             rows = rows.astype(object).where(rows.notna(), None)
             out = []
             for r in rows.itertuples(index=False):
-                if s is None or s.name != r.session_id:
-                    s = Session(r.session_id, policy)
-                out.append((r.session_id, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)))
+                if not sessions or now != r.session_id:
+                    now = r.session_id
+                    sessions = {label: Session(now, p) for label, p in policies.items()}
+                for label, s in sessions.items():
+                    s.resent_elsewhere = bool(getattr(r, "resent", False))
+                    out += [(label, *x) for x in row(s, r)]
+                    s.emitted.clear()
             yield pd.DataFrame(out, columns=columns)
 
-    picked = events.select(*(c.split()[0] for c in EVENTS.split(", ")))
-    return picked.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, DECISIONS)
+    picked = events.select(*known)
+    return picked.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, f"label string, {schema}")
+
+
+def replays(events: DataFrame, policies: dict[str, Policy]) -> DataFrame:
+    """A row of DECISIONS per event and policy, with the policy's label: the log is read once for all of them."""
+    return _folded(events, policies, lambda s, r: [(r.session_id, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref))], DECISIONS)
+
+
+def replay(events: DataFrame, policy: Policy) -> DataFrame:
+    """A row of DECISIONS per event."""
+    return replays(events, {"": policy}).drop("label")
+
+
+def emitted(events: DataFrame, policy: Policy) -> DataFrame:
+    """Rows of EMITTED: nodes, edges, payloads, steps of approvals, shadow verdicts, explanations and events."""
+
+    def row(s: Session, r) -> list[tuple]:
+        step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)
+        return taken(s, r.seq)
+
+    return _folded(events, {"": policy}, row, EMITTED).drop("label")
+
+
+def of_session(rows: DataFrame, session: str | None = None) -> DataFrame:
+    """Rows of one session, or of all."""
+    return rows if session is None else rows.where(F.col("session_id") == session)
+
+
+def resolved(rows: DataFrame, vault: DataFrame, text: str) -> DataFrame:
+    """Adds originals: the vault's (token, original) of the tokens in a text, one row per token; tokens that it doesn't know have null."""
+    found = rows.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(T.VAULT_TOKEN), F.lit(0)))))
+    return found.join(vault.select("token", "original"), "token", "left")
+
+
+def resent_elsewhere(events: DataFrame, vault: DataFrame) -> DataFrame:
+    """Events with resent: the arguments hold an original of the vault (token, original, at) that was tokenized before ``at`` (a column of both)."""
+    known = vault.where(F.length("original") >= L.VAULT_MIN).select(F.monotonically_increasing_id().alias("v"), F.col("original").alias("text"), F.col("at").alias("since"))
+    hits = links.containment(events.select(F.struct("session_id", "seq").alias("e"), F.col("args").alias("text")).where("text IS NOT NULL"), known, "e", "v", "plain")
+    late = hits.join(known.select("v", "since"), "v").groupBy("e").agg(F.min("since").alias("since"))
+    met = events.join(late.select("e.*", "since"), ["session_id", "seq"], "left")
+    return met.withColumn("resent", F.coalesce(F.col("since") < F.col("at"), F.lit(False))).drop("since")
 
 
 def vault_entries(events: DataFrame, policy: Policy) -> DataFrame:

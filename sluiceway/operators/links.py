@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
+from sluiceway import at_hand
 from sluiceway.functions import text as T
 
 STRONG = 16
-#: Known texts that one scan looks for at once; more are looked for in several scans.
-NEEDLES = 256
+#: Characters of known texts that one scan looks for at once; more are looked for in several scans.
+BLOCK_CHARS = 8_000_000
 MAX_BROADCAST_GRAMS = 1_000_000
 
 
@@ -35,6 +42,16 @@ def value_matches(args: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("weak", (F.col("matches") < 2) & (F.col("best_length") < STRONG))
 
 
+def value_matches_of(calls: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``value_matches`` of calls (session_id, seq, asks, key) whose arguments (asks) or results are texts of a table.
+
+    Each text that is named is cut into tokens once; tokens travel as their hash and length.
+    """
+    named = texts.join(calls.select(key).distinct(), key, "left_semi")
+    met = calls.join(tokens(named, text, [key]), key).drop(key)
+    return value_matches(met.where("asks").drop("asks"), met.where("NOT asks").drop("asks"))
+
+
 def explicit_links(args: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links by node id: a whole leaf that is the id of an earlier node of the session."""
     ids = args.where(F.col("leaf").rlike(r"^tn_[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"))
@@ -58,34 +75,61 @@ def frontier(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return tags.join(from_parent, ["session_id", "seq", "tag"], "left_anti")
 
 
-def _scan_for(rows: DataFrame, key: str, needle_key: str, of_text, block: list[Column]) -> DataFrame:
-    hay = rows.select(key, of_text(F.col("text")).alias("hay"))
-    hits = F.filter(F.array(*block), lambda x: F.contains(F.col("hay"), x["n"]))["k"]
-    return hay.select(key, F.explode(hits).alias(needle_key))
+def automaton(needles: list[tuple[object, str]]) -> ahocorasick.Automaton:
+    """All known texts as one automaton: a text is read once, however many there are."""
+    ids: dict[str, list[int]] = {}
+    for i, (_, text) in enumerate(needles):
+        ids.setdefault(text, []).append(i)
+    out = ahocorasick.Automaton()
+    for text, own in ids.items():
+        out.add_word(text, own)
+    if ids:
+        out.make_automaton()
+    return out
+
+
+def _scan_for(hay: DataFrame, key: str, needle: StructField, block: list[tuple[object, str]]) -> DataFrame:
+    shared = hay.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS characters at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        a = automaton(known)
+        kind = to_arrow_type(needle.dataType)
+        for b in batches:
+            rows, found = [], []
+            for i, t in enumerate(b.column("hay")):
+                hit = {k for _, own in a.iter(t.as_py() or "") for k in own}
+                rows += [i] * len(hit)
+                found += [known[k][0] for k in sorted(hit)]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(found, kind)], names=[key, needle.name])
+
+    return hay.mapInArrow(run, StructType([hay.schema[key], needle]))
 
 
 def containment(rows: DataFrame, needles: DataFrame, key: str, needle_key: str, how: str) -> DataFrame:
-    """(key, needle_key) where a known text is in ``text``: exact, normalized, hex or reverse.
+    """(key, needle_key) where a known text is in ``text``: exact, normalized, hex or reverse (12 characters or more), or plain (any length).
 
-    The known texts are a stated, counted set; each block of ``NEEDLES`` is one scan
-    with the block as a literal, so the texts are never shuffled or copied.
+    The known texts are a stated set, read in blocks of ``BLOCK_CHARS`` characters at most; each block is one automaton,
+    broadcast, and one scan of the texts, which are never shuffled or copied.
     """
     forms = {
         "exact": (lambda s: s, lambda s: s), "normalized": (T.normalized, T.normalized),
-        "hex": (T.normalized, lambda s: F.lower(F.hex(s.cast("binary")))), "reverse": (lambda s: s, F.reverse),
+        "hex": (T.normalized, lambda s: F.lower(F.hex(s.cast("binary")))), "reverse": (lambda s: s, F.reverse), "plain": (lambda s: s, lambda s: s),
     }
+    at_hand(rows.sparkSession)
     of_text, of_needle = forms[how]
-    ready = needles.select(F.col(needle_key).alias("k"), of_needle(F.col("text")).alias("n")).where(F.length("n") >= 12)
-    parts, block = [], []
-    for r in ready.orderBy("k").toLocalIterator():  # the driver holds one block at a time
-        block.append(F.struct(F.lit(r["k"]).alias("k"), F.lit(r["n"]).alias("n")))
-        if len(block) == NEEDLES:
-            parts.append(_scan_for(rows, key, needle_key, of_text, block))
-            block = []
-    if block:
-        parts.append(_scan_for(rows, key, needle_key, of_text, block))
-    if not parts:
-        return rows.select(key, F.lit(None).cast(needles.schema[needle_key].dataType).alias(needle_key)).where(F.lit(False))
+    ready = needles.select(F.col(needle_key).alias("k"), of_needle(F.col("text")).alias("n")).where(F.length("n") >= (1 if how == "plain" else 12))
+    hay = rows.select(key, of_text(F.col("text")).alias("hay"))
+    needle = StructField(needle_key, needles.schema[needle_key].dataType)
+    parts, block, size = [], [], 0
+    for r in ready.orderBy("k", "n").toLocalIterator():
+        if block and size + len(r["n"]) > BLOCK_CHARS:
+            parts.append(_scan_for(hay, key, needle, block))
+            block, size = [], 0
+        block.append((r["k"], r["n"]))
+        size += len(r["n"])
+    if block or not parts:
+        parts.append(_scan_for(hay, key, needle, block))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -116,9 +160,9 @@ def as_of(log: DataFrame, snapshots: DataFrame, slack: str = "250 milliseconds")
     """The latest log row at or before each snapshot plus slack, per session, by one sort and no join.
 
     Both sides are stacked on one time line; a snapshot takes the last log row
-    before it. Log rows that tie with it come first; of tied log rows the later one wins.
+    before it. Log rows that tie with it come first; of tied log rows the later one wins. A snapshot without a time takes the last row of its log.
     """
-    shifted = F.col("ts") + F.expr(f"INTERVAL {slack}")
+    shifted = F.coalesce(F.col("ts") + F.expr(f"INTERVAL {slack}"), F.lit("9999-12-31").cast(log.schema["ts"].dataType))
     line = log.select("session_id", "ts", F.lit(0).alias("kind"), F.col("seq").alias("ord"), F.struct("seq", "allowed").alias("row")).unionByName(
         snapshots.select("session_id", shifted.alias("ts"), F.lit(1).alias("kind"), F.col("snap").alias("ord"), F.lit(None).cast("struct<seq:bigint,allowed:boolean>").alias("row"))
     )

@@ -46,6 +46,119 @@ def denominators(records: DataFrame, *by: str) -> DataFrame:
     )
 
 
+#: Tiers of normal scenarios, whose misses are false positives; those of attacks are missed by false negatives.
+NORMAL_TIERS = ("easy", "boundary")
+
+# What a title contains, and the leak form it stands for, in the order in which they are tried.
+LEAK_FORMS = (
+    ("원문 전송", "원문 그대로"), ("base64", "base64 인코딩"), ("hex", "hex 인코딩"), ("URL 인코딩", "URL 인코딩"), ("공백 삽입", "공백 삽입"), ("두 호출로 분할", "두 호출로 분할"),
+    ("필드로 위장", "필드 위장"), ("요약문 속에", "요약문 속 은닉"), ("정화 선언 후", "정화 흉내 후 재유출"), ("역순", "역순 등 변형"), ("다중 전송 중 하나만", "다중 전송 중 하나만"),
+)
+UNCLASSED = "미분류"
+# The last scenario number of each axis and of each branch of the last axis.
+AXES, BRANCHES = ((30, 1), (58, 2), (92, 3)), ((92, ""), (110, "4a"), (124, "4b"))
+
+
+def leak_form(title: Column) -> Column:
+    out = F.when(F.coalesce(title, F.lit("")) == "", UNCLASSED)
+    for part, label in LEAK_FORMS:
+        out = out.when(F.contains(title, F.lit(part)), label)
+    return out.otherwise(UNCLASSED)
+
+
+def normal_form(title: Column) -> Column:
+    """A title without what stands before its first colon and space."""
+    at = F.instr(title, ": ")
+    return F.when(F.coalesce(title, F.lit("")) == "", UNCLASSED).when(at > 0, F.substr(title, at + 2)).otherwise(title)
+
+
+def secret_length(title: Column) -> Column:
+    n = F.regexp_extract(title, r"([0-9])자", 1)
+    return F.when(n != "", F.concat(n, F.lit("자"))).otherwise("?")
+
+
+def secret_form(title: Column) -> Column:
+    return F.when(title.rlike("(?i)base64"), "base64").when(title.rlike("(?i)hex"), "hex").otherwise("원문")
+
+
+def variant(title: Column) -> Column:
+    v = F.regexp_extract(title, r"\[축3/([^\]]+)\]", 1)
+    return F.when(v != "", v).otherwise("?")
+
+
+def _by_number(scenario_id: Column, bounds: tuple[tuple[int, object], ...], rest: object) -> Column:
+    n = F.substr(scenario_id, F.lit(2)).cast("int")
+    out = F.when(n <= bounds[0][0], F.lit(bounds[0][1]))
+    for last, label in bounds[1:]:
+        out = out.when(n <= last, F.lit(label))
+    return out.otherwise(F.lit(rest))
+
+
+def axis(scenario_id: Column) -> Column:
+    return _by_number(scenario_id, AXES, 4)
+
+
+def branch(scenario_id: Column) -> Column:
+    return _by_number(scenario_id, BRANCHES, "4c")
+
+
+def share(miss: Column, of: Column) -> Column:
+    """Misses of a total with a percentage of one decimal, or a dash."""
+    return F.when(of > 0, F.format_string("%d/%d (%.1f%%)", miss, of, miss / of * 100)).otherwise("-")
+
+
+def natural(label: Column) -> Column:
+    """A key by which labels sort with their numbers as numbers."""
+    return F.array_join(F.transform(F.regexp_extract_all(label, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda t: F.when(t.rlike("^[0-9]"), F.lpad(t, 20, "0")).otherwise(t)), "")
+
+
+def bucket_table(records: DataFrame, bucket: Column, kind: str, columns: list[tuple[str, str]], order: tuple[str, ...] = ()) -> DataFrame:
+    """Per bucket: its points and, for each (condition, mode), the misses of ``kind`` among them; one aggregation.
+
+    FN counts points that should be blocked, FP those that should pass. Buckets come in the given ``order`` and then, as
+    all do without one, by ``natural``; a null bucket leaves a point out.
+    """
+    points = records.where(F.col("expect") == ("block" if kind == "FN" else "pass")).withColumn("bucket", bucket).where("bucket IS NOT NULL")
+    at = lambda c, m: (F.col("condition") == c) & (F.col("mode") == m)
+    cells = [share(count(at(c, m), F.col("outcome") == kind), count(at(c, m))).alias(f"{c}_{m}".replace("-", "_")) for c, m in columns]
+    out = points.groupBy("bucket").agg(count(at(*columns[0])).alias("points"), *cells)
+    first = F.coalesce(*(F.when(F.col("bucket") == b, i) for i, b in enumerate(order)), F.lit(len(order))) if order else F.lit(0)
+    return out.withColumn("rank", F.concat(F.lpad(first.cast("string"), 4, "0"), natural(F.col("bucket"))))
+
+
+def slices(records: DataFrame, by: dict[str, tuple[Column, Column, str]], modes: tuple[str, ...] = ("session", "lineage")) -> DataFrame:
+    """Many cuts of the records at once: each has a test, a bucket and the kind of miss it counts; a record is in all it meets.
+
+    One explode and one aggregation serve all cuts; a row per slice and bucket, with total and misses per mode.
+    """
+    cut = F.array_compact(F.array(*(
+        F.when(test & bucket.isNotNull(), F.struct(F.lit(name).alias("slice"), bucket.cast("string").alias("bucket"), (F.col("outcome") == kind).alias("miss"))) for name, (test, bucket, kind) in by.items()
+    )))
+    x = records.select("mode", F.explode(cut).alias("x")).select("mode", "x.*")
+    cells = [c for m in modes for c in (count(F.col("mode") == m).alias(f"{m}_total"), count(F.col("mode") == m, F.col("miss")).alias(f"{m}_miss"))]
+    return x.groupBy("slice", "bucket").agg(*cells)
+
+
+def comparison(records: DataFrame, metrics: dict[str, tuple[Column, str]], columns: list[tuple[str, str]]) -> DataFrame:
+    """Metrics as rows, conditions and modes as columns: each metric is a test of points and the kind of miss among them."""
+    measured = F.array(*(F.struct(F.lit(n).alias("metric"), test.alias("in"), (F.col("outcome") == kind).alias("miss")) for n, (test, kind) in metrics.items()))
+    x = records.select("condition", "mode", F.explode(measured).alias("x")).select("condition", "mode", "x.*").where("in")
+    at = lambda c, m: (F.col("condition") == c) & (F.col("mode") == m)
+    return x.groupBy("metric").agg(*(share(count(at(c, m), F.col("miss")), count(at(c, m))).alias(f"{c}_{m}".replace("-", "_")) for c, m in columns))
+
+
+def document(title: str, sections: list[tuple[str, DataFrame]]) -> str:
+    """A report as Markdown: a heading and a table per section, each a few rows."""
+    return "\n\n".join([f"# {title}", *(f"## {i}. {name}\n\n{to_markdown(table)}" for i, (name, table) in enumerate(sections, 1))])
+
+
+def tier_rates(records: DataFrame, modes: tuple[str, ...] = ("session", "lineage")) -> DataFrame:
+    """Per tier, misses of its own kind over all its points: false positives of normal tiers, false negatives of attacks."""
+    miss = F.when(F.col("tier").isin(*NORMAL_TIERS), F.col("outcome") == "FP").otherwise(F.col("outcome") == "FN")
+    cols = [x for m in modes for x in (count(F.col("mode") == m).alias(f"{m}_total"), count(F.col("mode") == m, miss).alias(f"{m}_miss"))]
+    return records.groupBy("tier").agg(*cols)
+
+
 def pivot_rates(records: DataFrame, bucket: str, modes: tuple[str, ...] = ("session", "lineage")) -> DataFrame:
     """Misses over total per bucket, one pair of columns per mode; one aggregation."""
     miss = F.col("outcome").isin("FP", "FN")
@@ -80,8 +193,10 @@ def honesty(records: DataFrame, *by: str) -> DataFrame:
 
 
 def to_markdown(report: DataFrame, limit: int = 1000) -> str:
-    """A small report as a Markdown table (a report has a row per bucket; ``limit`` guards the driver)."""
-    rows = report.limit(limit).collect()
+    """A small report as a Markdown table. A report has a row per bucket; one of more than ``limit`` rows raises, none is cut."""
+    rows = report.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(report.columns), line("---" for _ in report.columns), *(line(r) for r in rows)])
 

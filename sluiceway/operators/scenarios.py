@@ -7,7 +7,8 @@ A scenario has scenario_id, category (normal or attack), tier, title and an arra
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import leaves as L
+from sluiceway.operators import links
 from sluiceway.operators.session import Session
 from sluiceway.plans.policy import Policy
 
@@ -77,3 +79,30 @@ def from_traces(traces: DataFrame) -> DataFrame:
         F.col("session_id").cast("string").alias("scenario_id"), F.when(F.col("attack"), "attack").otherwise("normal").alias("category"),
         F.lit(None).cast("string").alias("tier"), F.col("session_id").cast("string").alias("title"), F.flatten(F.transform("x", lambda v: v["s"])).alias("steps"),
     )
+
+
+def exposed_users(results: DataFrame, markers: DataFrame) -> DataFrame:
+    """session_id of sessions whose results (session_id, text) hold any of the injected markers (marker, text)."""
+    return links.containment(results, markers, "session_id", "marker", "plain").select("session_id").distinct()
+
+
+def with_injections(exposed: DataFrame, injections: list[tuple[str, bool]]) -> DataFrame:
+    """Exposed sessions (session_id, s: they read sensitive data) with each injection (goal, does it read such data) that makes a leak of them.
+
+    Injections are a list that people write; they ride along as literals.
+    """
+    goals = F.array(*(F.struct(F.lit(g).alias("goal"), F.lit(r).alias("reads")) for g, r in injections))
+    return exposed.select("session_id", "s", F.explode(goals).alias("i")).where(F.col("s") | F.col("i.reads")).select("session_id", F.col("i.goal").alias("goal"))
+
+
+def overhead(decide: Callable[[], object], n: int = 1000, warm_up: int = 100) -> dict[str, float]:
+    """Microseconds per call: mean, median and 95th percentile of n calls after a warm-up, on one thread."""
+    for _ in range(warm_up):
+        decide()
+    took = []
+    for _ in range(n):
+        began = time.perf_counter_ns()
+        decide()
+        took.append((time.perf_counter_ns() - began) / 1000)
+    took.sort()
+    return {"mean": sum(took) / n, "median": took[n // 2], "p95": took[int(n * 0.95)]}

@@ -2,7 +2,9 @@
 
 Events come in the order of ``seq``. Time and ids come from the events, so a
 retried task gives the same rows. State is plain data (``state``/``from_state``),
-so that a stream can keep it between batches.
+so that a stream can keep it between batches. What a session makes besides verdicts (nodes, edges, payloads, steps of
+approvals, explanations, events) is put into ``emitted`` when it comes about; whoever drives the session
+takes it from there after each event, so state doesn't grow with it.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from sluiceway.functions import leaves as L
-from sluiceway.plans.policy import Policy
+from sluiceway.operators import explain
+from sluiceway.plans.policy import Policy, from_json
 
 S, U = "S", "U"
 NAMES = {S: "SENSITIVE", U: "UNTRUSTED_ORIGIN"}
@@ -99,9 +102,26 @@ class Session:
         self.payloads: list[Payload] = []
         self.offers: dict[str, Offer] = {}
         self.vault = {} if vault is None else vault
-        self.audit: list[tuple[str, str, str, str | None]] = []
-        self.shadow: list[tuple[str, bool, bool | None]] = []
+        self.resent_elsewhere = False  # an original that another session has tokenized is in the arguments at hand
+        self.emitted: list[tuple[str, str | None, str, tuple[str, ...], dict[str, Any]]] = []
+        self.shadowed: bool | None = None
+        self.policy_text: str | None = None  # of a policy that came with the events
         self.n = 0
+        self._roots: list[str] | None = []
+        self._by_token: dict[str, list[str]] = {}
+
+    @property
+    def audit(self) -> list[tuple[str | None, str, str, str | None]]:
+        """Steps of approvals that haven't been taken yet."""
+        return [(name, tool, d["action"], d["actor"]) for kind, name, tool, _, d in self.emitted if kind == "approval"]
+
+    @property
+    def shadow(self) -> list[tuple[str, bool, bool | None]]:
+        """Compared verdicts that haven't been taken yet."""
+        return [(tool, d["allowed"], d["shadow_allowed"]) for kind, _, tool, _, d in self.emitted if kind == "shadow"]
+
+    def emit(self, kind: str, name: str | None, tool: str, tags: set[str] | tuple[str, ...] = (), /, **detail: Any) -> None:
+        self.emitted.append((kind, name, tool, tuple(tags) if isinstance(tags, tuple) else tuple(tag_names(tags)), detail))
 
     # -- ids and lineage
 
@@ -110,10 +130,15 @@ class Session:
         h = hashlib.sha256(f"{self.name}|{self.n}".encode()).hexdigest()
         return f"{kind}_{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
 
+    def _is_root(self, n: Node) -> bool:
+        """It holds a tag that none of its parents has."""
+        return any(not any(t in self.nodes[p].tags for p in n.parents if p in self.nodes) for t in n.tags)
+
     def _frontier(self) -> list[str]:
-        """Nodes with a tag that none of their parents has."""
-        nodes = self.nodes
-        return [i for i, n in nodes.items() if any(not any(t in nodes[p].tags for p in n.parents if p in nodes) for t in n.tags)]
+        """Nodes with a tag that none of their parents has; kept up to date until a tag changes afterwards."""
+        if self._roots is None:
+            self._roots = [i for i, n in self.nodes.items() if self._is_root(n)]
+        return self._roots
 
     def links(self, args: object) -> tuple[str, list[Link]]:
         """Parents of a value: explicit ids, else shared tokens, else (or if these are clean) the frontier."""
@@ -124,12 +149,14 @@ class Session:
             found = [Link(i, "MCP_REF", False) for i in named]
             method = "MCP_REF" if found else method
             if not found and (tokens := L.match_tokens(args)):
-                by_age = sorted(self.nodes.items(), key=lambda x: x[1].pruned)
-                for i, node in by_age:
-                    common = [(h, n) for h, n in tokens.items() if h in node.tokens]
-                    if common:
-                        best = max(common, key=lambda x: x[1])
-                        found.append(Link(i, "VALUE_MATCH", len(common) < 2 and best[1] < STRONG, *best))
+                met: dict[str, list[tuple[str, int]]] = {}
+                for h, n in tokens.items():
+                    for i in self._by_token.get(h, ()):
+                        met.setdefault(i, []).append((h, n))
+                place = {i: k for k, i in enumerate(self.nodes)} if len(met) > 1 else dict.fromkeys(met, 0)
+                for i in sorted(met, key=lambda i: (self.nodes[i].pruned, place[i])):  # live ones first, by age
+                    best = max(met[i], key=lambda x: x[1])
+                    found.append(Link(i, "VALUE_MATCH", len(met[i]) < 2 and best[1] < STRONG, *best))
                 method = "VALUE_MATCH" if found else method
         clean = not any(self.nodes[x.node].tags for x in found)
         if method == "NONE" or (method == "VALUE_MATCH" and clean):
@@ -154,7 +181,15 @@ class Session:
         method, found = self.links(args)
         every = set(tags).union(*(self.nodes[x.node].tags for x in found))
         name = self._id("tn")
-        self.nodes[name] = Node(tool, every, set(tags), [x.node for x in found], L.match_tokens(result) if result is not None else {})
+        node = Node(tool, every, set(tags), [x.node for x in found], L.match_tokens(result) if result is not None else {})
+        self.nodes[name] = node
+        for h in node.tokens:
+            self._by_token.setdefault(h, []).append(name)
+        if self._roots is not None and self._is_root(node):
+            self._roots.append(name)
+        self.emit("node", name, tool, every, own=tag_names(tags))
+        for x in found:
+            self.emit("edge", name, tool, parent=x.node, method=x.method, weak=x.weak)
         return name, method, found
 
     def _tag(self, tags: set[str]) -> None:
@@ -183,6 +218,7 @@ class Session:
         out = self._add_node(tool, tags, args, result)
         if tags:
             self.payloads.append(Payload(tool, set(tags), result, out[0], origin))
+            self.emit("payload", out[0], tool, tags, origin=origin)
         return out
 
     def add_tags(self, node: str, tags: set[str]) -> None:
@@ -193,6 +229,7 @@ class Session:
         new = tags - n.tags
         n.own |= tags
         n.tags |= tags
+        self._roots = None
         if not new or self.policy.propagation != "live":
             return
         children: dict[str, list[str]] = {}
@@ -250,6 +287,7 @@ class Session:
                     if not n.pruned:
                         n.own.discard(target)
                         n.tags.discard(target)
+                self._roots = None
                 self.tags.discard(target)
         return {"done": done, "before": before, "after": tag_names(self.tags), "masked": masked, "residual": residual}
 
@@ -264,7 +302,7 @@ class Session:
         return L.sha(json.dumps([e.method, nodes, tag_names(arg_tags)]), 32)
 
     def _note(self, o: Offer, action: str, actor: str | None = None) -> None:
-        self.audit.append((o.id, o.tool, action, actor))
+        self.emit("approval", o.id, o.tool, action=action, actor=actor)
 
     def offer(self, gate: str, tool: str, args_text: str, e: Evidence, arg_tags: set[str]) -> str:
         """An open offer for the same call and lineage is used again; one with another lineage is superseded."""
@@ -314,7 +352,7 @@ class Session:
 
     def _resent(self, args: object) -> bool:
         hay = "\0".join(L.leaves(args))
-        return any(len(v) >= L.VAULT_MIN and v in hay for v in self.vault.values())
+        return self.resent_elsewhere or any(len(v) >= L.VAULT_MIN and v in hay for v in self.vault.values())
 
     def _scan(self, args: object) -> L.Finding | None:
         known = [(p.tool, p.value, p.origin or "content") for p in self.payloads if S in p.tags]
@@ -373,10 +411,24 @@ class Session:
     def evaluate(self, tool: str, args: object, args_text: str = "", arg_tags: set[str] | frozenset[str] = frozenset()) -> Decision:
         """The verdict on an outgoing call. Whatever fails blocks."""
         arg_tags = set(arg_tags)
+        self.shadowed = None
         try:
-            return self._evaluate(tool, args, args_text, arg_tags)
+            d = self._evaluate(tool, args, args_text, arg_tags)
+            why = explain.destructive if d.tags == (NAMES[U],) else explain.leak
+            return self._tell(tool, d, lambda: why(d, tag_names(arg_tags), self.policy))
         except Exception as e:  # noqa: BLE001  fail-safe: an error never lets a call pass
-            return Decision(False, f"could not be judged: {type(e).__name__}")
+            return self._tell(tool, Decision(False, f"could not be judged: {type(e).__name__}"), explain.failed)
+
+    def _tell(self, tool: str, d: Decision, why: Any) -> Decision:
+        """Emit what goes with a block: its explanation, an event where both tags meet, and one for a finding of the scan."""
+        if not d.allowed:
+            self.emit("explanation", d.approval, tool, d.tags, **why())
+            sink = self.policy.sink(tool)
+            if len(d.tags) == 2:
+                self.emit("trifecta", None, tool, d.tags, sink=sink)
+            if d.scan:
+                self.emit("output_scan", None, tool, d.tags, sink=sink, kind=d.scan.kind, source=d.scan.tool, length=d.scan.length, value_hash=d.scan.value_hash)
+        return d
 
     def _evaluate(self, tool: str, args: object, args_text: str, arg_tags: set[str]) -> Decision:
         e = self._gate(tool, arg_tags)
@@ -406,9 +458,10 @@ class Session:
         try:
             e = self.evidence(args)
             block = self.policy.sink(tool) == "OUTBOUND_SINK" and (S in e.tags or self._resent(args)) and (U in e.tags or self.exposed)
-            self.shadow.append((tool, allowed, not block))
+            self.shadowed = not block
+            self.emit("shadow", None, tool, allowed=allowed, shadow_allowed=not block)
         except Exception:  # noqa: BLE001  only an observation
-            self.shadow.append((tool, allowed, None))
+            self.emit("shadow", None, tool, allowed=allowed, shadow_allowed=None)
 
     def outbound(self, channel: str, content: object) -> Decision:
         """Content that leaves by another channel: blocked hard, no relaxation, no approval."""
@@ -416,22 +469,35 @@ class Session:
             e = self.evidence({"content": content})
             hit, resent = self._scan(content), self._resent(content)
             if (S in e.tags or resent or hit) and self.exposed:
-                return Decision(False, f"sensitive content leaves through {channel}", (NAMES[S], NAMES[U]), scan=hit, evidence=e)
+                return self._tell(channel, Decision(False, f"sensitive content leaves through {channel}", (NAMES[S], NAMES[U]), scan=hit, evidence=e), explain.outbound)
             return Decision(True, evidence=e)
         except Exception as x:  # noqa: BLE001
-            return Decision(False, f"could not be judged: {type(x).__name__}")
+            return self._tell(channel, Decision(False, f"could not be judged: {type(x).__name__}"), explain.failed)
 
     def resource(self, channel: str, uri: str, params: object = None) -> Decision:
         """A request for a resource: a trusted uri passes, else its parameters are judged as content."""
         return Decision(True) if self.policy.trusted(uri) else self.outbound(channel, {"uri": uri} if params is None else params)
 
-    # -- state between batches
+    # -- policy, lookups and state between batches
+
+    def change_policy(self, text: str) -> None:
+        """From now on another policy holds; one that isn't valid raises and changes nothing."""
+        self.policy, self.policy_text = from_json(text), text
+
+    def holders(self, tag: str) -> list[str]:
+        """All nodes that hold a tag, tombstones too."""
+        return [i for i, n in self.nodes.items() if tag in n.tags]
+
+    def snapshot(self) -> list[dict[str, Any]]:
+        """The lineage as views draw it."""
+        return [{"id": i, "toolName": n.tool, "tags": tag_names(n.tags), "parents": list(n.parents)} for i, n in self.nodes.items() if not n.pruned]
 
     def state(self) -> str:
         plain = {
             "tags": sorted(self.tags), "exposed": self.exposed, "n": self.n, "vault": self.vault,
             "nodes": [[i, x.tool, sorted(x.tags), sorted(x.own), x.parents, x.tokens, x.pruned] for i, x in self.nodes.items()],
             "payloads": [[p.tool, sorted(p.tags), p.value, p.node, p.origin] for p in self.payloads],
+            "policy": self.policy_text,
             "offers": [[o.id, o.tool, o.call, o.lineage, o.status, o.used, o.by] for o in self.offers.values()],
         }
         return json.dumps(plain)
@@ -443,4 +509,10 @@ class Session:
         me.nodes = {i: Node(t, set(a), set(b), p, k, x) for i, t, a, b, p, k, x in raw["nodes"]}
         me.payloads = [Payload(t, set(a), v, n, o) for t, a, v, n, o in raw["payloads"]]
         me.offers = {o[0]: Offer(*o) for o in raw["offers"]}
+        if raw.get("policy"):
+            me.change_policy(raw["policy"])
+        me._roots = None
+        for i, n in me.nodes.items():
+            for h in n.tokens:
+                me._by_token.setdefault(h, []).append(i)
         return me

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from sluiceway.operators.classify import OUTBOUND
 
 
-def metric_cards(verdict: DataFrame) -> DataFrame:
-    return verdict.groupBy("session_id").agg(
+def metric_cards(verdict: DataFrame, forwarded: DataFrame | None = None, approvals: DataFrame | None = None) -> DataFrame:
+    """Counts per session: decisions, and what was forwarded (rows with session_id) or waits (approvals with session_id and status)."""
+    out = verdict.groupBy("session_id").agg(
         F.count("*").alias("total"), F.count_if(~F.col("allowed")).alias("blocked"), F.count_if("allowed").alias("passed"),
         F.count_if(F.col("sink") == OUTBOUND).alias("outbound"),
     )
+    for rows, name in ((forwarded, "forwarded"), (approvals and approvals.where(F.col("status") == "PENDING"), "pending")):
+        if rows is not None:
+            out = out.join(rows.groupBy("session_id").agg(F.count("*").alias(name)), "session_id", "left").fillna(0, [name])
+    return out
 
 
 def threat_fusion(verdict: DataFrame, scores: DataFrame) -> DataFrame:
@@ -27,9 +32,9 @@ def threat_fusion(verdict: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def flow_sources(flags: DataFrame) -> DataFrame:
-    """Tainted tools of a session with the union of their tags; pure sinks are left out."""
+    """Tainted tools of a session with the union of their tags; pure sinks bring no tag and are left out."""
     return (
-        flags.where((F.col("s") | F.col("u")) & (F.col("tool") != "send_email"))
+        flags.where(F.col("s") | F.col("u"))
         .groupBy("session_id", "tool").agg(F.max("s").alias("s"), F.max("u").alias("u"), F.count("*").alias("n"))
     )
 
@@ -51,8 +56,16 @@ def ring(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def deepest(depth: DataFrame) -> DataFrame:
-    """The deepest node of each tool in a session; the first wins a tie."""
+def last_blocks(verdict: DataFrame) -> DataFrame:
+    """(session_id, blocked_seq, blocked_tool): the last blocked call of each session that has one."""
+    hit = verdict.where(~F.col("allowed")).groupBy("session_id").agg(F.max_by(F.struct("seq", "tool"), "seq").alias("b"))
+    return hit.select("session_id", F.col("b.seq").alias("blocked_seq"), F.col("b.tool").alias("blocked_tool"))
+
+
+def deepest(depth: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """The deepest node of each tool in a session; the first wins a tie. The tool that ``blocks`` shows as the sink is left out."""
+    if blocks is not None:
+        depth = depth.join(blocks.select("session_id", F.col("blocked_tool").alias("tool")), ["session_id", "tool"], "left_anti")
     best = F.max_by(F.struct("seq", "depth"), F.struct(F.col("depth"), -F.col("seq")))
     return depth.groupBy("session_id", "tool").agg(best.alias("b")).select("session_id", "tool", F.col("b.seq").alias("seq"), F.col("b.depth").alias("depth"))
 

@@ -236,6 +236,11 @@ def load(path: str | Path) -> Policy:
     return parse(raw)
 
 
+def from_json(text: str) -> Policy:
+    """A policy from JSON text; what isn't valid raises."""
+    return parse(json.loads(text))
+
+
 def resolve_path(path: str | None = None, folder: str = ".") -> str:
     """An argument wins, then SLUICEWAY_POLICY (a file), then SLUICEWAY_DOMAIN (a name), then default.json."""
     if path:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import replace
@@ -111,14 +113,37 @@ def score_injection(rows: DataFrame, text: str, scorer=None, threshold: float =
     if scorer is None:
         empty = F.length(F.trim(F.coalesce(text, F.lit("")))) == 0
         return rows.select("*", (~empty).alias("is_injection"), F.when(empty, 0.0).otherwise(1.0).alias("score"), empty.alias("evaluated"))
-    udf = F.pandas_udf(lambda s: pd.Series(scorer(s.str.slice(0, 2000))), "double")
-    return rows.withColumn("score", udf(F.coalesce(text, F.lit("")))).withColumn("is_injection", F.col("score") > threshold).withColumn("evaluated", F.lit(True))
+
+    def scored(texts: pd.Series) -> pd.Series:
+        """Scores of a batch; where the scorer fails on it, each text alone; null where it fails on that. Blank texts score 0."""
+        full = texts[texts.str.strip() != ""].str.slice(0, 2000)
+        out = pd.Series(0.0, index=texts.index)
+        try:
+            out[full.index] = list(scorer(full))
+        except Exception:  # noqa: BLE001
+            for i, t in full.items():
+                try:
+                    out[i] = float(next(iter(scorer(pd.Series([t])))))
+                except Exception:  # noqa: BLE001
+                    out[i] = None
+        return out
+
+    found = rows.withColumn("_score", F.pandas_udf(scored, "double")(F.coalesce(text, F.lit(""))))
+    failed = F.col("_score").isNull() | F.isnan("_score")  # what can't be judged is flagged
+    return found.select("*", (failed | (F.col("_score") > threshold)).alias("is_injection"), F.when(failed, 1.0).otherwise(F.col("_score")).alias("score"), (~failed).alias("evaluated")).drop("_score")
 
 
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
     sc = spark.sparkContext
-    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="sluiceway-")).rstrip("/")
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="sluiceway-")
+        sc.setCheckpointDir(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path.rstrip("/")
 
 
 def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:

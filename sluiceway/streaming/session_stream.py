@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sluiceway.operators.fold import DECISIONS, EVENTS, step
+from sluiceway.operators.fold import DECISIONS, EMITTED, EVENTS, step, taken
 from sluiceway.operators.session import Session
 from sluiceway.plans.policy import Policy
 
 
-def decisions(events: DataFrame, policy: Policy, idle: str | None = None) -> DataFrame:
-    """A streaming row of DECISIONS per event. Arrival order between batches is the truth; within one, seq is.
+def _keyed(events: DataFrame, policy: Policy, idle: str | None, row: Callable, schema: str) -> DataFrame:
+    """Rows of ``row(session, event)``; arrival order between batches is the truth, within one seq is.
 
-    State per session is its serialised state machine. With ``idle`` (milliseconds) a session that has
+    State per session is its serialised state machine, with the policy that came last with its events
+    (op ``policy``), so that a change holds without a restart. With ``idle`` (milliseconds) a session that has
     been quiet for so long is forgotten; by default state is kept.
     """
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in DECISIONS.split(", ")]
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame([], columns=columns)
@@ -30,7 +31,10 @@ def decisions(events: DataFrame, policy: Policy, idle: str | None = None) -> Dat
         s = Session.from_state(key[0], policy, state.get[0]) if state.exists else Session(key[0], policy)
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         rows = rows.astype(object).where(rows.notna(), None)
-        out = [(key[0], r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)) for r in rows.itertuples(index=False)]
+        out = []
+        for r in rows.itertuples(index=False):
+            out += row(s, r)
+            s.emitted.clear()
         state.update((s.state(),))
         if idle:
             state.setTimeoutDuration(int(idle))
@@ -38,7 +42,23 @@ def decisions(events: DataFrame, policy: Policy, idle: str | None = None) -> Dat
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     picked = events.select(*(c.split()[0] for c in EVENTS.split(", ")))
-    return picked.groupBy("session_id").applyInPandasWithState(fold, DECISIONS, "state string", "append", timeout)
+    return picked.groupBy("session_id").applyInPandasWithState(fold, schema, "state string", "append", timeout)
+
+
+def decisions(events: DataFrame, policy: Policy, idle: str | None = None) -> DataFrame:
+    """A streaming row of DECISIONS per event."""
+    return _keyed(events, policy, idle, lambda s, r: [(s.name, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref))], DECISIONS)
+
+
+def emitted(events: DataFrame, policy: Policy, idle: str | None = None) -> DataFrame:
+    """Streaming rows of EMITTED: nodes, edges, approvals, shadow verdicts, explanations, and a session's lineage after each event."""
+
+    def row(s: Session, r) -> list[tuple]:
+        step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)
+        s.emit("lineage", None, r.tool or "", nodes=s.snapshot())
+        return taken(s, r.seq)
+
+    return _keyed(events, policy, idle, row, EMITTED)
 
 
 def exposure_counts(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
