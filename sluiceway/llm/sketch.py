@@ -36,8 +36,8 @@ DEPTH = 2
 PER_SEGMENT = 700_000
 #: Bits of a hash that are sent; the segment has the others.
 SENT_BITS = 28
-#: Estimated occurrences from which an anchor is called hot: its group would not fit one task at any size.
-HOT = 10_000
+#: Estimated occurrences from which an anchor is called hot: a group of so many entries is about 0.2 GB in a task.
+HOT = 500_000
 #: Anchors of a chunk.
 FLUSH = 1 << 21
 #: Bytes of text that are handled as one buffer.

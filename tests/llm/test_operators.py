@@ -212,7 +212,7 @@ def test_suffix_dedup(spark, docs, empty, rows, monkeypatch):
     extra = [(62, "é" * 40 + "\0" * 60), (63, "x" + "é" * 40 + "\0" * 60), (64, "a" * 500), (65, "b" + "a" * 200), (65, "b" + "a" * 200), *odd_rows(random.Random(8))]
     every = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).withColumn("Tag", F.lit("x")).withColumn("marks", F.lit(1))
     want = suffixes.brute_force([*pairs(rows), *extra])
-    for hot in (10_000, 3):  # from three documents on, grams are dealt by whole strings
+    for hot in (sketch.HOT, 3):  # from three documents on, grams are dealt by whole strings
         monkeypatch.setattr(sketch, "HOT", hot)
         got = suffixes.remove_repeats(every).withColumn("h", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "h")
         key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
