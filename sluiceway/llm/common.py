@@ -123,10 +123,6 @@ def crc_bucket(column: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_tag() -> Column:
     """Tells the texts of one doc_id apart, in Spark and without Python."""
     return F.xxhash64("text")

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,11 +97,9 @@ def scan(a: ahocorasick.Automaton | None, text: str | None) -> tuple[int, list[t
     return len(words), [(lo, hi) for lo, hi in merged], ids, [(int(starts[lo]), int(ends[hi - 1])) for lo, hi in merged]
 
 
-def _scanner(items: list[tuple[object, str | None]], width: int):
-    patterns = windows(items, width)
-
+def _scanner(items: Broadcast, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(patterns)
+        a = automaton(windows(items.value, width))
         for b in batches:
             found = [scan(a, t.as_py()) for t in b.column("text")]
             span = pa.list_(pa.struct([("from_byte", pa.int64()), ("to_byte", pa.int64())]))
@@ -125,9 +124,9 @@ FOUND = "n_words long, hits array<struct<from_word:long,to_word:long>>, items ar
 
 
 def item_blocks(benchmark: DataFrame, width: int, limit: int) -> list[list[tuple[object, str | None]]]:
-    """Blocks of items, each with at most ``limit`` pattern words (or one item)."""
+    """Blocks of items, each with at most ``limit`` pattern words (or one item); eight bytes count as a word at least."""
     b = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text")
-    weight = F.greatest(F.size(F.split("text", "[^0-9A-Za-z]+")), F.lit(1)) * width
+    weight = F.greatest(F.size(F.split("text", "[^0-9A-Za-z]+")), F.ceil(F.octet_length("text") / 8), F.lit(1)) * width
     if (b.agg(F.sum(weight)).first()[0] or 0) <= limit:
         return [[(r[0], r[1]) for r in b.collect()]]
     blocks, block, n = [], [], 0
@@ -147,10 +146,10 @@ def find_items(
     blocks = item_blocks(benchmark, width, max_pattern_words)
     rows = docs.select("doc_id", "text")
     if len(blocks) == 1:
-        return map_arrow(rows, _scanner(blocks[0], width), f"doc_id {dict(docs.dtypes)['doc_id']}, {FOUND}")
+        return map_arrow(rows, _scanner(docs.sparkSession.sparkContext.broadcast(blocks[0]), width), f"doc_id {dict(docs.dtypes)['doc_id']}, {FOUND}")
     rows = written(rows.withColumn("row_key", F.expr("uuid()")))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, row_key string, {FOUND}"
-    parts = [map_arrow(rows, _scanner(block, width), schema) for block in blocks]
+    parts = [map_arrow(rows, _scanner(docs.sparkSession.sparkContext.broadcast(block), width), schema) for block in blocks]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -191,12 +190,13 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, width: int = WINDOW, sh
     """Rows of ``docs`` that aren't contaminated, unchanged: one pass, no join, if one automaton is enough."""
     blocks = item_blocks(benchmark, width, MAX_PATTERN_WORDS)
     if len(blocks) > 1:
-        bad = contamination(docs, benchmark, width=width, share=share).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
-    patterns = windows(blocks[0], width)
+        rows = written(docs.select(F.struct("*").alias("doc"), "text", F.expr("uuid()").alias("doc_id")))  # a key per row
+        bad = contamination(rows.select("doc_id", "text"), benchmark, width=width, share=share).where("contaminated").select("doc_id")
+        return rows.join(bad, "doc_id", "left_anti").select("doc.*")
+    items = docs.sparkSession.sparkContext.broadcast(blocks[0])  # MAX_PATTERN_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(patterns)
+        a = automaton(windows(items.value, width))
         for b in batches:
             keep = []
             for t in b.column("text"):

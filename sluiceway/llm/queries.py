@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import decontaminate, html, langid, mixing, quality, sharding, simhash, substrings, suffixes, vectors
-from sluiceway.llm.common import table, text_or_empty
+from sluiceway.llm.common import text_or_empty
+from sluiceway.sources.calls import table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ the number of blocks. Slots within a shard come from sub-cells: a cell's offset
 is the running sum of cell counts, so a shard is never sorted in one task. Every
 random number is a hash of the row, so recomputed tasks deal alike. Rows that repeat
 entirely are numbered first, and the number is hashed along, so that copies are dealt
-apart like any other rows.
+apart like any other rows. Blocks hold about ``ROWS_PER_BLOCK`` rows and ``BYTES_PER_BLOCK`` bytes of text at most, so
+that what a task sorts is bounded by both.
 
 Edge cases: null text has size 1 (0 bytes plus 1) and crc32 0; rows that repeat
 entirely are interchangeable and get different slots; an empty table gives an
-empty result; extra columns are carried, but for columns named shard or slot,
+empty result; extra columns are carried, but for columns named shard or slot in whatever case,
 which are replaced.
 """
 
@@ -26,9 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import counted_side, let, uniform, written
+from sluiceway.llm.common import beside, counted_side, let, uniform, written
 
 ROWS_PER_BLOCK = 4_000_000
+BYTES_PER_BLOCK = 256 << 20
 MIN_BLOCKS = 256
 #: Copies of one row that are numbered in one window.
 COPIES = 100
@@ -144,11 +146,13 @@ def told_apart(rows: DataFrame) -> DataFrame:
 
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 8, seed: int = 23, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """All rows and columns, with shard (int) and slot (long, gapless from 0 in its shard)."""
-    total = docs.count()
-    n_blocks = max(MIN_BLOCKS, -(-total // rows_per_block))
+    texts = [F.octet_length(F.col(f"`{n}`")) for n, t in docs.dtypes if t in ("string", "binary")]
+    held = sum((F.coalesce(x.cast("long"), F.lit(0)) for x in texts), F.lit(0).cast("long"))
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(held), F.lit(0))).first()
+    n_blocks = max(MIN_BLOCKS, -(-total // rows_per_block), -(-size // BYTES_PER_BLOCK))
     cells = max(1, n_blocks // n_shards)
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    plain = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]
+    plain = [F.col(c) for c in beside(docs, "shard", "slot")]
     rows = told_apart(docs.select(F.struct(*plain).alias("doc"), F.xxhash64(*plain).alias("tie")))
     rows = rows.select(
         "doc", "tie", F.pmod(F.xxhash64("tie", F.lit(seed)), F.lit(n_blocks)).alias("id"),

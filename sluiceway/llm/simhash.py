@@ -39,8 +39,9 @@ RADIUS = 2
 #: Fingerprints sampled to build the trees (8 bytes each on the driver), and their largest share of all.
 SAMPLE = 200_000
 SHARE = 1 / 8
-#: Classes wanted in a leaf, and pairs that are compared at once.
-LEAF = 400
+#: Classes wanted in a leaf, and pairs that are compared at once. Fewer leaves have fewer borders, where classes go to both
+#: sides; within a leaf the search goes on by further vantage points.
+LEAF = 4000
 PAIRS = 1 << 21
 LOWER = {i: i + 32 for i in range(65, 91)}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -187,7 +188,7 @@ def links(classes: DataFrame) -> DataFrame:
     """classes (rep, fp) to edges (u, v) between reps: a spanning forest per leaf."""
     n = classes.count()
     rate = min(SAMPLE, n * SHARE) / max(n, 1)
-    sample = classes.select("fp").where(uniform("fp") < rate).limit(2 * SAMPLE)
+    sample = classes.select("fp").where(uniform("fp") < rate).orderBy(F.xxhash64("fp"), "fp").limit(2 * SAMPLE)
     points = np.array([r[0] for r in sample.collect()], np.int64)
     rng = np.random.default_rng(5)
     leaf = max(LEAF * len(points) // max(n, 1), 8)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluiceway.llm import components, decontaminate, html, langid, mixing, quality, queries, sharding, simhash, sketch, substrings, suffixes, vectors
+from sluiceway.llm import common, components, decontaminate, html, jaccard, langid, mixing, quality, queries, sharding, simhash, sketch, substrings, suffixes, vectors
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -455,6 +455,14 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=str)
 
 
+def near_kept(docs):
+    """What the near-dedup stage keeps: least ids of SimHash groups over five words, then of groups at a similarity of 0.8."""
+    near = simhash.brute_force(docs, 5)
+    docs = [(d, t) for d, t in docs if near[d][1] == d]
+    alike = jaccard.brute_force(docs)
+    return [(d, t) for d, t in docs if alike[d] == d]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -463,9 +471,7 @@ def test_pipeline(spark):
     c = duckdb.connect()
     docs = c.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()
     items = c.sql(f"SELECT item_id, text FROM '{DATA}/benchmark.parquet'").fetchall()
-    docs = [(d, t) for d, t in docs if t and any(ch.isalpha() for ch in t)]
-    near = simhash.brute_force(docs)
-    docs = [(d, t) for d, t in docs if near[d][1] == d]
+    docs = near_kept([(d, t) for d, t in docs if t and any(ch.isalpha() for ch in t)])
     dirty = {w[0] for w in decontaminate.brute_force(docs, items) if w[5]}
     docs = {d: t for d, t in docs if d not in dirty}
     c.execute(f"CREATE TABLE left_over AS SELECT * FROM '{DATA}/documents.parquet' WHERE doc_id IN ({','.join(map(str, docs))})")
@@ -473,3 +479,102 @@ def test_pipeline(spark):
     assert collections.Counter(r.doc_id for r in out) == copies
     assert all(r.text == docs[r.doc_id] for r in out)
     assert hashlib.sha256(b"").hexdigest()  # digests of empty lists are those of the empty string
+
+
+def test_pipeline_on_odd_tables(spark, docs, rows, empty, tmp_path):
+    """Nulls, empties, repeated rows, columns that clash with every stage's own, and tables without rows or labels."""
+    import corpus_pipeline
+
+    odd = docs.drop("n_chars").unionByName(docs.drop("n_chars").where("doc_id % 7 = 0"))
+    odd = odd.unionByName(spark.createDataFrame([(None, "a text without an id", "en", "a"), (None, None, None, None)], "doc_id long, text string, lang string, source string"))
+    for c in ("score", "Score2", "lang_pred", "fp", "Tag", "component_id", "key", "row", "copies", "size", "tie", "item_id", "doc"):
+        odd = odd.withColumn(c, F.lit("orig"))
+    items = spark.createDataFrame([(1, rows[30][1])], "item_id long, text string")
+    for name, table in (("odd", odd), ("unlabelled", odd.withColumn("lang", F.lit(None).cast("string"))), ("none", odd.where("false"))):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert out.columns == [*odd.columns, "shard", "slot"]
+        got = out.collect()
+        check_shards(got, len(got))
+        assert all(getattr(r, c) == "orig" for r in got for c in odd.columns[4:])
+        left = {r.doc_id for r in got}
+        if name == "none":
+            assert not got
+            continue
+        lettered = [(d, t) for d, t in pairs(rows) if t and any(ch.isalpha() for ch in t)]
+        clean = dict(near_kept(lettered))
+        dirty = {w[0] for w in decontaminate.brute_force(list(clean.items()), [(1, rows[30][1])]) if w[5]}
+        assert left - {None} <= set(clean) - dirty and None in left  # mixing may leave some of these out
+        stage = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, f in corpus_pipeline.STAGES[:3]:
+            stage = common.written(f(spark, stage, folder))
+        kept = [r.doc_id for r in stage.collect()]
+        assert sorted(d for d in kept if d is not None) == sorted(set(clean) - dirty)
+
+
+def test_language_stage_keeps_clashing_columns(spark, docs):
+    odd = docs.withColumn("score", F.lit("orig")).withColumn("lang_pred", F.lit("orig")).withColumn("Score2", F.lit(1))
+    assert {(r.score, r.lang_pred) for r in langid.keep_identified(odd).collect()} == {("orig", "orig")}
+    upper = docs.withColumn("Score", F.lit("orig"))
+    assert {r.Score for r in langid.keep_identified(upper).collect()} == {"orig"}
+    assert langid.predict(upper, langid.learn(docs, F.lit(True))).columns[-2:] == ["lang_pred", "score"]
+    assert quality.score(upper, quality.Model([("a b c", 1), ("d e f", 0)])).columns == [*docs.columns, "score"]
+
+
+def test_long_words_are_fitted_and_scored():
+    """A script without spaces: one run of hundreds of letters per text, longer than any product of doubles can hold."""
+    rng = random.Random(3)
+    texts = [("aa", "".join(rng.choice("abc") for _ in range(700))) for _ in range(6)] + [("zz", "".join(rng.choice("xyz") for _ in range(500))) for _ in range(6)]
+    model = langid.Model(["▁", "a", "b", "c", "x", "y", "z", "ab", "xy"], texts)
+    names, scores = langid.Scorer(model).predict(["".join(rng.choice("abc") for _ in range(2000)), "xyzzy", None])
+    assert names == ["aa", "zz", "und"] and all(np.isfinite(scores)) and scores[2] == 0
+
+
+def test_expected_counts_sum_over_segmentations():
+    """Forward and backward sums against all segmentations of a word, one by one."""
+    pieces = ["a", "ab", "b", "abc", "c", "bc", "▁a", "▁"]
+    prob = np.append(np.random.default_rng(2).random(8) / 8, 0)
+
+    def every(w):
+        return [[p, *r] for n in range(1, len(w) + 1) if (p := w[:n]) in pieces for r in every(w[n:])] if w else [[]]
+
+    look = langid.Pieces(pieces)
+    words_ = ["▁abcab", "▁cab", "▁b"]
+    got = langid.expected_counts(look, prob, langid.codes(words_), np.array([1.0, 2.0, 3.0]))
+    want = np.zeros(9)
+    for w, k in zip(words_, (1, 2, 3), strict=True):
+        cuts = every(w)
+        weight = np.array([np.prod([prob[pieces.index(p)] for p in c]) for c in cuts])
+        for c, x in zip(cuts, weight / weight.sum(), strict=True):
+            for p in c:
+                want[pieces.index(p)] += k * x
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_copies_of_a_table_are_dealt_like_chance(spark):
+    """Of a table with three copies of each row, triples are in one shard one time in 64; one row repeated is no hot task."""
+    one = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    out = sharding.shuffle_into_shards(one.union(one).union(one), 8)
+    together = out.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).where("n = 1").count()
+    assert 30 < together < 100
+    hot = sharding.shuffle_into_shards(spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("t").alias("text")), 8)
+    check_shards(hot.collect(), 20_000)
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BYTES_PER_BLOCK", 1000)
+    rows = [(i, "x" * 2000) for i in range(400)]
+    check_shards(sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect(), 400)
+
+
+def test_folders(spark):
+    """Tables that cut lineage lie in the application's own folder, and go when they are forgotten."""
+    import os
+
+    t = common.written(spark.range(3))
+    path = t._written.removeprefix("file:")
+    assert os.path.isdir(path) and spark.sparkContext.applicationId in path
+    common.forget(t)
+    assert not os.path.exists(path)
