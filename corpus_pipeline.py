@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sluiceway.llm import decontaminate, jaccard, langid, mixing, sharding, simhash
-from sluiceway.llm.common import shared_dir, table
+from sluiceway.llm.common import shared_dir
+from sluiceway.sources.calls import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
