@@ -9,11 +9,18 @@ which ``resent_elsewhere`` marks the events whose arguments hold an original tha
 from __future__ import annotations
 
 import json
+from collections import namedtuple
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from sluiceway import at_hand
 from sluiceway.functions import leaves as L
 from sluiceway.functions import text as T
 from sluiceway.operators import links
@@ -29,6 +36,10 @@ DECISIONS = (
 )
 
 
+#: Arguments come twice, with the verdict and with the record: the same text is the same value, which nothing changes.
+parsed = lru_cache(4)(L.parse)
+
+
 def step(s: Session, op: str, tool: str | None, args: str | None, result: str | None, arg_tags: str | None, ref: str | None) -> tuple:
     """Apply one event; a row of DECISIONS without session_id and seq. Whatever fails is a row that isn't allowed."""
     s.shadowed = None
@@ -46,15 +57,15 @@ def step(s: Session, op: str, tool: str | None, args: str | None, result: str |
 def _apply(s: Session, op: str, tool: str | None, args: str | None, result: str | None, arg_tags: str | None, ref: str | None) -> tuple[Decision, str | None]:
     d, node = Decision(True), None
     if op == "record":
-        node, d.evidence.method, _ = s.record(tool or "", L.parse(args), L.parse(result))
+        node, d.evidence.method, _ = s.record(tool or "", parsed(args), L.parse(result))
     elif op == "content":
         node, d.evidence.method, _ = s.record_content(tool or "resources/read", ref or "", L.parse(result))
     elif op == "evaluate":
-        d = s.evaluate(tool or "", L.parse(args), args or "", {t[0] for t in (arg_tags or "").split(",") if t})
+        d = s.evaluate(tool or "", parsed(args), args or "", {t[0] for t in (arg_tags or "").split(",") if t})
     elif op == "outbound":
-        d = s.outbound(tool or "sampling/createMessage", L.parse(args))
+        d = s.outbound(tool or "sampling/createMessage", parsed(args))
     elif op == "resource":
-        d = s.resource(tool or "resources/read", ref or "", L.parse(args))
+        d = s.resource(tool or "resources/read", ref or "", parsed(args))
     elif op == "sanitize":
         out = s.sanitize(tool or "")
         s.emit("sanitized", None, tool or "", **out)
@@ -90,39 +101,42 @@ def taken(s: Session, seq: int) -> list[tuple]:
     return out
 
 
-def _folded(events: DataFrame, policies: dict[str, Policy], row, schema: str) -> DataFrame:
+def _folded(events: DataFrame, policies: dict[str, Policy], row, schema: str, telling: bool) -> DataFrame:
     """One pass over all sessions; ``row(session, event)`` gives the rows of each event, for each policy.
 
     One shuffle and one sort bring sessions together in order; a task then streams through its sessions, one state
     machine at a time, so there is no cost per group and memory is bounded by the largest session's state.
     """
-    columns = ["label", *(c.split()[0] for c in schema.split(", "))]
-    wanted = [c.split()[0] for c in EVENTS.split(", ")]
-    known = wanted + [c for c in ("resent",) if c in events.columns]
+    at_hand(events.sparkSession)
+    known = [c.split()[0] for c in EVENTS.split(", ")] + [c for c in ("resent",) if c in events.columns]
+    out_schema = StructType.fromDDL(f"label string, {schema}")
+    names, kinds = out_schema.names, [to_arrow_type(f.dataType) for f in out_schema]
+    event = namedtuple("event", known)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: str | None = None
         sessions: dict[str, Session] = {}
-        for rows in batches:
-            rows = rows.astype(object).where(rows.notna(), None)
-            out = []
-            for r in rows.itertuples(index=False):
+        for b in batches:
+            out: list[tuple] = []
+            for r in map(event._make, zip(*(b.column(c).to_pylist() for c in known), strict=True)):
                 if not sessions or now != r.session_id:
                     now = r.session_id
                     sessions = {label: Session(now, p) for label, p in policies.items()}
+                    for s in sessions.values():
+                        s.telling = telling
                 for label, s in sessions.items():
                     s.resent_elsewhere = bool(getattr(r, "resent", False))
                     out += [(label, *x) for x in row(s, r)]
                     s.emitted.clear()
-            yield pd.DataFrame(out, columns=columns)
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    picked = events.select(*known)
-    return picked.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, f"label string, {schema}")
+    return events.select(*known).repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, out_schema)
 
 
 def replays(events: DataFrame, policies: dict[str, Policy]) -> DataFrame:
     """A row of DECISIONS per event and policy, with the policy's label: the log is read once for all of them."""
-    return _folded(events, policies, lambda s, r: [(r.session_id, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref))], DECISIONS)
+    return _folded(events, policies, lambda s, r: [(r.session_id, r.seq, *step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref))], DECISIONS, False)
 
 
 def replay(events: DataFrame, policy: Policy) -> DataFrame:
@@ -137,7 +151,7 @@ def emitted(events: DataFrame, policy: Policy) -> DataFrame:
         step(s, r.op, r.tool, r.args, r.result, r.arg_tags, r.ref)
         return taken(s, r.seq)
 
-    return _folded(events, {"": policy}, row, EMITTED).drop("label")
+    return _folded(events, {"": policy}, row, EMITTED, True).drop("label")
 
 
 def of_session(rows: DataFrame, session: str | None = None) -> DataFrame:

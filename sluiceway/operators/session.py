@@ -103,10 +103,12 @@ class Session:
         self.offers: dict[str, Offer] = {}
         self.vault = {} if vault is None else vault
         self.resent_elsewhere = False  # an original that another session has tokenized is in the arguments at hand
+        self.telling = True  # off where only verdicts are wanted: nothing is emitted
         self.emitted: list[tuple[str, str | None, str, tuple[str, ...], dict[str, Any]]] = []
         self.shadowed: bool | None = None
         self.policy_text: str | None = None  # of a policy that came with the events
         self.n = 0
+        self._asked: tuple[object, dict[str, int]] | None = None
         self._roots: list[str] | None = []
         self._by_token: dict[str, list[str]] = {}
 
@@ -121,7 +123,8 @@ class Session:
         return [(tool, d["allowed"], d["shadow_allowed"]) for kind, _, tool, _, d in self.emitted if kind == "shadow"]
 
     def emit(self, kind: str, name: str | None, tool: str, tags: set[str] | tuple[str, ...] = (), /, **detail: Any) -> None:
-        self.emitted.append((kind, name, tool, tuple(tags) if isinstance(tags, tuple) else tuple(tag_names(tags)), detail))
+        if self.telling:
+            self.emitted.append((kind, name, tool, tuple(tags) if isinstance(tags, tuple) else tuple(tag_names(tags)), detail))
 
     # -- ids and lineage
 
@@ -148,7 +151,7 @@ class Session:
             named = dict.fromkeys(s for s in L.leaves(args) if s in self.nodes)
             found = [Link(i, "MCP_REF", False) for i in named]
             method = "MCP_REF" if found else method
-            if not found and (tokens := L.match_tokens(args)):
+            if not found and (tokens := self._tokens_of(args)):
                 met: dict[str, list[tuple[str, int]]] = {}
                 for h, n in tokens.items():
                     for i in self._by_token.get(h, ()):
@@ -166,6 +169,12 @@ class Session:
                 method = "TEMPORAL_FALLBACK"
         return method, found
 
+    def _tokens_of(self, args: object) -> dict[str, int]:
+        """Tokens of the arguments at hand; a call is judged and then recorded with the same ones."""
+        if self._asked is None or self._asked[0] is not args:
+            self._asked = args, L.match_tokens(args)
+        return self._asked[1]
+
     def evidence(self, args: object) -> Evidence:
         method, found = self.links(args)
         rows = []
@@ -421,7 +430,7 @@ class Session:
 
     def _tell(self, tool: str, d: Decision, why: Any) -> Decision:
         """Emit what goes with a block: its explanation, an event where both tags meet, and one for a finding of the scan."""
-        if not d.allowed:
+        if not d.allowed and self.telling:
             self.emit("explanation", d.approval, tool, d.tags, **why())
             sink = self.policy.sink(tool)
             if len(d.tags) == 2:
