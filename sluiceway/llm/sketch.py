@@ -171,7 +171,8 @@ def estimates(sent: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, bits that are sent) of hashes."""
+    """(segment, bits that are sent) of hashes; mixed once more, as anchors are the least of their windows and so lie near zero."""
+    h = mixed(h ^ np.uint64(0x5851F42D4C957F2D))
     high = (h >> np.uint64(32)).astype(np.uint64)
     low = ((h >> np.uint64(1)) & np.uint64((1 << SENT_BITS) - 1)).astype(np.uint32)
     return ((high * np.uint64(segments)) >> np.uint64(32)).astype(np.int64), low
