@@ -77,6 +77,17 @@ def frames(events: DataFrame, key: str, text: str) -> DataFrame:
     return events.select(key, text).mapInPandas(run, f"{key} {dict(events.dtypes)[key]}, {FRAME}")
 
 
+def write(rows: DataFrame, path: str) -> None:
+    """Frames as lines, for whoever tails them; what may not leave isn't among them."""
+    rows.where("frame IS NOT NULL").select(F.col("frame").alias("value")).write.mode("append").text(path)
+
+
+def of_lineage(emitted: DataFrame) -> DataFrame:
+    """Events of type lineage from the replay's snapshots: session_id, seq, text."""
+    text = F.concat(F.lit('{"type":"lineage","sessionId":'), F.concat(F.lit('"'), "session_id", F.lit('"')), F.lit(',"nodes":'), F.get_json_object("detail", "$.nodes"), F.lit("}"))
+    return emitted.where("kind = 'lineage'").select("session_id", "seq", text.alias("text"))
+
+
 def received(lines: DataFrame, text: str, *keys: str) -> DataFrame:
     """Frames as a view's source reads them, from a table or a stream: dispatched by type, broken lines counted by ``error``.
 

@@ -35,6 +35,7 @@ class Node:
     parents: list[str]
     tokens: dict[str, int]
     pruned: bool = False
+    how: list[tuple[str, bool]] = field(default_factory=list)  # method and weakness of the link to each parent
 
 
 @dataclass
@@ -190,7 +191,7 @@ class Session:
         method, found = self.links(args)
         every = set(tags).union(*(self.nodes[x.node].tags for x in found))
         name = self._id("tn")
-        node = Node(tool, every, set(tags), [x.node for x in found], L.match_tokens(result) if result is not None else {})
+        node = Node(tool, every, set(tags), [x.node for x in found], L.match_tokens(result) if result is not None else {}, False, [(x.method, x.weak) for x in found])
         self.nodes[name] = node
         for h in node.tokens:
             self._by_token.setdefault(h, []).append(name)
@@ -499,12 +500,13 @@ class Session:
 
     def snapshot(self) -> list[dict[str, Any]]:
         """The lineage as views draw it."""
-        return [{"id": i, "toolName": n.tool, "tags": tag_names(n.tags), "parents": list(n.parents)} for i, n in self.nodes.items() if not n.pruned]
+        link = lambda p, how: {"nodeId": p, "method": how[0], "weak": how[1]}
+        return [{"id": i, "toolName": n.tool, "tags": tag_names(n.tags), "parents": list(map(link, n.parents, n.how))} for i, n in self.nodes.items() if not n.pruned]
 
     def state(self) -> str:
         plain = {
             "tags": sorted(self.tags), "exposed": self.exposed, "n": self.n, "vault": self.vault,
-            "nodes": [[i, x.tool, sorted(x.tags), sorted(x.own), x.parents, x.tokens, x.pruned] for i, x in self.nodes.items()],
+            "nodes": [[i, x.tool, sorted(x.tags), sorted(x.own), x.parents, x.tokens, x.pruned, x.how] for i, x in self.nodes.items()],
             "payloads": [[p.tool, sorted(p.tags), p.value, p.node, p.origin] for p in self.payloads],
             "policy": self.policy_text,
             "offers": [[o.id, o.tool, o.call, o.lineage, o.status, o.used, o.by] for o in self.offers.values()],
@@ -515,7 +517,7 @@ class Session:
     def from_state(cls, name: str, policy: Policy, text: str) -> Session:
         raw, me = json.loads(text), cls(name, policy)
         me.tags, me.exposed, me.n, me.vault = set(raw["tags"]), raw["exposed"], raw["n"], raw["vault"]
-        me.nodes = {i: Node(t, set(a), set(b), p, k, x) for i, t, a, b, p, k, x in raw["nodes"]}
+        me.nodes = {i: Node(t, set(a), set(b), p, k, x, how) for i, t, a, b, p, k, x, how in raw["nodes"]}
         me.payloads = [Payload(t, set(a), v, n, o) for t, a, v, n, o in raw["payloads"]]
         me.offers = {o[0]: Offer(*o) for o in raw["offers"]}
         if raw.get("policy"):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.operators import fold, links
+from sluiceway.operators import fold, links, projection
 from sluiceway.plans.policy import DEFAULT
 from sluiceway.sources.calls import CALLS_SQL, calls
+from sluiceway.streaming import session_stream
 
 LINEAGE = replace(DEFAULT, mode="lineage")
 
@@ -226,6 +227,36 @@ def lineage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lineage_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's lineage as views get it, after its last call: nodes with their parents and how these were found."""
+    none = F.lit(None).cast("string")
+    e = named(spark, sf_dir)
+    last = e.groupBy("session_id").agg((F.max("seq") + 1).alias("seq"))
+    asked = last.select("session_id", "seq", F.lit("snapshot").alias("op"), *(none.alias(c) for c in ("tool", "args", "result", "arg_tags", "ref")))
+    out = projection.frames(projection.of_lineage(fold.emitted(e.unionByName(asked), LINEAGE)), "session_id", "text")
+    nodes = F.from_json(F.get_json_object("frame", "$.nodes"), "array<struct<id:string,tags:array<string>,parents:array<struct<nodeId:string,method:string,weak:boolean>>>>")
+    n = out.select(F.col("session_id").cast("long").alias("session_id"), F.explode(nodes).alias("n"))
+    return n.select("session_id", F.col("n.id").alias("node_id"), F.array_join("n.tags", ",").alias("tags"), F.size("n.parents").cast("long").alias("parents"), F.count_if(F.lit(True)).over(Window.partitionBy("session_id")).alias("nodes"))
+
+
+def control_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of views as events: those with the token and a known type."""
+    e = calls(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, ("approve", "reject", "sanitize", "shutdown"))), (F.col("event_id") % 4 + 1).cast("int"))
+    token = F.when(F.col("event_id") % 3 == 0, "wrong").otherwise("right")
+    text = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.to_json(F.struct(kind.alias("type"), token.alias("token"), F.concat(F.lit("ap_"), F.col("event_id").cast("string")).alias("approvalId"))))
+    out = session_stream.commands(e.select(F.col("session_id").cast("string").alias("session_id"), "seq", text.alias("text")), "text", "right")
+    return out.select("session_id", "seq", "op", "ref")
+
+
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of each call from its links, with tombstones: a tagged one shows as pruned, a clean one is left out."""
+    nodes = lineage_nodes(spark, sf_dir).withColumn("pruned", F.substring("node_id", 4, 1) < "8")
+    found = lineage_links(spark, sf_dir).join(nodes.select("session_id", F.col("node_id").alias("parent"), "tool", "tags", "pruned"), ["session_id", "parent"])
+    kept = found.where(~F.col("pruned") | (F.col("tags") != ""))
+    return kept.groupBy("session_id", "child").agg(F.count("*").alias("nodes"), F.count_if("pruned").alias("tombstones"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("pruned"), "(pruned)").otherwise(F.col("tool")))), ",").alias("tools"))
+
+
 _ASKED = "VERDICT, x AS (SELECT *, unnest([0, 2])::BIGINT AS nth FROM verdict)"
 SQL = {
     lineage_named: "WITH RECURSIVE " + lineage_sql(False) + _EVIDENCE.format(method=_METHOD.format("MCP_REF", "MCP_REF"), evidence="CASE WHEN alone THEN 1 ELSE roots END"),
@@ -238,6 +269,12 @@ SELECT c.session_id, c.id AS child, p.id AS parent, 'MCP_REF' AS method, false A
 UNION ALL SELECT c.session_id, c.id, p.id, 'TEMPORAL_FALLBACK', true FROM lin l JOIN k c USING (session_id, seq) JOIN k p ON p.session_id = l.session_id AND p.seq < l.seq AND p.is_root WHERE l.par IS NULL""",
     tag_holders: "WITH RECURSIVE " + lineage_sql(False) + """, t AS (SELECT session_id, tool, 'SENSITIVE' AS tag, s AS own FROM lin WHERE s OR link_s UNION ALL SELECT session_id, tool, 'UNTRUSTED_ORIGIN', u FROM lin WHERE u OR link_u)
 SELECT session_id, tag, count(*)::BIGINT AS holders, string_agg(DISTINCT tool, ',' ORDER BY tool) FILTER (own) AS brought_by FROM t GROUP BY 1, 2""",
+    lineage_frames: "WITH RECURSIVE " + lineage_sql(False) + f""", k AS (SELECT *, {_NODE} AS id FROM (SELECT *, sha256(session_id || '|' || seq) AS h FROM lin))
+SELECT session_id, id AS node_id, {_TAGS.format(s='s OR link_s', u='u OR link_u')} AS tags, (CASE WHEN alone THEN 1 ELSE roots END)::BIGINT AS parents, count(*) OVER (PARTITION BY session_id)::BIGINT AS nodes FROM k""",
+    evidence_rows: "WITH RECURSIVE " + lineage_sql(False) + f""", k AS (SELECT *, {_NODE} AS id, s OR link_s OR u OR link_u AS tagged FROM (SELECT *, sha256(session_id || '|' || seq) AS h FROM root)),
+e AS (SELECT c.session_id, c.id AS child, p.tool, p.tagged, substr(p.id, 4, 1) < '8' AS pruned FROM k c JOIN k p ON p.session_id = c.session_id AND (p.seq = c.par OR (c.par IS NULL AND p.seq < c.seq AND p.is_root)))
+SELECT session_id, child, count(*)::BIGINT AS nodes, count(*) FILTER (pruned)::BIGINT AS tombstones, string_agg(CASE WHEN pruned THEN '(pruned)' ELSE tool END, ',' ORDER BY CASE WHEN pruned THEN '(pruned)' ELSE tool END) AS tools FROM e WHERE NOT pruned OR tagged GROUP BY 1, 2""",
+    control_messages: "WITH " + CALLS_SQL + """ SELECT session_id::VARCHAR AS session_id, seq, ['approve', 'reject', 'sanitize'][(event_id % 4 + 1)::INT] AS op, 'ap_' || event_id AS ref FROM calls WHERE event_id % 4 < 3 AND event_id % 3 <> 0 AND event_id % 7 <> 0""",
     payload_store: "WITH " + FLAGS_SQL + f" SELECT session_id, seq, tool, {_TAGS.format(s='s', u='u')} AS tags, CASE WHEN s THEN 'source' END AS origin FROM flags WHERE s OR u",
     hitl_once: "WITH " + _ASKED.replace("VERDICT", VERDICT_SQL) + " SELECT session_id, seq, nth, tool, allowed OR nth = 2 AS allowed, CASE WHEN NOT allowed AND nth = 0 THEN true END AS can_override FROM x",
     hitl_steps: "WITH " + VERDICT_SQL + """, a AS (SELECT *, unnest(['OFFERED', 'REQUESTED', 'APPROVED', 'OVERRIDE_USED']) AS action FROM verdict WHERE NOT allowed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -65,3 +66,20 @@ def exposure_counts(events: DataFrame, watermark: str = "10 minutes", window: st
     """Blocked and passed decisions per time window; late rows up to the watermark still count."""
     w = events.withWatermark("ts", watermark)
     return w.groupBy(F.window("ts", window), "tool").agg(F.count("*").alias("n"), F.count_if(~F.col("allowed")).alias("blocked"))
+
+
+# Commands that a view may send, and the events they become.
+COMMANDS = {"approve": "approve", "reject": "reject", "sanitize": "sanitize"}
+
+
+def commands(messages: DataFrame, text: str, token: str) -> DataFrame:
+    """Events from control messages (session_id, seq and a JSON text), to be unioned with a session's other events, in batch or as a second stream.
+
+    A message that doesn't carry the token, can't be read or has no known type becomes no event.
+    """
+    m = messages.select("session_id", "seq", F.from_json(text, "type string, token string, approvalId string, method string").alias("m"))
+    same = F.sha2(F.col("m.token"), 256) == F.lit(hashlib.sha256(token.encode()).hexdigest())
+    op = F.element_at(F.create_map(*(F.lit(x) for kv in COMMANDS.items() for x in kv)), F.col("m.type"))
+    none = F.lit(None).cast("string")
+    out = m.where(same).select("session_id", F.col("seq").cast("long").alias("seq"), op.alias("op"), F.col("m.method").alias("tool"), none.alias("args"), none.alias("result"), none.alias("arg_tags"), F.col("m.approvalId").alias("ref"))
+    return out.where("op IS NOT NULL")
