@@ -924,4 +924,4 @@ def token_lookup(spark, d):
 from sluiceway import stateful  # noqa: E402
 
 QUERIES |= stateful.QUERIES | replays.QUERIES
-ORACLES |= replays.ORACLES
+ORACLES |= stateful.ORACLES | replays.ORACLES

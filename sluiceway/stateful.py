@@ -1,4 +1,4 @@
-"""Queries that replay sessions, decode and tokenize: no SQL form; tests check them against fixtures and each other."""
+"""Queries that replay sessions, decode and tokenize: few have a SQL form; tests check the others against fixtures and each other."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from sluiceway.functions import leaves as L
 from sluiceway.operators import audit, fold, scenarios
 from sluiceway.operators.classify import flagged, verdicts
 from sluiceway.plans.policy import DEFAULT
+from sluiceway.replays import VERDICT_SQL
 from sluiceway.sources import audit_log
 from sluiceway.sources.calls import calls, table
 from sluiceway.streaming import session_stream
@@ -261,3 +262,13 @@ QUERIES = {
         shadow_compare, step_meta_lcs,
     )
 }
+
+#: Where neither decoding nor a document as argument decides, SQL tells the same.
+ORACLES = {
+    "fold_session_verdict": "WITH " + VERDICT_SQL + " SELECT session_id, seq, tool, allowed FROM verdict",
+    "stream_session_verdict": """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'query_customer_db' WHEN 'view' THEN 'fetch_web_page' WHEN 'click' THEN 'read_email' WHEN 'purchase' THEN 'send_email' WHEN 'error' THEN 'mystery_tool' END AS tool FROM events),
+f AS (SELECT *, coalesce(bool_or(tool = 'query_customer_db') OVER w, false) AS s, coalesce(bool_or(tool IN ('fetch_web_page', 'read_email', 'mystery_tool')) OVER w, false) AS u FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id::VARCHAR AS session_id, event_id * 2 AS seq, tool, NOT (tool IN ('send_email', 'fetch_web_page', 'mystery_tool') AND s AND u) AS allowed, u AS exposed FROM f""",
+    "audit_jsonl": "WITH " + VERDICT_SQL + " SELECT session_id, seq, tool, CASE WHEN allowed THEN 'ALLOWED' ELSE 'BLOCKED' END AS decision, NULL::VARCHAR AS problem FROM verdict",
+    "injection_scores": "SELECT conv_id, turn, text, length(trim(coalesce(text, ''))) > 0 AS is_injection, CASE WHEN length(trim(coalesce(text, ''))) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, length(trim(coalesce(text, ''))) = 0 AS evaluated FROM conversations",
+}
