@@ -146,3 +146,45 @@ def test_squares_become_groups():
     for p in pages:
         keys = [c.key[0] for c in html.parse(p).children[0].children[0].children]
         assert keys == ["h2", "p", "pre"] * ((len(keys) - 1) // 3) + ["hr"]
+
+
+def test_rows_that_share_an_id(spark):
+    """SimHash: one class per fingerprint, whatever ids repeat; the stage keeps one row of each repeated text, and rows without an id."""
+    from sluiceway.llm import simhash
+
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, a), (5, b), (3, a), (7, c), (7, c), (None, c), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Tag", F.lit("x")).repartition(3)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    fp = lambda t: int(np.uint64(simhash.fingerprint(t)).astype(np.int64))
+    assert got[5, fp(a)] == 3 and got[5, fp(b)] == 5 and got[7, fp(c)] == 7 and got[None, fp(c)] == 7 and got[8, 0] == got[9, 0] == 8
+    want = sorted([(3, a), (5, b), (7, c), (None, c), (8, None)], key=str)
+    for stage in (simhash.drop_near_duplicates, jaccard.drop_near_copies):
+        out = stage(docs)
+        assert out.columns == docs.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == want
+
+
+def test_mixing_takes_repeated_rows_together(spark):
+    from sluiceway.llm import mixing
+
+    rows = [(i // 2, " ".join(["w"] * (5 + i // 2 % 7)), "ab"[i // 2 % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_table(docs).collect()
+    assert len(out) == 400 and len({(r.doc_id, r.copies) for r in out}) == 200
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own)
+    again = sorted((r.doc_id, r.copies) for r in mixing.mix_table(docs.repartition(7)).collect())
+    assert again == sorted((r.doc_id, r.copies) for r in out)
+
+
+def test_vectors_of_any_scale_and_type(spark):
+    """Huge and tiny vectors link by their direction; floats and doubles are compared as they are; one length each."""
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(1, base), (2, [x * 1e200 for x in base]), (3, [x * 1e-200 for x in base]), (4, [-x for x in base]), (5, base[:3]), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, None), (8, [0.0] * 4), (9, [1.0, None, 2.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), **{i: (0, i) for i in range(4, 10)}}
+    floats = spark.createDataFrame(rows[:1] + [(2, base)] + rows[3:], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(floats).collect()}
+    assert got[1] == got[2] == 1 and got[4] == got[6] == got[7] == got[9] == 0
