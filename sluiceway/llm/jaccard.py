@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import counted_side, map_arrow, one_of_each, text_tag, written
 from sluiceway.llm.components import components
-from sluiceway.llm.simhash import LOWER, SPACE, join_labels
+from sluiceway.llm.simhash import join_labels, words_of
 from sluiceway.llm.sketch import marks, mixed
 
 SHINGLE = 5
@@ -45,8 +45,7 @@ ADD = _rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64)
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
     digest = xxhash.xxh3_64_intdigest
-    words = [digest(w.encode("utf-8", "surrogatepass")) for w in SPACE.split((text or "").translate(LOWER)) if w]
-    x = np.array(words, np.uint64)
+    x = np.array(list(map(digest, words_of(text))), np.uint64)
     return np.unique(marks(x, min(k, max(1, len(x)))))
 
 
@@ -188,7 +187,7 @@ def brute_force(docs: list[tuple[int, str | None]], k: int = SHINGLE, least: flo
     """doc_id to component over all pairs, for tests."""
     sets = {}
     for d, t in docs:
-        w = [x for x in SPACE.split((t or "").translate(LOWER)) if x]
+        w = words_of(t)
         sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
     group = {d: d for d in sets}
 

@@ -22,7 +22,6 @@ share a doc_id fall into one class; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,15 +42,18 @@ SHARE = 1 / 8
 #: sides; within a leaf the search goes on by further vantage points.
 LEAF = 4000
 PAIRS = 1 << 21
-LOWER = {i: i + 32 for i in range(65, 91)}
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def shingles(text: str | None, k: int) -> list[str]:
-    words = [w for w in SPACE.split((text or "").translate(LOWER)) if w]
+def words_of(text: str | None) -> list[bytes]:
+    """Words as UTF-8 with A-Z in lower case; bytes.lower() and bytes.split() do exactly that much."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(text: str | None, k: int) -> list[bytes]:
+    words = words_of(text)
     if len(words) <= k:
-        return [" ".join(words)] if words else []
-    return list(map(" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(k)), strict=False)))
 
 
 def fingerprint(text: str | None, k: int = 3) -> int:
@@ -62,7 +64,7 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     votes = np.zeros(64, np.int64)
     for at in range(0, len(s), 8192):
-        h = np.fromiter((digest(x.encode("utf-8", "surrogatepass"), 42) for x in s[at : at + 8192]), np.uint64)
+        h = np.fromiter((digest(x, 42) for x in s[at : at + 8192]), np.uint64)
         votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(s)).tobytes(), "big")
 
@@ -231,7 +233,7 @@ def brute_force(docs: list[tuple[int, str | None]], k: int = 3) -> dict[int, tup
     """Fingerprints bit by bit and components over all pairs, for tests."""
     fps = {}
     for doc, text in docs:
-        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, k)]
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles(text, k)]
         fps[doc] = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
     group = {d: d for d in fps}
 
