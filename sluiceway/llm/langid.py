@@ -60,6 +60,8 @@ def load_pieces(path: str | None = None) -> list[str]:
 
 def runs(token: str) -> list[str]:
     """A token's letter runs, each with the mark of a word's start."""
+    if token.isalpha():
+        return [MARK + token]
     return [MARK + r for r in RUN.findall(token) if any(c.isalpha() for c in r)]
 
 
@@ -92,14 +94,21 @@ class Pieces:
         by_len: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             by_len.setdefault(len(p), []).append(i)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        #: For each length: which places of a bitmap have a piece, the pieces' hashes in order, and their ids.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for n, ids in by_len.items():
             m, h = codes([pieces[i] for i in ids]), np.zeros(len(ids), np.uint64)
             with np.errstate(over="ignore"):
                 for i in range(n):
                     h = h * BASE + m[:, i] + np.uint64(1)
             rank = np.argsort(h)
-            self.tables[n] = h[rank], np.array(ids)[rank]
+            maybe = np.zeros(1 << max(12, (16 * len(ids)).bit_length()), bool)
+            maybe[self._place(h, len(maybe))] = True
+            self.tables[n] = maybe, h[rank], np.array(ids)[rank]
+
+    @staticmethod
+    def _place(h: np.ndarray, size: int) -> np.ndarray:
+        return ((h >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
 
     def at(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(end, length, words that have a piece there, its id), ends ascending."""
@@ -112,13 +121,16 @@ class Pieces:
             for i in range(self.longest):
                 power[i + 1] = power[i] * BASE
             for end in range(1, width + 1):
-                for length, (keys, ids) in self.tables.items():
+                for length, (maybe, keys, ids) in self.tables.items():
                     if length <= end:
                         h = prefix[end] - prefix[end - length] * power[length]
-                        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                        hit = np.flatnonzero(keys[k] == h)
-                        if len(hit):
-                            yield end, length, hit, ids[k[hit]]
+                        at = np.flatnonzero(maybe[self._place(h, len(maybe))])
+                        if not len(at):
+                            continue
+                        k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
+                        same = keys[k] == h[at]
+                        if same.any():
+                            yield end, length, at[same], ids[k[same]]
 
 
 def forward(pieces: Pieces, prob: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -245,11 +257,16 @@ class Scorer:
         if not fresh:
             return
         said = [(i, r) for i, t in enumerate(fresh) for r in runs(t)]
-        counts = np.bincount([i for i, _ in said], minlength=len(fresh)).astype(float)
+        owner = np.array([i for i, _ in said], np.int64)
+        counts = np.bincount(owner, minlength=len(fresh)).astype(float)
+        once = counts.max(initial=0) <= 1  # no token has several runs
         logs = np.zeros((len(fresh), len(self.model.langs)))
         for at in batched([r for _, r in said]) if said else ():
-            part = [said[k] for k in at]
-            np.add.at(logs, [i for i, _ in part], forward(self.look, self.model.prob, codes([r for _, r in part])))
+            own, found = owner[at], forward(self.look, self.model.prob, codes([said[k][1] for k in at]))
+            if once:
+                logs[own] = found
+            else:
+                np.add.at(logs, own, found)
         for t in fresh:
             self.index[t] = len(self.index)
         self.logs, self.counts = np.concatenate([self.logs, logs]), np.concatenate([self.counts, counts])
