@@ -149,7 +149,7 @@ class Session:
         found: list[Link] = []
         method = "NONE"
         if args is not None:
-            named = dict.fromkeys(s for s in L.leaves(args) if s in self.nodes)
+            named = dict.fromkeys(s for s in self._leaves_of(args) if s in self.nodes)
             found = [Link(i, "MCP_REF", False) for i in named]
             method = "MCP_REF" if found else method
             if not found and (tokens := self._tokens_of(args)):
@@ -170,12 +170,18 @@ class Session:
                 method = "TEMPORAL_FALLBACK"
         return method, found
 
+    def _leaves_of(self, args: object) -> list[str]:
+        return L.leaves(args)
+
     def _tokens_of(self, args: object) -> dict[str, int]:
         """Tokens of the arguments at hand; a call is judged and then recorded with the same ones."""
         if self._asked is None or self._asked[0] is not args:
             self._asked = args, L.match_tokens(args)
         return self._asked[1]
 
+    def _tokens_held(self, result: object) -> dict[str, int]:
+        return L.match_tokens(result) if result is not None else {}
+
     def evidence(self, args: object) -> Evidence:
         method, found = self.links(args)
         rows = []
@@ -191,7 +197,7 @@ class Session:
         method, found = self.links(args)
         every = set(tags).union(*(self.nodes[x.node].tags for x in found))
         name = self._id("tn")
-        node = Node(tool, every, set(tags), [x.node for x in found], L.match_tokens(result) if result is not None else {}, False, [(x.method, x.weak) for x in found])
+        node = Node(tool, every, set(tags), [x.node for x in found], self._tokens_held(result), False, [(x.method, x.weak) for x in found])
         self.nodes[name] = node
         for h in node.tokens:
             self._by_token.setdefault(h, []).append(name)

@@ -147,6 +147,13 @@ def shared(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table written into the shared checkpoint folder, and read again."""
+    path = f"{shared(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_stream(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
     """Drain a stream into Parquet under the shared checkpoint folder, and read that."""
     path = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
@@ -201,10 +208,10 @@ def scenario_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios made from the call log, replayed in both modes: an evaluation record per labelled decision."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
-    text = docs.select(F.col("doc_id").alias("k"), F.to_json(F.struct("text")).alias("args"))
-    c = calls(spark, sf_dir).join(text, F.col("event_id") % n == F.col("k"))
-    traces = c.select("session_id", "seq", "tool", "args", F.col("args").alias("result"), F.when(F.col("value") > 40, "block").otherwise("pass").alias("label"))
-    return scenarios.replay(scenarios.from_traces(traces), DEFAULT).drop("why")
+    text = docs.select(F.col("doc_id").cast("long").alias("key"), F.to_json(F.struct("text")).alias("json"))
+    label = F.when(F.col("value") > 40, "block").otherwise("pass").alias("label")
+    traces = calls(spark, sf_dir).select("session_id", "seq", "tool", (F.col("event_id") % n).alias("key"), label)
+    return scenarios.replay_keyed(traces, text, DEFAULT, lambda df: kept(spark, df)).drop("why")
 
 
 def audit_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
