@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import counted_side, map_arrow, one_of_each, text_tag, written
-from sluiceway.llm.components import components
-from sluiceway.llm.simhash import join_labels, words_of
+from sluiceway.llm.components import components, join_labels
+from sluiceway.llm.simhash import words_of
 from sluiceway.llm.sketch import marks, mixed
 
 SHINGLE = 5

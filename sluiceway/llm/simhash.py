@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import map_arrow, one_of_each, text_tag, uniform, written
-from sluiceway.llm.components import components
+from sluiceway.llm.components import components, join_labels
 
 RADIUS = 2
 #: Fingerprints sampled to build the trees (8 bytes each on the driver), and their largest share of all.
@@ -142,22 +142,6 @@ def route(points: np.ndarray, nodes: list[tuple[int, int, int, int]]) -> tuple[n
     return np.concatenate(at), np.concatenate(leaf), np.concatenate(home)
 
 
-def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the labels of a and b in place; labels point to the least index of a group."""
-    while len(a):
-        la, lb = labels[a], labels[b]
-        open_ = la != lb
-        if not open_.any():
-            return
-        a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while True:
-            up = labels[labels]
-            if (up == labels).all():
-                break
-            labels[:] = up
-
-
 def link_leaf(fp: np.ndarray, home: np.ndarray, upper: bool, labels: np.ndarray, rng: np.random.Generator) -> None:
     """Link all pairs within RADIUS of which one is at home here, by further vantage points."""
     h = half(fp, upper)

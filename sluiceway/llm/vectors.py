@@ -38,8 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import counted_side, map_arrow, written
-from sluiceway.llm.components import components
-from sluiceway.llm.simhash import join_labels
+from sluiceway.llm.components import components, join_labels
 
 RECALL = 0.995
 PROJECTIONS = 24

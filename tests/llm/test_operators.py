@@ -442,6 +442,23 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("one_task", [0, components.ONE_TASK])
+def test_components_in_few_jobs_or_in_rounds(spark, monkeypatch, one_task):
+    """Ids as strings, loops, repeats and nulls; what one task can hold takes a few jobs, not some per round."""
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    monkeypatch.setattr(components, "AT_ONCE", 40)
+    chain = [(f"é{i:03}", f"é{i + 1:03}") for i in range(200)]
+    other = [("b", "a"), ("a", "b"), ("c", "b"), ("z", "z"), (None, "a"), ("c", None), ("y", "x")]
+    group = f"components-{one_task}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(chain + other, "u string, v string").repartition(5)).collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"é{i:03}": "é000" for i in range(201)} | dict.fromkeys("abc", "a") | dict.fromkeys("xy", "x")
+    if one_task:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 10
+
+
+
 # queries with SQL, and the pipeline
 
 
