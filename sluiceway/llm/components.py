@@ -5,6 +5,9 @@ joined by one task (16 bytes an edge). More than that go on in rounds of large-s
 spread over all tasks; each round writes its edges into the shared folder, so that lineage stays short
 and a lost executor costs one round. Nothing but counts and sums reaches the driver.
 
+Callers whose edges come out of Python write them first: two Python steps in one stage hold two workers for each core, and
+an executor keeps as many workers as ever ran at once.
+
 Rounds are for what one task can't hold: each has some ten jobs of as many tasks as there are shuffle partitions, and a driver
 pays for every task.
 """

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import counted_side, map_arrow, one_of_each, text_tag, written
+from sluiceway.llm.common import counted_side, forget, map_arrow, one_of_each, text_tag, written
 from sluiceway.llm.components import components, join_labels
 from sluiceway.llm.simhash import words_of
 from sluiceway.llm.sketch import marks, mixed
@@ -173,7 +173,9 @@ def near_copies(docs: DataFrame, k: int = SHINGLE, least: float = LEAST) -> Data
     nodes = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
     nodes = counted_side(classes.select("rep", "key").join(nodes, "rep"))
     sets = written(sets_of(docs, nodes, k))
-    found = components(links(sets, pairs, least)).select(F.col("node"), F.col("component").alias("c"))
+    edges = written(links(sets, pairs, least))
+    found = components(edges).select(F.col("node"), F.col("component").alias("c"))
+    forget(edges)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("c", "rep").alias("component_id"))
     return rows.select("doc_id", "tag", "key").join(named, "key").select("doc_id", "tag", "component_id")
 

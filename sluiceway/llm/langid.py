@@ -299,7 +299,9 @@ def learn(docs: DataFrame, train: Column, *, per_lang: int = 300, max_docs: int
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_docs).collect()  # at most max_docs names
     want = max(1, min(per_lang, max_docs // max(1, len(counts))))
-    rates = docs.sparkSession.createDataFrame([(r[0], min(1.0, want / r[1])) for r in counts], "_lang string, _rate double")
+    # as an Arrow table: rows given as a list go through Python workers of their own, which stay beside those of mapInArrow
+    facts = pa.table({"_lang": pa.array([r[0] for r in counts], pa.string()), "_rate": pa.array([min(1.0, want / r[1]) for r in counts], pa.float64())})
+    rates = docs.sparkSession.createDataFrame(facts, "_lang string, _rate double")
     drawn = uniform(F.xxhash64("doc_id", "text"), F.lit(3))
     met = rows.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(drawn < F.col("_rate"))
     some = met.groupBy("lang", "text").agg(F.min(drawn / F.col("_rate")).alias("at")).orderBy("at", "lang", "text").limit(2 * max_docs)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import map_arrow, one_of_each, text_tag, uniform, written
+from sluiceway.llm.common import forget, map_arrow, one_of_each, text_tag, uniform, written
 from sluiceway.llm.components import components, join_labels
 
 RADIUS = 2
@@ -208,7 +208,9 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, tag, fp (signed long), component_id (smallest doc_id reachable over links)."""
     marked = written(fingerprints(docs, k))
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(classes)).withColumnRenamed("component", "c")
+    edges = written(links(classes))
+    found = components(edges).withColumnRenamed("component", "c")
+    forget(edges)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("c", "rep").alias("component_id"))
     return marked.join(named, "fp")
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -188,3 +189,37 @@ def test_vectors_of_any_scale_and_type(spark):
     floats = spark.createDataFrame(rows[:1] + [(2, base)] + rows[3:], "vec_id long, embedding array<float>")
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(floats).collect()}
     assert got[1] == got[2] == 1 and got[4] == got[6] == got[7] == got[9] == 0
+
+
+def test_one_python_worker_for_each_core(spark, monkeypatch):
+    """Near-dedup and language id: no stage of two Python steps, and no rows that pass through Python workers of RDDs."""
+    import corpus_pipeline
+    from pyspark import RDD
+    from sluiceway.llm import common, components, langid, simhash
+
+    def most(node, above):
+        """Python steps between two exchanges, at most."""
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return most(node.initialPlan(), above)
+        here = 0 if "Exchange" in name else above + bool(re.search("InArrow|InPandas|EvalPython", name))
+        below = node.children()
+        return max([here, *(most(below.apply(i), here) for i in range(below.size()))])
+
+    seen = []
+
+    def watched(df):
+        seen.append(most(df._jdf.queryExecution().executedPlan(), 0))
+        return common.written(df)
+
+    rng = random.Random(8)
+    texts = [" ".join(words(rng, 30)) for _ in range(40)]
+    rows = [(i, "abc"[i % 3], t if i % 4 else texts[0] + " more") for i, t in enumerate(texts * 3)]
+    docs = common.written(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    for module in (components, jaccard, simhash):
+        monkeypatch.setattr(module, "written", watched)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.count() == len({t for _, _, t in rows}) and max(seen) == 1
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", lambda self: pytest.fail("rows pass through Python workers of RDDs"))
+    assert langid.keep_identified(docs).count() == len(rows)
+    assert langid.keep_identified(docs.where("false")).count() == 0
